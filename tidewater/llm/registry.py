@@ -4,12 +4,14 @@ from tidewater.llm.decontaminate import OP7_SQL, op7_decontamination
 from tidewater.llm.mixing import op4_mixing
 from tidewater.llm.quality import OP6_SQL, op6_quality
 from tidewater.llm.sharding import op5_sharding
+from tidewater.llm.simhash import op8_simhash
 
 QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_simhash": op8_simhash,
 }
 
 SQL = {

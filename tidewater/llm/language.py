@@ -1,6 +1,6 @@
 """Language identification by nearest centroid.
 
-A text is a vector of hashed byte 1- to 3-grams of its lower-cased words, weighted (1 + log tf) * idf and normalised.
+A text is a vector of hashed byte 1- to 3-grams of its lower-cased words, weighted sqrt(tf) * idf and normalised.
 Document frequencies are counted over all training documents. Each language gets several centroids, fitted by
 spherical k-means on a bounded sample of its training documents (SAMPLE for each language, by the order of a hash of
 their ids). A text gets the language of the centroid with the largest cosine; it is rejected if it has no letter or
@@ -47,7 +47,7 @@ class Model:
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         at, tf = grams(text)
-        v = (1 + np.log(tf)) * self.idf[at]
+        v = np.sqrt(tf) * self.idf[at]
         cosines = self.centroids[:, at] @ v / max(np.linalg.norm(v), 1e-12)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
@@ -96,7 +96,7 @@ def fit(training: DataFrame) -> Model:
             for text in batch.column("text"):
                 at, tf = grams(text.as_py())
                 v = np.zeros(DIMS, np.float32)
-                v[at] = (1 + np.log(tf)) * idf[at]
+                v[at] = np.sqrt(tf) * idf[at]
                 out.append((v / max(np.linalg.norm(v), 1e-12)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(out, pa.binary())], names=["lang", "h", "vector"])
 

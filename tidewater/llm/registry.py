@@ -1,17 +1,23 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from tidewater.llm.decontaminate import OP7_SQL, op7_decontamination
+from tidewater.llm.language import op2_language
+from tidewater.llm.lm import op10_lm
 from tidewater.llm.mixing import op4_mixing
 from tidewater.llm.quality import OP6_SQL, op6_quality
 from tidewater.llm.sharding import op5_sharding
 from tidewater.llm.simhash import op8_simhash
+from tidewater.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_language": op2_language,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_lm": op10_lm,
 }
 
 SQL = {

@@ -27,8 +27,9 @@ from tidewater.llm.components import components
 from tidewater.storage import stash
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Variants that a bucket holds on average (a bucket is read by one task), and fingerprints a batch expands at once.
-BUCKET_ROWS, EXPAND = 2_000_000, 1024
+#: Variants that a bucket holds on average (a bucket is read by one task), fingerprints that a task expands, and those
+#: it expands at once. Tasks and buckets follow the number of fingerprints, so each blob is of about the same size.
+BUCKET_ROWS, TASK_FINGERPRINTS, EXPAND = 1_000_000, 8192, 1024
 _CHUNK = 1 << 15
 
 
@@ -67,10 +68,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """distinct(fp) -> links(a, b) between fingerprints within the radius; a spanning set, not all pairs."""
-    spark = distinct.sparkSession
-    per_fp = 561  # variants on average
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * shuffle, -(-distinct.count() * per_fp // BUCKET_ROWS))
+    n, per_fp = distinct.count(), 561  # variants on average
+    buckets, tasks = max(1, -(-n * per_fp // BUCKET_ROWS)), max(1, -(-n // TASK_FINGERPRINTS))
 
     def emit(batches):
         masks = _masks()
@@ -115,7 +114,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     def group(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(meet(table.to_batches())))
 
-    blobs = distinct.select("fp").repartition(shuffle).mapInArrow(emit, "bucket long, variants binary, flips binary")
+    blobs = distinct.select("fp").repartition(tasks).mapInArrow(emit, "bucket long, variants binary, flips binary")
     return blobs.groupBy("bucket").applyInArrow(group, "a long, b long")
 
 

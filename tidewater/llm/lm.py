@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,41 +259,50 @@ def fit_tree(training: DataFrame) -> Tree:
 # ---- unigram base ----
 
 
+def _slices(batch: pa.RecordBatch):
+    """The batch in runs of rows of about _PIECE bytes of text."""
+    ends = np.cumsum(pa.compute.binary_length(batch.column("text").cast(pa.large_binary())).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _send(buckets: int):
-    def tokens(batches):
-        for batch in batches:
-            known: dict[bytes, int] = {}
-            hashes, times, sizes = [], [], []
-            for text in batch.column("text"):
-                words = Counter(_bytes(text.as_py()).split())
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w)
-                hashes += [known[w] for w in words]
-                hashes.append(_END_TOKEN)
-                times += words.values()
-                times.append(1)
-                sizes.append(len(words) + 1)
-            token, n = np.array(hashes, np.uint64), np.array(times, np.uint32)
-            doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
-            token, n, doc, bucket = token[order], n[order], doc[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            columns = {"bucket": [], "rids": [], "train": [], "tokens": [], "docs": [], "times": []}
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                which, local = np.unique(doc[a:b], return_inverse=True)
-                columns["bucket"].append(int(bucket[a]))
-                columns["rids"].append(rid[which].tobytes())
-                columns["train"].append(train[which].tobytes())
-                columns["tokens"].append(token[a:b].tobytes())
-                columns["docs"].append(local.astype(np.uint16 if len(which) <= 65536 else np.uint32).tobytes())
-                columns["times"].append(n[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in columns.items()], names=list(columns))
-
-    return tokens
+    def packed(batch):
+        known: dict[bytes, int] = {}
+        hashes, times, sizes = [], [], []
+        for text in batch.column("text"):
+            words = Counter(_bytes(text.as_py()).split())
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            sizes.append(len(words) + 1)
+            hashes.append(np.fromiter((known[w] for w in words), np.uint64, len(words)))
+            hashes.append(np.array([_END_TOKEN], np.uint64))
+            times.append(np.fromiter(words.values(), np.uint32, len(words)))
+            times.append(np.ones(1, np.uint32))
+        token, n = np.concatenate(hashes), np.concatenate(times)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        rid = batch.column("rid").to_numpy(zero_copy_only=False)
+        train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
+        token, n, doc, bucket = token[order], n[order], doc[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        columns = {"bucket": [], "rids": [], "train": [], "tokens": [], "docs": [], "times": []}
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+            which, local = np.unique(doc[a:b], return_inverse=True)
+            columns["bucket"].append(int(bucket[a]))
+            columns["rids"].append(rid[which].tobytes())
+            columns["train"].append(train[which].tobytes())
+            columns["tokens"].append(token[a:b].tobytes())
+            columns["docs"].append(local.astype(np.uint16 if len(which) <= 65536 else np.uint32).tobytes())
+            columns["times"].append(n[a:b].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in columns.items()], names=list(columns))
+
+    return lambda batches: (packed(piece) for batch in batches for piece in _slices(batch))
 
 
 def _tally(table: pa.Table) -> pa.Table:
@@ -320,9 +330,8 @@ def _tally(table: pa.Table) -> pa.Table:
 
 def token_sums(rows: DataFrame) -> DataFrame:
     """rows(rid, text, train) -> rid, log_counts, n_known, n_tokens, copies, summed over equal rids; rid null: V and N."""
-    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     sent = rows.mapInArrow(_send(buckets), "bucket long, rids binary, train binary, tokens binary, docs binary, times binary")
     tallied = sent.groupBy("bucket").applyInArrow(_tally, "rid long, log_counts double, n_known long, n_tokens long, copies long")
     return tallied.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("log_counts", "n_known", "n_tokens")), F.sum(F.when(F.col("rid").isNotNull(), F.col("copies"))).alias("copies"))

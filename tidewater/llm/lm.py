@@ -291,50 +291,77 @@ def _send(buckets: int):
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
         token, n, doc, bucket = token[order], n[order], doc[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        columns = {"bucket": [], "rids": [], "train": [], "tokens": [], "docs": [], "times": []}
+        name, ends_at = xxhash.xxh64_intdigest(rid.tobytes()) - (1 << 63), _END_TOKEN % buckets
+        columns = {k: [] for k in ("bucket", "slice", "rids", "which", "train", "tokens", "docs", "times")}
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
             which, local = np.unique(doc[a:b], return_inverse=True)
             columns["bucket"].append(int(bucket[a]))
-            columns["rids"].append(rid[which].tobytes())
+            columns["slice"].append(name)
+            columns["rids"].append(rid.tobytes() if bucket[a] == ends_at else None)  # all have an end
+            columns["which"].append(which.tobytes())
             columns["train"].append(train[which].tobytes())
             columns["tokens"].append(token[a:b].tobytes())
-            columns["docs"].append(local.astype(np.uint16 if len(which) <= 65536 else np.uint32).tobytes())
+            columns["docs"].append(local.astype(np.uint32).tobytes())
             columns["times"].append(n[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in columns.items()], names=list(columns))
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("bucket", "slice") else pa.binary()) for k, v in columns.items()], names=list(columns))
 
     return lambda batches: (packed(piece) for batch in batches for piece in _slices(batch))
 
 
+_REPLY = "slice long, rids binary, which binary, log_counts binary, n_known binary, n_tokens binary, copies binary"
+
+
 def _tally(table: pa.Table) -> pa.Table:
-    """One bucket: each document's sums over its tokens there; a row with null rid has the bucket's V and N."""
-    tokens, docs, times, rids, train, ahead = [], [], [], [], [], 0
-    for row in table.to_pylist():
-        r = np.frombuffer(row["rids"], np.int64)
-        tokens.append(np.frombuffer(row["tokens"], np.uint64))
-        docs.append(np.frombuffer(row["docs"], np.uint16 if len(r) <= 65536 else np.uint32).astype(np.int64) + ahead)
-        times.append(np.frombuffer(row["times"], np.uint32))
-        rids.append(r)
-        train.append(np.frombuffer(row["train"], np.uint8))
-        ahead += len(r)
-    token, doc, n, rid, train = (np.concatenate(x) for x in (tokens, docs, times, rids, train))
+    """One bucket: for each blob its documents' sums over their tokens; a row without slice has the bucket's V and N."""
+    rows = table.to_pylist()
+    sizes = [len(r["train"]) for r in rows]
+    ahead = np.concatenate([[0], np.cumsum(sizes)])
+    read = lambda column, kind: np.concatenate([np.frombuffer(r[column], kind) for r in rows])
+    token, n, train = read("tokens", np.uint64), read("times", np.uint32), read("train", np.uint8)
+    doc = np.concatenate([np.frombuffer(r["docs"], np.uint32) + np.int64(a) for r, a in zip(rows, ahead, strict=False)])
     distinct, which = np.unique(token, return_inverse=True)
     c = np.bincount(which, n * train[doc].astype(np.float64), minlength=len(distinct))
-    mine = c[which]
-    log = np.bincount(doc, n * np.log10(mine + 1), minlength=ahead)
-    known = np.bincount(doc, n * (mine > 0), minlength=ahead).astype(np.int64)
-    all_ = np.bincount(doc, n, minlength=ahead).astype(np.int64)
-    ends = np.bincount(doc, token == np.uint64(_END_TOKEN), minlength=ahead).astype(np.int64)
-    total = lambda x, last: pa.array([*x.tolist(), last])
-    return pa.table({"rid": pa.array([*rid.tolist(), None], pa.int64()), "log_counts": total(log, 0.0), "n_known": total(known, int((c > 0).sum())), "n_tokens": total(all_, int(c.sum())), "copies": total(ends, 1)})
+    mine, end = c[which], int(ahead[-1])
+    sums = {
+        "log_counts": np.bincount(doc, n * np.log10(mine + 1), minlength=end),
+        "n_known": np.bincount(doc, n * (mine > 0), minlength=end).astype(np.int32),
+        "n_tokens": np.bincount(doc, n, minlength=end).astype(np.int32),
+        "copies": np.bincount(doc, token == np.uint64(_END_TOKEN), minlength=end).astype(np.int32),
+    }
+    out = {"slice": pa.array([*(r["slice"] for r in rows), None], pa.int64())}
+    for name in ("rids", "which"):
+        out[name] = pa.array([*(r[name] for r in rows), None], pa.binary())
+    for name, x in sums.items():
+        total = {"n_known": int((c > 0).sum()), "n_tokens": int(c.sum())}.get(name, 0)
+        out[name] = pa.array([*(x[a:b].tobytes() for a, b in zip(ahead, ahead[1:], strict=False)), total.to_bytes(8, "little")], pa.binary())
+    return pa.table(out)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One slice in all its buckets: each row's sums; without slice: V and N of all buckets."""
+    names, rows = ("log_counts", "n_known", "n_tokens", "copies"), table.to_pylist()
+    if rows[0]["slice"] is None:
+        total = lambda name: sum(int.from_bytes(r[name], "little") for r in rows)
+        return pa.table({"rid": pa.array([None], pa.int64()), "log_counts": [0.0], "n_known": [total("n_known")], "n_tokens": [total("n_tokens")], "copies": [1]})
+    heads = [np.frombuffer(r["rids"], np.int64) for r in rows if r["rids"] is not None]
+    size = len(heads[0])
+    sums = {name: np.zeros(size, np.float64 if name == "log_counts" else np.int64) for name in names}
+    for r in rows:
+        which = np.frombuffer(r["which"], np.uint32)
+        for name in names:
+            sums[name][which] += np.frombuffer(r[name], np.float64 if name == "log_counts" else np.int32)
+    # Slices with the same rows, in the same order, share a name: all have the sums of all of them, once.
+    return pa.table({"rid": heads[0], **sums})
 
 
 def token_sums(rows: DataFrame) -> DataFrame:
     """rows(rid, text, train) -> rid, log_counts, n_known, n_tokens, copies, summed over equal rids; rid null: V and N."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(_send(buckets), "bucket long, rids binary, train binary, tokens binary, docs binary, times binary")
-    tallied = sent.groupBy("bucket").applyInArrow(_tally, "rid long, log_counts double, n_known long, n_tokens long, copies long")
-    return tallied.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("log_counts", "n_known", "n_tokens")), F.sum(F.when(F.col("rid").isNotNull(), F.col("copies"))).alias("copies"))
+    sent = rows.mapInArrow(_send(buckets), "bucket long, slice long, rids binary, which binary, train binary, tokens binary, docs binary, times binary")
+    replies = sent.groupBy("bucket").applyInArrow(_tally, _REPLY)
+    gathered = replies.groupBy("slice").applyInArrow(_gather, "rid long, log_counts double, n_known long, n_tokens long, copies long")
+    return gathered.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("log_counts", "n_known", "n_tokens", "copies")))
 
 
 # ---- both ----

@@ -7,9 +7,11 @@ from tidewater.llm.mixing import op4_mixing
 from tidewater.llm.quality import OP6_SQL, op6_quality
 from tidewater.llm.sharding import op5_sharding
 from tidewater.llm.simhash import op8_simhash
+from tidewater.llm.suffix_dedup import op1_suffix_dedup
 from tidewater.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,

@@ -33,7 +33,7 @@ DEPTH, CONTEXTS = 5, 131_072
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text whose tokens one bucket counts, on average.
 BUCKET_BYTES = 16 << 20
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 _END_BYTE, _END_TOKEN = b"\xff", xxhash.xxh64_intdigest(b"\n")
 
 

@@ -34,7 +34,7 @@ from tidewater.storage import stash
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM
 #: Bytes of text that are ranked at once; those that one slice of level 3 holds; those whose ranks meet in a bucket.
-_PIECE, _SLICE, BUCKET_BYTES = 1 << 21, 4 << 20, 32 << 20
+_PIECE, _SLICE, BUCKET_BYTES = 1 << 21, 1 << 20, 8 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -138,6 +138,18 @@ def _positions(requests: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, sure[at]
 
 
+def _runs(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Positions ordered by text: the texts' ids, how many positions each has, and the steps between positions."""
+    docs, counts = np.unique(doc, return_counts=True)
+    steps = np.diff(at.astype(np.int32), prepend=np.int32(0))
+    return ids[docs].tobytes(), counts.astype(np.uint32).tobytes(), zstandard.compress(steps.tobytes(), 1)
+
+
+def _read_runs(rids: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.repeat(np.frombuffer(rids, np.int64), np.frombuffer(counts, np.uint32))
+    return owner, np.cumsum(np.frombuffer(zstandard.decompress(at), np.int32), dtype=np.int64).astype(np.uint32)
+
+
 def _fine(buckets: int):
     """Level 3, sending: the ranks at LENGTH of the positions asked for, packed by bucket; each rank once a slice."""
 
@@ -150,20 +162,18 @@ def _fine(buckets: int):
         repeats = (times > 1) | any_sure
         done = np.flatnonzero(repeats[which] & ~sure)
         bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        owner, place = doc[head], p[head]
+        order = np.lexsort((place, owner, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = {k: [] for k in ("bucket", "rids", "ranks", "docs", "at", "repeats", "done_docs", "done_at")}
+        out = {k: [] for k in ("bucket", "rids", "counts", "ranks", "at", "repeats", "done_rids", "done_counts", "done_at")}
         ids = np.array(rids, np.int64)
         home = int(ids[0] % buckets)  # of what this slice has decided itself
         for k in range(buckets):
-            e = order[cuts[k] : cuts[k + 1]]
-            d = done if k == home else done[:0]
+            e, d = order[cuts[k] : cuts[k + 1]], done if k == home else done[:0]
             if len(e) or len(d):
-                docs, local = np.unique(np.concatenate([doc[head[e]], doc[d]]), return_inverse=True)
-                local = local.astype(np.uint32)
-                row = (k, ids[docs].tobytes(), distinct[e].tobytes(), local[: len(e)].tobytes(), p[head[e]].tobytes(), repeats[e].tobytes(), local[len(e) :].tobytes(), p[d].tobytes())
-                for column, v in zip(out.values(), row, strict=True):
-                    column.append(v)
+                row = (k, *_runs(ids, owner[e], place[e]), distinct[e].tobytes(), np.packbits(repeats[e]).tobytes(), *_runs(ids, doc[d], p[d]))
+                for column, v in zip(("bucket", "rids", "counts", "at", "ranks", "repeats", "done_rids", "done_counts", "done_at"), row, strict=True):
+                    out[column].append(v)
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()], names=list(out))
 
     def send(batches):
@@ -179,7 +189,7 @@ def _fine(buckets: int):
                 for store, x in zip(held, (rid, rank, at, sure), strict=True):
                     store.append(x)
                 size += len(at)
-                if size >= _SLICE // 4:
+                if size >= _SLICE:
                     yield pack(*held)
                     held, size = ([], [], [], []), 0
         if size:
@@ -191,16 +201,15 @@ def _fine(buckets: int):
 def _meet(table: pa.Table) -> pa.Table:
     """Level 3, one bucket: the positions that repeat, one row for each text."""
     rows = table.to_pylist()
-    ahead = np.concatenate([[0], np.cumsum([len(r["rids"]) // 8 for r in rows])])
-    read = lambda column, kind: np.concatenate([np.frombuffer(r[column], kind) for r in rows])
-    move = lambda column: np.concatenate([np.frombuffer(r[column], np.uint32) + a for r, a in zip(rows, ahead, strict=False)])
-    rid, rank, p, repeats = read("rids", np.int64), read("ranks", np.uint64), read("at", np.uint32), read("repeats", bool)
+    owner, at = (np.concatenate(x) for x in zip(*(_read_runs(r["rids"], r["counts"], r["at"]) for r in rows), strict=True))
+    done_owner, done_at = (np.concatenate(x) for x in zip(*(_read_runs(r["done_rids"], r["done_counts"], r["done_at"]) for r in rows), strict=True))
+    rank = np.concatenate([np.frombuffer(r["ranks"], np.uint64) for r in rows])
+    repeats = np.concatenate([np.unpackbits(np.frombuffer(r["repeats"], np.uint8), count=len(r["ranks"]) // 8) for r in rows]).astype(bool)
     _, which, times = np.unique(rank, return_inverse=True, return_counts=True)
     here = repeats | (times[which] > 1)
-    doc = np.concatenate([move("docs")[here], move("done_docs")]).astype(np.int64)
-    at = np.concatenate([p[here], read("done_at", np.uint32)])
-    order = np.lexsort((at, rid[doc]))
-    owner, at = rid[doc][order], at[order]
+    owner, at = np.concatenate([owner[here], done_owner]), np.concatenate([at[here], done_at])
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
     cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
     ends = [*cuts[1:].tolist(), len(owner)]
     return pa.table({"rid": pa.array(owner[cuts]), "at": pa.array([at[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)], pa.binary())})
@@ -247,7 +256,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets), "bucket long, rids binary, ranks binary, docs binary, at binary, repeats binary, done_docs binary, done_at binary")
+    sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets), "bucket long, rids binary, counts binary, ranks binary, at binary, repeats binary, done_rids binary, done_counts binary, done_at binary")
     fine = sent.groupBy("bucket").applyInArrow(_meet, "rid long, at binary").groupBy("rid").agg(F.collect_list("at").alias("fine"))
     found = stash(whole.join(fine, "rid", "full"), "repeats")
     packed = rows.select("doc_id", "rid", "text").mapInArrow(_packed, f"doc_id {kind}, rid long, packed binary")

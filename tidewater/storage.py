@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,4 +29,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def release(spark: SparkSession, *used_up: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more, and let Spark remove the shuffle files of finished jobs,
+    which it does when the driver's JVM finds their handles unreachable."""
+    jvm = spark.sparkContext._jvm
+    for df in used_up:
+        path = jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.patterns import whole_text
-from tidewater.storage import stash
+from tidewater.storage import release, stash
 
 LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM
@@ -246,8 +246,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Level 1.
     twice = long_.select("text").mapInArrow(_grams_only, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     left = stash(long_.mapInArrow(_anchors, "g long, c long, rid long, at long").join(twice, "g"), "anchors")
+    release(docs.sparkSession)
     # Level 2.
     around = stash(left.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "surroundings")
+    release(docs.sparkSession)
     whole = left.join(around.filter("n > 1").select("g", "c"), ["g", "c"]).groupBy("rid").agg(F.collect_list("at").alias("around"))
     mixed = around.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
     known = F.when(F.col("n") > 1, 1).otherwise(0)
@@ -259,6 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets), "bucket long, rids binary, counts binary, ranks binary, at binary, repeats binary, done_rids binary, done_counts binary, done_at binary")
     fine = sent.groupBy("bucket").applyInArrow(_meet, "rid long, at binary").groupBy("rid").agg(F.collect_list("at").alias("fine"))
     found = stash(whole.join(fine, "rid", "full"), "repeats")
+    release(docs.sparkSession, left, around)
     packed = rows.select("doc_id", "rid", "text").mapInArrow(_packed, f"doc_id {kind}, rid long, packed binary")
     return packed.join(found, "rid", "left").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

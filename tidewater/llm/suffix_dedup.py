@@ -151,9 +151,10 @@ def _read_runs(rids: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.nd
 
 
 def _fine(buckets: int):
-    """Level 3, sending: the ranks at LENGTH of the positions asked for, packed by bucket; each rank once a slice."""
+    """Level 3, sending: the ranks at LENGTH of the positions asked for, packed by bucket; each rank once a slice. The
+    bucket follows from the smallest rank at GRAM within the string, which equal strings and most neighbours share."""
 
-    def pack(rids, ranks_, at, sure):
+    def pack(rids, ranks_, least, at, sure):
         doc = np.repeat(np.arange(len(rids), dtype=np.uint32), [len(x) for x in at])
         rank, p, sure = np.concatenate(ranks_), np.concatenate(at).astype(np.uint32), np.concatenate(sure)
         distinct, head, which, times = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
@@ -161,7 +162,7 @@ def _fine(buckets: int):
         np.logical_or.at(any_sure, which, sure)
         repeats = (times > 1) | any_sure
         done = np.flatnonzero(repeats[which] & ~sure)
-        bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+        bucket = (((np.concatenate(least)[head] * _A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         owner, place = doc[head], p[head]
         order = np.lexsort((place, owner, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -177,21 +178,22 @@ def _fine(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()], names=list(out))
 
     def send(batches):
-        held, size = ([], [], [], []), 0
+        held, size = ([], [], [], [], []), 0
         for batch in batches:
             for rid, blob, asked in zip(batch.column("rid").to_pylist(), batch.column("packed"), batch.column("asked").to_pylist(), strict=True):
                 data = _unpacked(blob.as_py())
                 at, sure = _positions(asked, len(data))
-                rank = np.zeros(len(at), np.uint64)
+                rank, least = np.zeros((2, len(at)), np.uint64)
                 for first, last, a, b in _pieces(len(data)):
                     if (some := (at >= first) & (at < last)).any():
-                        rank[some] = ranks(np.frombuffer(data, np.uint8, b - a, a))[1][at[some] - a]
-                for store, x in zip(held, (rid, rank, at, sure), strict=True):
+                        gram, whole = ranks(np.frombuffer(data, np.uint8, b - a, a))
+                        rank[some], least[some] = whole[at[some] - a], _sliding(gram, REACH + 1, np.minimum)[at[some] - a]
+                for store, x in zip(held, (rid, rank, least, at, sure), strict=True):
                     store.append(x)
                 size += len(at)
                 if size >= _SLICE:
                     yield pack(*held)
-                    held, size = ([], [], [], []), 0
+                    held, size = ([], [], [], [], []), 0
         if size:
             yield pack(*held)
 
@@ -254,6 +256,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = around.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
     known = F.when(F.col("n") > 1, 1).otherwise(0)
     asked = around.join(mixed, "g").select("one.rid", F.shiftleft("one.at", 1).bitwiseOR(known).alias("at")).groupBy("rid").agg(F.collect_list("at").alias("asked"))
+    whole, asked = stash(whole, "repeats-around"), stash(asked, "asked")
+    release(docs.sparkSession, left, around)
     # Level 3.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
@@ -261,7 +265,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets), "bucket long, rids binary, counts binary, ranks binary, at binary, repeats binary, done_rids binary, done_counts binary, done_at binary")
     fine = sent.groupBy("bucket").applyInArrow(_meet, "rid long, at binary").groupBy("rid").agg(F.collect_list("at").alias("fine"))
     found = stash(whole.join(fine, "rid", "full"), "repeats")
-    release(docs.sparkSession, left, around)
+    release(docs.sparkSession, whole, asked)
     packed = rows.select("doc_id", "rid", "text").mapInArrow(_packed, f"doc_id {kind}, rid long, packed binary")
     return packed.join(found, "rid", "left").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -160,6 +160,16 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.select("doc_id", "source", "size", "source_size", "target", "taken", "bucket", "ordinal"), slots.drop("s")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents, each as often as the mix takes it: taken words by size, rounded; wordless ones never. Rows that
+    share their id count together, and each is repeated by their mean."""
+    rows, _ = mix(docs)
+    copies = rows.filter("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
+    copies = copies.filter("_copies > 0")
+    repeated = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken")

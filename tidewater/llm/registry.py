@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from tidewater.llm.chat import op3_chat
 from tidewater.llm.decontaminate import OP7_SQL, op7_decontamination
 from tidewater.llm.language import op2_language
 from tidewater.llm.lm import op10_lm
@@ -13,6 +14,7 @@ from tidewater.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
+    "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,

@@ -131,22 +131,32 @@ def _level(seg: _Segments, capacity: int, n_shards: int) -> list[str]:
     return cuts
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot: equal texts together, bytes of the largest shard as few as can be."""
-    text = whole_text()
-    thin = stash(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key")),
-        "shard-rows",
-    )
-    groups = stash(thin.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
+def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
+    """rows(..., doc_id, size, key) with shard and slot."""
+    groups = stash(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     _, cuts = minimax_cuts(groups, n_shards)
     shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     cell = ["shard", "digits", "salt"]
-    rows = thin.withColumns({"shard": shard.cast("int"), "digits": F.substring("key", 1, 2), "salt": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(SALTS))})
+    rows = rows.withColumns({"shard": shard.cast("int"), "digits": F.substring("key", 1, 2), "salt": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(SALTS))})
     before = Window.partitionBy("shard").orderBy("digits", "salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(cell).agg(F.count("*").alias("n")).select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy(cell).orderBy("key", "doc_id", "size")))
-    return numbered.join(cells, cell).select("doc_id", "size", "text_crc32", "key", "shard", (F.col("base") + F.col("rn") - 1).alias("slot"))
+    return numbered.join(cells, cell).withColumn("slot", F.col("base") + F.col("rn") - 1).drop("digits", "salt", "rn", "base")
+
+
+def _thin(docs: DataFrame) -> DataFrame:
+    text = whole_text()
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
+
+
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, key, shard, slot: equal texts together, bytes of the largest shard as few as can be."""
+    return _placed(stash(_thin(docs), "shard-rows"), n_shards)
+
+
+def placed_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """Which documents (by id) lie in which shard and slot, with their size; texts are not moved."""
+    return shard_documents(docs, n_shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,17 +162,19 @@ def _blocks(benchmark: DataFrame):
         yield Automaton(block)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with two columns more: the hit words as bytes of 0 and 1 (null: none hit), and the items hit."""
+def _marked(docs: DataFrame, benchmark: DataFrame, finish, result) -> DataFrame:
+    """docs with two columns more, the hit words as bytes of 0 and 1 (null: none hit) and the items hit, put through
+    finish in the same pass as the last block of the benchmark; result: the schema that finish makes."""
     spark = docs.sparkSession
     flags, names = pa.field("_hit_words", pa.binary()), pa.field("_hit_items", pa.list_(pa.string()))
     columns = docs.columns
     out = docs.selectExpr(*(f"`{c}`" for c in columns), "cast(null as binary) as _hit_words", "cast(null as array<string>) as _hit_items")
-    schema = out.schema
-    for automaton in _blocks(benchmark):
+    schema, last = out.schema, None
+
+    def searching(automaton):
         sent = spark.sparkContext.broadcast(automaton)
 
-        def search(batches, sent=sent):
+        def search(batches):
             a = sent.value
             for batch in batches:
                 hit_words, hit_items = [], []
@@ -191,8 +193,13 @@ def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kept = [batch.column(k) for k in range(batch.num_columns - 2)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(hit_words, pa.binary()), pa.array(hit_items, pa.list_(pa.string()))], schema=pa.schema([*list(batch.schema)[:-2], flags, names]))
 
-        out = out.mapInArrow(search, schema)
-    return out
+        return search
+
+    for automaton in _blocks(benchmark):
+        if last is not None:
+            out = out.mapInArrow(last, schema)
+        last = searching(automaton)
+    return out.mapInArrow(finish if last is None else lambda batches: finish(last(batches)), result)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -206,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _marked(docs.select("doc_id", "text"), benchmark).mapInArrow(count, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+    return _marked(docs.select("doc_id", "text"), benchmark, count, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
 
 
 # A word of the text as it stands, for cutting spans out.
@@ -246,7 +253,7 @@ def spans_removed(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-2])).filter(pa.array(keep))
 
-    return _marked(docs, benchmark).mapInArrow(cut, docs.schema)
+    return _marked(docs, benchmark, cut, docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from tidewater.storage import stash
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Variants that a bucket holds on average (a bucket is read by one task), fingerprints that a task expands, and those
 #: it expands at once. Tasks and buckets follow the number of fingerprints, so each blob is of about the same size.
-BUCKET_ROWS, TASK_FINGERPRINTS, EXPAND = 1_000_000, 8192, 1024
+BUCKET_ROWS, TASK_FINGERPRINTS, EXPAND = 1_000_000, 8192, 512
 _CHUNK = 1 << 15
 
 

@@ -1,4 +1,6 @@
 """The queries of the engine, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidewater.plans import retrieval
+
+QUERIES = {**retrieval.QUERIES}
+SQL = {**retrieval.SQL}

@@ -82,7 +82,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     z, product = x + 8, np.ones_like(x)
     for k in range(8):
         product *= x + k
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - np.log(product)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
 
 
 def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

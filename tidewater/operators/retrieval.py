@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewater.functions.text import folded_tokens
 
@@ -152,7 +153,7 @@ def make_snippet(body: str | None, words: set[str], most: int = SNIPPET) -> str:
     return ("..." if a else "") + "".join(out) + body[at:b] + ("..." if b < len(body) else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snippet(body, query):
     return body.combine(query, lambda b, q: make_snippet(b, {_plain(w) for w in re.findall(r"[^\W_]+", q or "")}))
 

@@ -1,6 +1,6 @@
 """The queries of the engine, and the SQL that checks them."""
 
-from tidewater.plans import retrieval
+from tidewater.plans import analytics, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-SQL = {**retrieval.SQL}
+QUERIES = {**retrieval.QUERIES, **analytics.QUERIES}
+SQL = {**retrieval.SQL, **analytics.SQL}

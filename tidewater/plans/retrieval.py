@@ -9,7 +9,12 @@ from tidewater.operators import retrieval as R
 from tidewater.sources.tables import batch_numbers, corpus, since, table
 
 QUESTIONS = [("q1", "the heon tion of", 0), ("q2", "Und der heit, keit", 7), ("q3", "que las mente", 20), ("q4", "la que été ment", 33)]
-NOW = F.lit("2024-03-01").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2024-03-01").cast("timestamp_ntz")
+
+
 
 CORPUS = """corpus AS (SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, '/doc/' || doc_id AS url, lang AS category, source, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published_at FROM documents)"""
 TOKENS = r"regexp_extract_all(replace(replace(strip_accents(lower({})), 'đ', 'd'), 'Đ', 'D'), '[\p{{L}}\p{{N}}_]+')"
@@ -200,7 +205,7 @@ def _(spark, d):
 
 @query("time_decay", f"WITH {CORPUS} SELECT article_id, round({_DECAY}, 6) AS multiplier FROM corpus")
 def _(spark, d):
-    return corpus(spark, d).select("article_id", F.round(R.decay(F.col("published_at"), NOW), 6).alias("multiplier"))
+    return corpus(spark, d).select("article_id", F.round(R.decay(F.col("published_at"), now()), 6).alias("multiplier"))
 
 
 @query("noop_rerank", index_sql() + "SELECT query_id, article_id::BIGINT AS article_id, rank::INT AS rank, round(1.0::DOUBLE / rank, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM scores) WHERE rank <= 50")
@@ -227,7 +232,7 @@ def _head(df):
 
 def _funnel(mode):
     def run(spark, d):
-        return _head(R.search(questions(spark, d), corpus(spark, d), vectors(spark, d), labels(spark, d), NOW, mode, diversify=False))
+        return _head(R.search(questions(spark, d), corpus(spark, d), vectors(spark, d), labels(spark, d), now(), mode, diversify=False))
 
     return run
 
@@ -244,7 +249,7 @@ def _(spark, d):
 
 def _search(mode):
     def run(spark, d):
-        found = R.search(questions(spark, d), corpus(spark, d), vectors(spark, d), labels(spark, d), NOW, mode)
+        found = R.search(questions(spark, d), corpus(spark, d), vectors(spark, d), labels(spark, d), now(), mode)
         return found.select("query_id", "article_id", "title", "url", F.col("published_at").cast("string").alias("published_at"), "rank", R.snippet("body", "asked").alias("snippet"))
 
     return run

@@ -27,8 +27,8 @@ _FROM, _TO = _fold_map()
 
 
 def fold(x: Column) -> Column:
-    """Without diacritics; case stays."""
-    return F.translate(x, _FROM, _TO)
+    """Without diacritics; case stays. Plain ASCII text, which translate() would walk letter by letter, passes as it is."""
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(x, _FROM, _TO))
 
 
 def normalize(x: Column) -> Column:

@@ -19,14 +19,28 @@ HALF_LIFE, FRESH_HALF_LIFE, FLOOR = 30.0, 2.0, 0.5
 SNIPPET = 200
 
 
+def _words(articles: DataFrame) -> DataFrame:
+    return articles.select("article_id", folded_tokens(F.col("title")).alias("in_title"), folded_tokens(F.col("body")).alias("in_body"))
+
+
+def _length(title_weight: int) -> Column:
+    return title_weight * F.size("in_title") + F.size("in_body")
+
+
+def _occurrences(words: DataFrame, title_weight: int, *more: str) -> DataFrame:
+    """A row for each token of each article, with its weight; every text is tokenised once."""
+    weighed = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    both = F.concat(weighed("in_title", title_weight), weighed("in_body", 1))
+    return words.select("article_id", *more, F.explode(both).alias("o")).select("article_id", *more, "o.token", "o.w")
+
+
 def postings(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     """article_id, token, tf: title tokens count title_weight times."""
-    part = lambda c, w: articles.select("article_id", F.explode(folded_tokens(F.col(c))).alias("token"), F.lit(w).alias("w"))
-    return part("title", title_weight).union(part("body", 1)).groupBy("article_id", "token").agg(F.sum("w").alias("tf"))
+    return _occurrences(_words(articles), title_weight).groupBy("article_id", "token").agg(F.sum("w").alias("tf"))
 
 
 def lengths(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
-    return articles.select("article_id", (title_weight * F.size(folded_tokens(F.col("title"))) + F.size(folded_tokens(F.col("body")))).alias("dl"))
+    return _words(articles).select("article_id", _length(title_weight).alias("dl"))
 
 
 def top(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -39,11 +53,12 @@ def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed:
     """query_id, article_id, score, rank. Document frequencies and lengths are those of all articles; allowed
     (article_id) restricts what is scored."""
     asked = queries.select("query_id", F.explode(folded_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    dl = lengths(articles, title_weight)
-    stats = dl.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    found = postings(articles, title_weight).join(asked.select("token").distinct(), "token", "left_semi")
+    stats = lengths(articles, title_weight).agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    # Only occurrences of query tokens are grouped; each brings its article's length along.
+    every = _occurrences(_words(articles).withColumn("dl", _length(title_weight)), title_weight, "dl")
+    found = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("article_id", "token").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
     df = found.groupBy("token").agg(F.count("*").alias("df"))
-    scored = found.join(asked.join(df, "token").crossJoin(stats), "token").join(dl, "article_id")  # stats: one row
+    scored = found.join(asked.join(df, "token").crossJoin(stats), "token")  # stats: one row
     if allowed is not None:
         scored = scored.join(allowed, "article_id", "left_semi")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -14,7 +14,7 @@ from tidewater.operators import similarity as S
 from tidewater.operators import understanding as U
 from tidewater.operators.retrieval import bm25, postings
 from tidewater.plans.retrieval import CORPUS, RANK, TOKENS, index_sql, questions
-from tidewater.sources.tables import by_ids, corpus, table
+from tidewater.sources.tables import by_ids, corpus, spread, table
 from tidewater.storage import shared_folder, stash
 from tidewater.streaming import events as streams
 
@@ -90,7 +90,7 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(ran
 
 @query("shingles", f"WITH {_SHINGLES} SELECT doc_id, len(g)::INT AS n, list_min(g) AS first, list_max(g) AS last FROM s")
 def _(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.shingles(F.col("text")).alias("g"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.shingles(F.col("text")).alias("g"))
     return rows.select("doc_id", F.size("g").alias("n"), F.array_min("g").alias("first"), F.array_max("g").alias("last"))
 
 
@@ -115,7 +115,7 @@ def _(spark, d):
 
 
 def _graph(spark, d):
-    return E.edges(table(spark, d, "documents").withColumnRenamed("doc_id", "article_id"))
+    return E.edges(spread(table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")))
 
 
 @query("entity_extract")

@@ -36,10 +36,16 @@ def jdbc_articles(spark: SparkSession, url: str, schema: str, table_name: str, l
     return spark.read.format("jdbc").options(**options).load().filter("deleted_at is null")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores where the scan has fewer splits than the cluster has cores (a small file is one split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as articles: the first line is the title, the rest the body."""
     at = F.locate("\n", F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(at > 0, F.expr("substring(text, locate('\n', text) + 1)")).otherwise("").alias("body"),

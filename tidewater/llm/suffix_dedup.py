@@ -246,9 +246,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     long_ = rows.filter(F.octet_length("text") >= LENGTH).select("rid", "text")
     # Level 1.
+    # Written first, so that the join below is of two plain shuffles, which Spark can split where a rank is hot.
     twice = long_.select("text").mapInArrow(_grams_only, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    twice = stash(twice, "grams")
     left = stash(long_.mapInArrow(_anchors, "g long, c long, rid long, at long").join(twice, "g"), "anchors")
-    release(docs.sparkSession)
+    release(docs.sparkSession, twice)
     # Level 2.
     around = stash(left.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "surroundings")
     release(docs.sparkSession)

@@ -133,3 +133,37 @@ def test_upserts_keep_the_latest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events.upserts(events.stream_table(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check"))
     assert [tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out/1")).collect()] == [("a", 3, "published", "three")]
+
+
+def test_cache_forgets(spark):
+    from tidewater.operators.cache import ResultCache
+
+    now = [0.0]
+    cache = ResultCache(ttl=10, size=2, clock=lambda: now[0])
+    cache.set("x", 1, "q")
+    assert cache.get(1, "q") == "x" and cache.get(2, "q") is None
+    cache.set("y", 1, "r")
+    cache.get(1, "q")
+    cache.set("z", 1, "s")
+    assert cache.get(1, "r") is None and cache.get(1, "q") == "x"
+    now[0] = 10.0
+    assert cache.get(1, "q") is None
+
+
+def test_index_generations(spark, tmp_path):
+    from tidewater.plans import index
+
+    article = lambda i, body, n, status=None, at="2026-07-07T12:00:00": (i, f"Title {i}", body, f"/{i}", at, " ", None, None, status, [" t ", ""], n)
+    schema = tables.ARTICLE + ", arrival long"
+    folder = str(tmp_path / "index")
+    assert index.current(spark, folder) is None
+    first = [article("a", "<p>one</p>", 1), article("a", "<p>two &amp; more</p>", 2), article("b", "bee", 3), article("c", "", 4), article("d", "dee", 5, at="soon"), article("e", "eee", 6, "draft")]
+    assert index.build(spark.createDataFrame(first, schema), folder, "arrival") == 0
+    assert {r["article_id"]: r["body"] for r in index.read(spark, folder, "articles").collect()} == {"a": "two & more", "b": "bee"}
+    assert {r["article_id"]: r["missing"] for r in index.read(spark, folder, "rejected").collect()} == {"c": "body", "d": "published_at"}
+    row = index.read(spark, folder, "articles").filter("article_id = 'a'").first()
+    assert row["author"] is None and row["tags"] == ["t"] and row["published_at"] == datetime.datetime(2026, 7, 7, 5)
+    gone = spark.createDataFrame([("a",)], "article_id string")
+    assert index.build(spark.createDataFrame([article("b", "new bee", 7)], schema), folder, "arrival", gone) == 1
+    assert {r["article_id"]: r["body"] for r in index.read(spark, folder, "articles").collect()} == {"b": "new bee"}
+    assert {r["token"] for r in index.read(spark, folder, "postings").collect()} == {"title", "b", "new", "bee"}

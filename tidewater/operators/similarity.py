@@ -55,7 +55,7 @@ def signatures(articles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array(rows, pa.binary())], names=["article_id", "signature"])
 
     text = F.concat_ws("\n", "title", "body")
-    return articles.select("article_id", folded_tokens(text).alias("t")).mapInArrow(of, "article_id long, signature binary")
+    return articles.select("article_id", folded_tokens(text).alias("t")).mapInArrow(of, f"article_id {articles.schema['article_id'].dataType.simpleString()}, signature binary")
 
 
 def clusters(articles: DataFrame) -> DataFrame:
@@ -131,4 +131,4 @@ def embeddings(articles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array(rows, pa.list_(pa.float32()))], names=["article_id", "embedding"])
 
     text = fold(F.lower(F.concat_ws("\n", "title", "body")))
-    return articles.select("article_id", text.alias("text")).mapInArrow(of, "article_id long, embedding array<float>")
+    return articles.select("article_id", text.alias("text")).mapInArrow(of, f"article_id {articles.schema['article_id'].dataType.simpleString()}, embedding array<float>")

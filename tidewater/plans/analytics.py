@@ -12,6 +12,7 @@ from tidewater.operators import entities as E
 from tidewater.operators import logs as L
 from tidewater.operators import similarity as S
 from tidewater.operators import understanding as U
+from tidewater.operators.ingest import prometheus
 from tidewater.operators.retrieval import bm25, postings
 from tidewater.plans.retrieval import CORPUS, RANK, TOKENS, index_sql, questions
 from tidewater.sources.tables import by_ids, corpus, spread, table
@@ -204,6 +205,11 @@ def _(spark, d):
     return L.alerts(L.metrics(_log(spark, d), "event_id"), p95=20)
 
 
+@query("metrics_lines", f"WITH {_LOG}, m AS (SELECT count(*) AS n, count(*) FILTER (kind = 'click') AS c FROM log) SELECT 'tidewater_searches ' || n AS line FROM m UNION ALL SELECT 'tidewater_clicks ' || c FROM m")
+def _(spark, d):
+    return prometheus(_log(spark, d).agg(F.count("*").alias("searches"), F.count_if(F.col("kind") == "click").alias("clicks")))
+
+
 @query("ab_variant", "SELECT item_id, CASE WHEN ('0x' || substr(md5(text), 32, 1))::INT % 2 = 1 THEN 'B' ELSE 'A' END AS variant FROM benchmark")
 def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.variant(F.col("text")).alias("variant"))
@@ -253,3 +259,12 @@ def _(spark, d):
     log = streams.stream_table(spark, f"{folder}/in", "ts timestamp, kind string")
     counted = streams.run_once(streams.daily_counts(log), f"ctr_{uuid.uuid4().hex}", f"{folder}/checkpoint")
     return counted.select(F.col("day").cast("timestamp_ntz"), "searches", "clicks")
+
+
+@query("stream_ingest", "SELECT user_id AS article_id, event_id AS arrival FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1 AND event_type <> 'error'")
+def _(spark, d):
+    folder, schema = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}", "article_id long, arrival long, status string"
+    status = F.when(F.col("event_type") == "error", "draft").otherwise("published")
+    table(spark, d, "events").select(F.col("user_id").alias("article_id"), F.col("event_id").alias("arrival"), status.alias("status")).write.parquet(f"{folder}/in")
+    streams.upserts(streams.stream_table(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{folder}/out/0").select("article_id", "arrival")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.storage import exists
+
 ARTICLE = "article_id string, title string, body string, url string, published_at string, author string, category string, source string, status string, tags array<string>"
 EVENT = "kind string, search_id string, query string, mode string, top_k int, result_ids array<string>, num_results int, zero_result boolean, variant string, article_id string, position int, dwell_ms int, ts string"
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
@@ -22,8 +24,7 @@ def json_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
     """Malformed and blank lines are skipped; a missing file is an empty table."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 

@@ -34,6 +34,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def release(spark: SparkSession, *used_up: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more, and let Spark remove the shuffle files of finished jobs,
     which it does when the driver's JVM finds their handles unreachable."""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.logs import latest
+from tidewater.storage import exists
 
 
 def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -30,7 +28,7 @@ def upserts(articles: DataFrame, target: str, checkpoint: str) -> None:
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = latest(batch, "article_id", "arrival")
-        if number and os.path.isdir(f"{target}/{number - 1}"):
+        if number and exists(spark, f"{target}/{number - 1}/_SUCCESS"):
             old = spark.read.parquet(f"{target}/{number - 1}").join(new, "article_id", "left_anti")
             new = old.unionByName(new)
         new.filter("status = 'published'").write.mode("overwrite").parquet(f"{target}/{number}")
@@ -41,6 +39,3 @@ def upserts(articles: DataFrame, target: str, checkpoint: str) -> None:
 def stream_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
-
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="tidewater-stream-")

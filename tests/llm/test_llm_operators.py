@@ -15,7 +15,7 @@ import xxhash
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import differences  # noqa: E402
 
-from tidewater.llm import chat, decontaminate, language, lm, mixing, quality, registry, sharding, simhash, suffix_dedup, toxicity  # noqa: E402
+from tidewater.llm import chat, decontaminate, language, lm, mixing, near_text, quality, registry, sharding, simhash, suffix_dedup, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, key string, h string, rid string"
@@ -251,7 +251,7 @@ def test_simhash(docs, none, rows):
                 if (fps[a] ^ fps[b]).bit_count() <= 3 and root[b] < root[a]:
                     root[a], changed = root[b], True
     assert {r["doc_id"]: r["component_id"] for r in got} == root
-    kept = simhash.one_of_each(docs)
+    kept = near_text.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(root.values()))
     assert simhash.near_duplicates(none).count() == 0

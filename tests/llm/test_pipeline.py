@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from tidewater.llm import simhash
+from tidewater.llm import near_text
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_stages(spark, folder):
     assert not any("item5" in r["text"] for r in seen["decontamination"])
     assert all(r["n_chars"] == len(r["text"]) for r in seen["decontamination"] if r["doc_id"] == 53)
     assert ids["sharding"] == ids["mixing"] and len(seen["sharding"]) == len(seen["mixing"])
-    assert simhash.RADIUS == 3
+    assert (near_text.SHINGLE, near_text.RADIUS) == (5, 2)
 
 
 def test_run(spark, folder):

@@ -12,7 +12,7 @@ and are put together before. Variants travel packed, 10 bytes each, in one blob
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; repeated rows fall into
 one component; component ids are the smallest doc_id (nulls last); an empty table gives an empty result; extra
-columns are ignored by the query and kept by one_of_each().
+columns are ignored. near_text.py applies the same method to texts that are similar rather than nearly equal.
 """
 
 from __future__ import annotations
@@ -129,13 +129,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return each.join(stash(classes, "fingerprint-classes"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: the one with the smallest doc_id (of rows that share an id, one).
-    Documents without an id can't be told apart and all stay."""
-    stays = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

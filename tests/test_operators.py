@@ -25,6 +25,7 @@ def one(spark, value, of):
         (T.fold, "Đồng Tháp", "Dong Thap"),
         (T.tokens, "Giá vàng SJC, hôm nay tăng 2%!", ["giá", "vàng", "sjc", "hôm", "nay", "tăng", "2"]),
         (T.clean_html, "<p>A &lt;b&gt; &quot;C&quot; &nbsp; D</p>", 'A <b> "C" D'),
+        (T.unescape, "&amp;lt; &eacute;&#8217;&#x2019; &#38;lt; &unknown; &#7; 5 &lt; 6 &apos;", "&lt; é’’ &lt; &unknown; &#7; 5 < 6 '"),
         (T.clean_html, "Giá 1 < 2 và 3 > 2 nhé.", "Giá 1 < 2 và 3 > 2 nhé."),
         (T.fresh_intent, "ô nhiễm môi trường", False),
         (T.fresh_intent, "tin mới về môi trường", True),
@@ -167,3 +168,39 @@ def test_index_generations(spark, tmp_path):
     assert index.build(spark.createDataFrame([article("b", "new bee", 7)], schema), folder, "arrival", gone) == 1
     assert {r["article_id"]: r["body"] for r in index.read(spark, folder, "articles").collect()} == {"b": "new bee"}
     assert {r["token"] for r in index.read(spark, folder, "postings").collect()} == {"title", "b", "new", "bee"}
+
+
+def test_engine(spark, tmp_path):
+    from tidewater.plans import engine
+
+    words = ["giá vàng tăng mạnh hôm qua", "đội tuyển thắng trận lớn", "giá xăng giảm nhẹ", "Công ty Vàng Xanh mở kho", "giá vàng tăng mạnh hôm qua"]
+    rows = [(f"a{k}", f"Tin {k}", f"{w} ở Hà Nội", f"/{k}", f"2026-07-0{k + 1}T12:00:00+07:00", None, "kinh-te" if k % 2 == 0 else "khac", None, None, None) for k, w in enumerate(words)]
+    raw = spark.createDataFrame(rows, tables.ARTICLE)
+    made = engine.SearchEngine(spark, str(tmp_path / "index"))
+    assert made.index(raw) == 0
+    now = F.lit("2026-07-10 00:00:00").cast("timestamp")
+    for mode in ("lexical", "semantic", "hybrid"):
+        _, found = made.ask("giá vàng", mode, 3, now=now)
+        assert found[0]["article_id"] in ("a0", "a4") and set(found[0]) == {"article_id", "title", "url", "published_at", "snippet"}
+    assert "<b>giá</b>" in found[0]["snippet"] and found[0]["published_at"].endswith("+07:00")
+    # Equal bodies under different titles are one cluster only if near enough; filters restrict what is found.
+    only = {r["article_id"] for r in made.search(spark.createDataFrame([("q", "giá")], "query_id string, text string"), filters=engine.Filters(category=" KHAC "), now=now).collect()}
+    assert only == {"a1", "a3"}
+    indexed = retrieval.bm25_indexed(spark.createDataFrame([("q", "giá vàng hà")], "query_id string, text string"), made.table("postings"), made.table("lengths"))
+    plain = retrieval.bm25(spark.createDataFrame([("q", "giá vàng hà")], "query_id string, text string"), made.table("articles"))
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, plain.collect()))
+    search_id, none = made.ask("@@@ ###", now=now)
+    assert none == []
+    made.click(search_id, "a0", 1, 1200)
+    assert tuple(made.feedback().first())[:2] == (4, 1) and made.metrics().first()["searches"] == 4
+    assert made.alerts().first()[0] == ""
+    assert ("Hà Nội", "LOC") in {tuple(r) for r in made.entities_of("a1").collect()}
+    assert made.understand(spark.createDataFrame([("q", "vangg tang")], "query_id string, text string")).first()["expanded"] == "vang tang"
+    assert made.remove(spark.createDataFrame([("a0",), ("zz",)], "article_id string")) == 1 and made.stats()["articles"] == 4
+    assert made.reindex(raw.limit(2)) == 2 and made.stats()["articles"] == 2
+    for bad in (lambda: made.ask(" "), lambda: made.ask("x", k=0), lambda: made.ask("x", "other"), lambda: engine.SearchEngine(spark, "x", reranker="other")):
+        with pytest.raises(ValueError):
+            bad()
+    engine.register_functions(spark)
+    got = spark.sql("SELECT tw_fold('Đồng Tháp') AS f, tw_tokens('Giá 2%') AS t, tw_normalize('  A \t b ') AS n, tw_variant('q') AS v, tw_snippet('giá vàng', 'gia') AS s").first()
+    assert (got["f"], got["t"], got["n"], got["s"]) == ("Dong Thap", ["giá", "2"], "a b", "<b>giá</b> vàng") and got["v"] in "AB"

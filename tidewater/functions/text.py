@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import unicodedata
 
 from pyspark.sql import Column
@@ -47,15 +48,35 @@ def has_tag(x: Column) -> Column:
     return x.rlike(r"<!--|</?[A-Za-z][^>]*>")
 
 
+_NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items() if name != "amp"} | {"apos": "'"}
+
+
+def unescape(x: Column) -> Column:
+    """Named and numeric character references, each once: `&amp;lt;` becomes `&lt;`. The ampersand comes last, therefore;
+    names that are not known and numbers of no character, or of a control character, stay."""
+    named = F.create_map(*(F.lit(v) for pair in _NAMED.items() for v in pair))
+
+    def char(ref: Column) -> Column:
+        code = F.when(ref.rlike("^#[0-9]+$"), F.conv(F.substring(ref, 2, 9), 10, 10)).when(ref.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(F.substring(ref, 3, 9), 16, 10)).cast("long")
+        fine = code.between(32, 0x10FFFF) & ~code.between(0x7F, 0x9F) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        return F.coalesce(named[ref], F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+    def of(text: Column) -> Column:
+        refs = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[A-Za-z0-9]{1,9});"), F.lit(1))), lambda r: char(r).isNotNull())
+        return F.aggregate(refs, text, lambda t, r: F.replace(t, F.concat(F.lit("&"), r, F.lit(";")), char(r)))
+
+    # An array of one evaluates x once.
+    return F.regexp_replace(F.element_at(F.transform(F.array(x), of), 1), "&(amp|#38|#[xX]26);", "&")
+
+
 def clean_html(x: Column) -> Column:
-    """Scripts, styles and comments go, block tags become line breaks and other tags spaces; then the common entities
-    are resolved, white space collapses within lines, and blank lines go. Text without tags is only trimmed."""
+    """Scripts, styles and comments go, block tags become line breaks and other tags spaces; then entities are resolved,
+    white space collapses within lines, and blank lines go. Text without tags is only trimmed."""
     y = F.regexp_replace(x, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     y = F.regexp_replace(y, r"(?s)<!--.*?-->", " ")
     y = F.regexp_replace(y, r"(?i)</?(?:p|div|br)\b[^>]*>", "\n")
     y = F.regexp_replace(y, r"(?s)</?[A-Za-z!][^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        y = F.replace(y, F.lit(name), F.lit(char))
+    y = unescape(y)
     lines = F.transform(F.split(y, r"[\n\r]+"), lambda line: F.trim(F.regexp_replace(line, _SPACE, " ")))
     return F.when(has_tag(x), F.array_join(F.filter(lines, lambda line: line != ""), "\n")).otherwise(F.trim(x))
 

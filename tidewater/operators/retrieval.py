@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewater.functions.text import folded_tokens
+from tidewater.functions.text import folded_tokens, fresh_intent, tokens
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 CANDIDATES, RRF_K, RERANK_TOP, POOL, LAMBDA = 100, 60, 50, 30, 0.7
@@ -52,11 +52,28 @@ def top(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
 def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     """query_id, article_id, score, rank. Document frequencies and lengths are those of all articles; allowed
     (article_id) restricts what is scored."""
-    asked = queries.select("query_id", F.explode(folded_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    stats = lengths(articles, title_weight).agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    asked = _asked(queries)
     # Only occurrences of query tokens are grouped; each brings its article's length along.
     every = _occurrences(_words(articles).withColumn("dl", _length(title_weight)), title_weight, "dl")
     found = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("article_id", "token").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+    return _scored(asked, found, lengths(articles, title_weight), k, allowed)
+
+
+def bm25_indexed(queries: DataFrame, posted: DataFrame, sizes: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
+    """bm25() from stored postings(article_id, token, tf) and lengths(article_id, dl): no text is read. Postings that
+    are written in order of tokens are pruned to the files that can hold those asked for."""
+    asked = _asked(queries)
+    found = posted.join(asked.select("token").distinct(), "token", "left_semi").join(sizes, "article_id")
+    return _scored(asked, found, sizes, k, allowed)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(folded_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def _scored(asked: DataFrame, found: DataFrame, sizes: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """found(article_id, token, tf, dl) -> the k best of each query."""
+    stats = sizes.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     scored = found.join(asked.join(df, "token").crossJoin(stats), "token")  # stats: one row
     if allowed is not None:
@@ -86,10 +103,12 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, allowed:
 
 def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """query_id, article_id, score: sum of 1 / (k + rank) over the rankings that hold the article."""
-    every = rankings[0].select("query_id", "article_id", "rank")
+    part = lambda r, name: r.select("query_id", "article_id", (1 / (k + F.col("rank"))).alias(name))
+    every = part(rankings[0], "score")
     for r in rankings[1:]:
-        every = every.union(r.select("query_id", "article_id", "rank"))
-    return every.groupBy("query_id", "article_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
+        both = F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+        every = every.join(part(r, "more"), ["query_id", "article_id"], "full").select("query_id", "article_id", both.alias("score"))
+    return every.withColumn("score", F.round("score", 9))
 
 
 def decay(published: Column, now: Column, half_life: Column | float = HALF_LIFE, floor: float = FLOOR) -> Column:
@@ -173,20 +192,28 @@ def snippet(body, query):
     return body.combine(query, lambda b, q: make_snippet(b, {_plain(w) for w in re.findall(r"[^\W_]+", q or "")}))
 
 
-def search(queries: DataFrame, articles: DataFrame, vectors: DataFrame, clusters: DataFrame, now: Column, mode: str = "hybrid", k: int = 10, allowed: DataFrame | None = None, diversify: bool = True) -> DataFrame:
-    """queries(query_id, text, vector) -> the five fields of each result with its rank: retrieval, fusion, decay, the
-    first RERANK_TOP re-ranked by place, one of each cluster, MMR, snippet."""
+def search(
+    queries: DataFrame, articles: DataFrame, vectors: DataFrame, clusters: DataFrame, now: Column, mode: str = "hybrid", k: int = 10, allowed: DataFrame | None = None, diversify: bool = True,
+    index: tuple[DataFrame, DataFrame] | None = None, rerank=None,
+) -> DataFrame:
+    """queries(query_id, text, vector) -> the five fields of each result with its rank: retrieval, fusion, decay (faster
+    where fresh news is asked for), the first RERANK_TOP re-ranked by place, one of each cluster, MMR, snippet.
+
+    A query without a token finds nothing, in any mode. index gives stored postings and lengths in place of the texts;
+    rerank(ranked, queries, articles) -> ranked takes the place of re-ranking by place."""
     if mode not in ("lexical", "semantic", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
+    queries = queries.filter(F.size(tokens(F.col("text"))) > 0)
     branches = []
     if mode != "semantic":
-        branches.append(bm25(queries, articles, CANDIDATES, allowed))
+        branches.append(bm25_indexed(queries, *index, CANDIDATES, allowed) if index else bm25(queries, articles, CANDIDATES, allowed))
     if mode != "lexical":
         branches.append(cosine(queries, vectors, CANDIDATES, allowed))
     fused = rrf(*branches) if mode == "hybrid" else branches[0]
-    dated = fused.select("query_id", "article_id", "score").join(articles.select("article_id", "published_at"), "article_id")
-    ranked = top(dated.withColumn("score", F.round(F.col("score") * decay(F.col("published_at"), now), 9)), RERANK_TOP)
-    ranked = collapse(rerank_by_place(ranked.drop("published_at")), clusters)
+    half = F.when(fresh_intent(F.col("text")), FRESH_HALF_LIFE).otherwise(HALF_LIFE)
+    dated = fused.select("query_id", "article_id", "score").join(articles.select("article_id", "published_at"), "article_id").join(queries.select("query_id", half.alias("half")), "query_id")
+    ranked = top(dated.withColumn("score", F.round(F.col("score") * decay(F.col("published_at"), now, F.col("half")), 9)), RERANK_TOP).drop("published_at", "half")
+    ranked = collapse(rerank(ranked, queries, articles) if rerank else rerank_by_place(ranked), clusters)
     final = mmr(ranked, vectors, k) if diversify else ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
     texts = articles.select("article_id", "title", "url", "published_at", "body")
     return final.select("query_id", "article_id", "rank").join(texts, "article_id").join(queries.select("query_id", F.col("text").alias("asked")), "query_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from tidewater.operators.entities import edges
 from tidewater.operators.ingest import normalize_articles
 from tidewater.operators.logs import latest
 from tidewater.operators.retrieval import lengths, postings
-from tidewater.operators.similarity import embeddings, signatures
-from tidewater.storage import exists
+from tidewater.operators.similarity import clusters, embeddings, signatures
+from tidewater.storage import exists, stash
 
-TABLES = ("articles", "rejected", "postings", "lengths", "signatures", "vectors", "entities")
+TABLES = ("articles", "rejected", "postings", "lengths", "signatures", "vectors", "clusters", "entities")
 
 
 def current(spark: SparkSession, folder: str) -> int | None:
@@ -30,22 +32,34 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{number}/{name}")
 
 
-def build(raw: DataFrame, folder: str, arrival: str | None = None, deleted: DataFrame | None = None) -> int:
+def build(raw: DataFrame, folder: str, arrival: str | None = None, deleted: DataFrame | None = None, anew: bool = False, embedder: Callable[[DataFrame], DataFrame] = embeddings) -> int:
     """Write the next generation: the articles of the last one, replaced by raw's by id (the last to arrive, if a column
-    says so), without unpublished and deleted ones, and the tables that follow from them. Returns its number."""
+    says so), without unpublished and deleted ones, and the tables that follow from them. Returns its number. With
+    anew, nothing of the last generation stays; searches see the new one only when it is complete."""
     spark = raw.sparkSession
     before = current(spark, folder)
     number = 0 if before is None else before + 1
     path = f"{folder}/{number}"
     articles, rejected = normalize_articles(latest(raw, "article_id", arrival).drop(arrival) if arrival else raw.dropDuplicates(["article_id"]))
     rejected.select("article_id", "missing").write.mode("overwrite").parquet(f"{path}/rejected")
-    if before is not None:
+    if before is not None and not anew:
         articles = spark.read.parquet(f"{folder}/{before}/articles").join(articles.select("article_id"), "article_id", "left_anti").unionByName(articles)
     if deleted is not None:
         articles = articles.join(deleted, "article_id", "left_anti")
     articles.filter("status = 'published'").write.mode("overwrite").parquet(f"{path}/articles")
     kept = spark.read.parquet(f"{path}/articles")
     text = F.concat_ws("\n", "title", "body").alias("text")
-    for name, table in (("postings", postings(kept)), ("lengths", lengths(kept)), ("signatures", signatures(kept)), ("vectors", embeddings(kept)), ("entities", edges(kept.select("article_id", text)))):
+    # In order of tokens, so that a search reads the files and pages of its own tokens only.
+    ordered = postings(kept).repartitionByRange("token", "article_id").sortWithinPartitions("token")
+    tables = {"postings": ordered, "lengths": lengths(kept), "signatures": signatures(kept), "vectors": embedder(kept), "clusters": _clusters(kept), "entities": edges(kept.select("article_id", text))}
+    for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     return number
+
+
+def _clusters(articles: DataFrame) -> DataFrame:
+    """article_id, cluster_id (an article_id); articles arrive in order of publication, ties by id."""
+    numbered = stash(articles.select("article_id", "title", "body", "published_at").orderBy("published_at", "article_id").withColumn("nth", F.monotonically_increasing_id()), "numbered")
+    found = clusters(numbered.select(F.col("nth").alias("article_id"), "title", "body")).select(F.col("article_id").alias("nth"), F.col("cluster_id").alias("first"))
+    first = numbered.select(F.col("nth").alias("first"), F.col("article_id").alias("cluster_id"))
+    return numbered.select("nth", "article_id").join(found, "nth").join(first, "first").select("article_id", "cluster_id")

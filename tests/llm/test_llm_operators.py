@@ -330,3 +330,25 @@ def test_tree_is_a_distribution_and_mixes(spark):
     # A binary source without context: the mixture comes near to KT on its own.
     zeros = lm._estimate(np.array([[3.0] + [0.0] * 255]))
     assert math.isclose(zeros[0][0, 1], math.log(0.5 * 1.5 / 2 * 2.5 / 3), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("block_codes", [4 << 20, 1000])
+def test_language_model_equals_the_whole_tree(spark, monkeypatch, block_codes):
+    """In one block or in several; no number of contexts (there was a bound by this name) is too many."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "BLOCK_CODES", block_codes, raising=False)
+    monkeypatch.setattr(lm, "CONTEXTS", 100, raising=False)
+    rng = np.random.default_rng(8)
+    # Copies, so that long contexts foretell the next byte.
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 100)) for _ in range(5)]
+    rows = [(k, texts[k % 5], k % 7 != 2) for k in range(60)]
+    codes, n = np.unique(np.concatenate([lm.context_codes(t.encode()) for _, t, train in rows if train]), return_counts=True)
+    codes, levels = codes.astype(np.int64), []
+    for depth in range(2, lm.DEPTH + 1):
+        part, where = np.unique(codes & ((1 << (8 * depth + 8)) - 1), return_inverse=True)
+        order = np.lexsort((part & 255, part >> 8, (part >> 8) & 0xFFFF))
+        levels.append((part[order] >> 8, part[order] & 255, np.bincount(where, n)[order]))
+    tree = lm.Tree(levels)
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train")).collect()}
+    assert all(math.isclose(got[k], tree.score(t.encode()), rel_tol=1e-5) for k, t, _ in rows)

@@ -3,10 +3,12 @@
 Bytes (A-Z lowered, one end mark behind each text) are decomposed into eight binary decisions; every decision has a
 tree of contexts, the bytes before it, up to DEPTH. Each context keeps a Krichevsky-Trofimov estimate, and every
 inner context weighs its own estimate against those of its longer contexts by how well each coded the training
-bytes, so a prediction mixes the estimates of all depths. The counts of (context, byte) are gathered from all
-training texts; the tree keeps all contexts of up to two bytes and the CONTEXTS most frequent longer ones, what is
-left of a context forming one context of its own. So the finished model, a table of log probabilities of bytes, has
-at most CONTEXTS + 65,536 + 256 rows and can be sent to all executors.
+bytes, so a prediction mixes the estimates of all depths. Every context counts, however rare. The different codes (a context of DEPTH bytes and the byte behind
+it) of all texts are a distributed table with their training counts. Codes whose contexts end with the same two bytes
+share all longer contexts, so buckets of such pairs are weighed and mixed apart from each other; only the two shortest
+depths (256 contexts) are put together on the driver. Only decisions that occur are held, not 256 for each context.
+The finished model, one log probability for each code, is sent in blocks of BLOCK_CODES; each block is one pass over
+the texts, which adds its share to their scores.
 
 The base's token counts stay distributed: every document sends its different tokens, hashed to 64 bits and packed by
 bucket, to where they are counted, and gets back its share of the sum.
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.patterns import id_remainder, whole_text
 from tidewater.storage import stash
 
-DEPTH, CONTEXTS = 5, 131_072
+DEPTH = 5
+#: Codes that are mixed in one bucket, on average, and codes in one block of the finished model.
+BUCKET_CODES, BLOCK_CODES = 100_000, 4 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text whose tokens one bucket counts, on average.
 BUCKET_BYTES = 16 << 20
@@ -56,22 +60,25 @@ def context_codes(data: bytes) -> np.ndarray:
 
 
 def _count(batches):
-    """(code, n) over all texts of a task."""
-    codes, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    """(code, n) over all texts of a task: n counts in training texts; the codes of others are there with 0."""
+    codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    waiting, size = {True: [], False: []}, 0
 
     def merged():
-        new, n = np.unique(np.concatenate(waiting), return_counts=True)
-        both, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        return both, np.bincount(where, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+        new = {train: np.unique(np.concatenate(x), return_counts=True) for train, x in waiting.items() if x}
+        both, where = np.unique(np.concatenate([codes, *(x for x, _ in new.values())]), return_inverse=True)
+        n = np.concatenate([counts, *(n * train for train, (_, n) in new.items())])
+        return both, np.bincount(where, n, minlength=len(both)).astype(np.int64)
 
     for batch in batches:
-        for text in batch.column("text"):
-            waiting.append(context_codes(_bytes(text.as_py())))
-            size += len(waiting[-1])
+        for text, train in zip(batch.column("text"), batch.column("train").to_pylist(), strict=True):
+            more = context_codes(_bytes(text.as_py()))
+            waiting[bool(train)].append(more)
+            size += len(more)
             if size >= _PIECE:
                 codes, counts = merged()
-                waiting, size = [], 0
-    if waiting:
+                waiting, size = {True: [], False: []}, 0
+    if size:
         codes, counts = merged()
     for k in range(0, len(codes), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 100_000].astype(np.int64)), pa.array(counts[k : k + 100_000])], names=["code", "n"])
@@ -96,7 +103,10 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _estimate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """KT: log probability of the counts, and the next one's probability of being 1, at each decision."""
-    zeros, ones = _decisions(counts)
+    return _kt(*_decisions(counts))
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     log_pe = _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
     return log_pe, (ones + 0.5) / (zeros + ones + 1)
 
@@ -118,6 +128,37 @@ def _byte_table(p_one: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(np.concatenate([out[:, seen], rest], axis=1), 1e-300)).astype(np.float32)
 
 
+class _Level:
+    """One of the eight decisions of every code of a bucket: the decisions that occur in contexts of 2 to DEPTH bytes,
+    with their estimates and their weights. A decision is a code with the byte's known bits in place of the byte."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, level: int):
+        byte = codes & 255
+        self.bit = (byte >> (7 - level)) & 1
+        name, up = np.unique((codes & ~255) | (1 << level) | (byte >> (8 - level)), return_inverse=True)
+        ones = np.bincount(up, n * self.bit, minlength=len(name))
+        zeros = np.bincount(up, n, minlength=len(name)) - ones
+        # From the longest contexts to those of two bytes; up: from each entry of the depth before to its parent here.
+        self.ups, self.kt, self.weight, below = [], [], [], None
+        for depth in range(DEPTH, 1, -1):
+            if depth < DEPTH:
+                name, up = np.unique(name & ((1 << (8 * depth + 8)) - 1), return_inverse=True)
+                zeros, ones, below = (np.bincount(up, x, minlength=len(name)) for x in (zeros, ones, below))
+            log_pe, kt = _kt(zeros, ones)
+            below, weight = _weigh(log_pe, below) if depth < DEPTH else (log_pe, np.ones_like(kt))
+            for store, x in ((self.ups, up), (self.kt, kt), (self.weight, weight)):
+                store.append(x)
+        #: Last byte and decision of the contexts of two bytes, and their weighted log probabilities.
+        self.last, self.decision, self.log_pw = (name >> 8) & 255, name & 255, below
+
+    def log_probability(self, done: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 of the mixed probability of each code's bit; done, left: as of the contexts of one byte."""
+        done, left = done[self.last, self.decision], left[self.last, self.decision]
+        for up, kt, weight in zip(reversed(self.ups), reversed(self.kt), reversed(self.weight), strict=True):
+            done, left = (done + left * weight * kt)[up], (left * (1 - weight))[up]
+        return np.log10(np.maximum(np.where(self.bit == 1, done, 1 - done), 1e-300))
+
+
 class _Branch:
     """The contexts that end with the same two bytes, by depth: their counts, their parents, their mixture."""
 
@@ -153,7 +194,7 @@ class _Branch:
 
 
 class Tree:
-    """The weighted mixture as one row of byte log probabilities for each kept context (for its rest, if longer ones
+    """The same mixture of tables that fit in memory, against which tests hold the distributed one: one row of byte log probabilities for each kept context (for its rest, if longer ones
     are kept too), and the tables that lead from the bytes before a position to its row."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -231,29 +272,69 @@ class Tree:
         return total
 
 
-def fit_tree(training: DataFrame) -> Tree:
-    counted = stash(training.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "contexts")
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, n = table.column("code").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order].astype(np.float64)
 
-    def suffix(depth: int) -> DataFrame:
-        code = F.col("code").bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1))
-        return counted.groupBy(F.shiftright(code, 8).alias("context"), code.bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
 
-    by_depth = {depth: suffix(depth) for depth in range(2, DEPTH + 1)}
-    totals = [by_depth[d].groupBy("context").agg(F.sum("n").alias("m")).select(F.lit(d).alias("depth"), "context", "m") for d in range(3, DEPTH + 1)]
-    every = totals[0]
-    for t in totals[1:]:
-        every = every.union(t)
-    # The model's size is bounded by CONTEXTS; a context never counts more than its suffixes, which stand before it at ties.
-    kept = stash(every.orderBy(F.desc("m"), "depth", "context").limit(CONTEXTS).select("depth", "context"), "contexts-kept")
-    levels = []
-    for depth, frame in by_depth.items():
-        if depth > 2:
-            frame = frame.join(F.broadcast(kept.filter(F.col("depth") == depth).select("context")), "context", "left_semi")
-        table = frame.select("context", "byte", "n").toArrow()
-        context, byte, n = (table.column(c).to_numpy() for c in ("context", "byte", "n"))
-        order = np.lexsort((byte, context, context & 0xFFFF))
-        levels.append((context[order].astype(np.int64), byte[order].astype(np.int64), n[order].astype(np.float64)))
-    return Tree(levels)
+def _weighed(table: pa.Table) -> pa.Table:
+    """One bucket: the weighted log probabilities of its contexts of two bytes, summed by last byte and decision."""
+    codes, n = _sorted(table)
+    below = np.zeros(65536)
+    for level in range(8):
+        found = _Level(codes, n, level)
+        below += np.bincount((found.last << 8) | found.decision, found.log_pw, minlength=65536)
+    at = np.flatnonzero(below)
+    return pa.table({"at": at, "x": below[at]})
+
+
+def fit_tree(rows: DataFrame) -> DataFrame:
+    """rows(text, train) -> code, log_p: log10 of the mixed probability of each code that occurs in any row."""
+    counted = stash(rows.select("text", "train").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "contexts")
+    buckets = max(1, -(-counted.count() // BUCKET_CODES))
+    pair = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF))
+    bucketed = counted.withColumn("bucket", F.pmod(F.xxhash64(pair), F.lit(buckets)))
+
+    # Depths 0 and 1, at most 65,536 rows each.
+    counts1, below1 = np.zeros(65536), np.zeros(65536)
+    for at, n in counted.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("at")).agg(F.sum("n")).collect():
+        counts1[at] = n
+    # Sums in a fixed order, so that scores are the same in every run.
+    in_order = F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda a, x: a + x)
+    for at, x in bucketed.filter("n > 0").groupBy("bucket").applyInArrow(_weighed, "at long, x double").groupBy("at").agg(in_order).collect():
+        below1[at] = x
+    counts1 = counts1.reshape(256, 256)
+    log_pe1, kt1 = _estimate(counts1)
+    log_pw1, weight1 = _weigh(log_pe1, below1.reshape(256, 256))
+    log_pe0, kt0 = _estimate(counts1.sum(axis=0, keepdims=True))
+    _, weight0 = _weigh(log_pe0, log_pw1.sum(axis=0, keepdims=True))
+    done, left = weight0 * kt0 + (1 - weight0) * weight1 * kt1, (1 - weight0) * (1 - weight1)
+    sent = rows.sparkSession.sparkContext.broadcast((done, left))
+
+    def mixed(table: pa.Table) -> pa.Table:
+        codes, n = _sorted(table)
+        return pa.table({"code": codes, "log_p": sum(_Level(codes, n, level).log_probability(*sent.value) for level in range(8)).astype(np.float32)})
+
+    return stash(bucketed.groupBy("bucket").applyInArrow(mixed, "code long, log_p float"), "model")
+
+
+class Block:
+    """A part of the finished model: some codes, in order, and their log probabilities."""
+
+    def __init__(self, table: pa.Table):
+        codes, log_p = table.column("code").to_numpy(), table.column("log_p").to_numpy()
+        order = np.argsort(codes)
+        self.codes, self.log_p = codes[order], log_p[order]
+
+    def score(self, data: bytes) -> float:
+        """log10 of the probability of those bytes (and of the end) whose codes are in this block."""
+        total, codes = 0.0, context_codes(data).view(np.int64)
+        for k in range(0, len(codes) if len(self.codes) else 0, _PIECE):
+            c = codes[k : k + _PIECE]
+            at = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
+            total += float(self.log_p[at][self.codes[at] == c].sum(dtype=np.float64))
+        return total
 
 
 # ---- unigram base ----
@@ -372,7 +453,28 @@ def score(docs: DataFrame, train) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", whole_text().alias("text"), train.alias("train"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    sent = spark.sparkContext.broadcast(fit_tree(rows.filter("train")))
+    model = fit_tree(rows)
+    blocks = max(1, -(-model.count() // BLOCK_CODES))
+
+    def block(k: int):
+        return spark.sparkContext.broadcast(Block(model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).toArrow()))
+
+    def part(sent):
+        def of(batches):
+            for batch in batches:
+                scores = [sent.value.score(_bytes(x.as_py())) for x in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(scores, pa.float64())], names=["rid", "part"])
+
+        return rows.select("rid", "text").mapInArrow(of, "rid long, part double")
+
+    # Blocks but the last leave a number for each text; rows of equal rid have equal texts.
+    parts = None
+    for k in range(blocks - 1):
+        sent = block(k)
+        one = stash(part(sent).groupBy("rid").agg(F.max("part").alias("part")), "model-part")
+        sent.destroy()
+        parts = one if parts is None else parts.union(one)
+    sent = block(blocks - 1)
 
     def of(batches):
         for batch in batches:
@@ -385,6 +487,10 @@ def score(docs: DataFrame, train) -> DataFrame:
     both = sums.filter("rid is null").first()
     types, tokens = (both["n_known"], both["n_tokens"]) if both else (0, 0)
     scored = rows.mapInArrow(of, f"doc_id {kind}, rid long, train boolean, n_bytes long, score double")
+    if parts is not None:
+        added = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda a, x: a + x)
+        before = parts.groupBy("rid").agg(added.alias("before"))
+        scored = scored.join(before, "rid").withColumn("score", F.col("score") + F.col("before")).drop("before")
     each = scored.join(sums.filter("rid is not null"), "rid")
     n, known = ((F.col(c) / F.col("copies")).cast("long") for c in ("n_tokens", "n_known"))
     base = F.col("log_counts") / F.col("copies") - n * F.lit(float(np.log10(tokens + types + 1)))

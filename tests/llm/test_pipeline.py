@@ -39,3 +39,11 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) for _ in range(2))
     assert first and first == again
+
+
+def test_shards_hold_the_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text is not null")
+    got = corpus_pipeline.shard(spark, docs, folder)
+    assert set(docs.columns) < set(got.columns)
+    assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    assert len({(r["shard"], r["slot"]) for r in got.collect()}) == docs.count()

@@ -155,8 +155,11 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def placed_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """Which documents (by id) lie in which shard and slot, with their size; texts are not moved."""
-    return shard_documents(docs, n_shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """The documents, all their columns and texts, with size, text_crc32, shard and slot."""
+    text = whole_text()
+    thin = ((F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
+    whole = F.struct(*(c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot"))).alias("document")
+    return _placed(docs.select("doc_id", *thin, whole), n_shards).select("document.*", "size", "text_crc32", "shard", "slot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,17 @@ def test_chat(spark):
     assert chat.link_messages(frame.limit(0)).count() == 0
 
 
+def test_chat_links_to_another_conversation_and_short_quotes_to_their_own(spark):
+    said = [
+        (1, 0, "user", "> A passage said by many\nquoted first"), (1, 1, "user", "A passage said by many"), (2, 0, "user", "A passage said by many"), (3, 0, "user", "first of three"), (3, 1, "user", "A passage said by many"),
+        (4, 0, "user", "> A passage said by many\nquoted"), (5, 0, "user", "Yes"), (5, 1, "assistant", "And then?"), (5, 2, "user", "> Yes\nwhy"), (6, 0, "user", "> Yes\nsaid only elsewhere"),
+    ]
+    frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["position"]): (r["parent_conv"], r["parent_position"], r["n_linked"]) for r in chat.link_messages(frame).collect()}
+    assert got[1, 0] == (2, 0, 1) and got[4, 0] == (1, 1, 1)
+    assert got[5, 2] == (5, 0, 1) and got[6, 0] == (None, None, 0)
+
+
 def test_mixing(docs, none, rows):
     mixed, slots = mixing.mix(docs)
     got = mixed.collect()

@@ -3,7 +3,7 @@
 Leading > marks give each line its quote level. Runs of lines of one level are passages; passages, and the
 paragraphs and lines of unquoted text, are normalised (case, punctuation and white space do not matter) and hashed.
 A quoted passage is joined on its hash to the message that wrote it: the latest earlier message of the same
-conversation, else the earliest message of any other; where the whole passage is not found its lines are tried. A
+conversation, else the earliest message of any other (not for short passages); where the whole passage is not found its lines are tried. A
 message replies to what its least nested quotation links to.
 Each message then knows what it replies to and its place in the conversation, and stands without the quotes.
 
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tidewater.storage import stash
 
 CELL = 4096
-#: Hashed passages have so many letters or digits at least, so that "ok" links nothing.
+#: Passages have so many letters or digits at least to link to other conversations, so that "ok" links none. The last
+#: bit of a hash is 1 for shorter ones.
 LEAST_LETTERS = 8
 _MARKS = re.compile(r"[ \t]*>[> \t]*")
 _OTHER = re.compile(r"[\W_]+")
@@ -42,7 +43,10 @@ def level_of(line: str) -> tuple[int, str]:
 
 def passage_hash(text: str) -> int | None:
     plain = _OTHER.sub(" ", text.lower()).strip()
-    return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63) if len(plain.replace(" ", "")) >= LEAST_LETTERS else None
+    if not plain:
+        return None
+    short = len(plain.replace(" ", "")) < LEAST_LETTERS
+    return (xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~1 | short) - (1 << 63)
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, list[int]]], set[int]]:
@@ -106,11 +110,15 @@ def link_messages(messages: DataFrame) -> DataFrame:
     both = quoted.select("conv_id", "position", "h", "quote", "piece").union(said.select("conv_id", "position", "h", F.lit(None).cast("int"), F.lit(None).cast("int")))
     before = Window.partitionBy("conv_id", "h").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
     here = both.withColumn("from_position", F.max(F.when(F.col("quote").isNull(), F.col("position"))).over(before)).filter("quote is not null")
-    # Elsewhere: the first that said it.
-    first = said.groupBy("h").agg(F.min(F.struct("conv_id", "position")).alias("origin"))
+    # Elsewhere: the first that said it, or for that one's own conversation the first of the others.
+    # Short passages, such as "ok", are found within their conversation only.
+    by_conv = said.filter(F.col("h").bitwiseAND(F.lit(1)) == 0).groupBy("h", "conv_id").agg(F.min("position").alias("position")).select("h", F.struct("conv_id", "position").alias("origin"))
+    first = stash(by_conv.groupBy("h").agg(F.min("origin").alias("origin")), "said-first")
+    others = by_conv.join(first.select("h", F.col("origin.conv_id").alias("first_conv")), "h").filter(~F.col("origin.conv_id").eqNullSafe(F.col("first_conv")))
+    first = first.join(others.groupBy("h").agg(F.min("origin").alias("other")), "h", "left")
+    elsewhere = F.when(F.col("origin.conv_id").eqNullSafe(F.col("conv_id")), F.col("other")).otherwise(F.col("origin"))
     found = here.join(first, "h", "left").withColumn(
-        "source",
-        F.when(F.col("from_position").isNotNull(), F.struct("conv_id", F.col("from_position").alias("position"))).when(~F.col("origin.conv_id").eqNullSafe(F.col("conv_id")), F.col("origin")),
+        "source", F.when(F.col("from_position").isNotNull(), F.struct("conv_id", F.col("from_position").alias("position"))).otherwise(elsewhere)
     )
     best = found.groupBy("conv_id", "position", "quote").agg(F.min_by("source", F.when(F.col("source").isNotNull(), F.col("piece"))).alias("source"))
     replies = best.groupBy("conv_id", "position").agg(F.count("source").alias("n_linked"), F.min_by("source", F.when(F.col("source").isNotNull(), F.col("quote"))).alias("source"))

@@ -88,7 +88,7 @@ def test_texts_longer_than_a_piece(monkeypatch):
     assert [x.tolist() for x in suffix_dedup.anchor_rows(data)] == whole
 
 
-def test_language(docs, none):
+def test_language(docs, none, rows, monkeypatch):
     model = language.fit(language.training_rows(docs))
     assert set(model.languages) == {"en", "de", "fr"}
     found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
@@ -97,11 +97,28 @@ def test_language(docs, none):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     kept = {r["doc_id"] for r in language.known_language(docs, model).collect()}
     assert set(range(140)) <= kept and not kept & {300, 301, 302}
+    # More languages than one pass compares are compared in several.
+    whole = [multiset(language.identify(docs, model), "doc_id", "lang_pred", "rejected"), multiset(language.known_language(docs, model), "doc_id")]
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 1)
+    assert len(model.blocks()) == 3
+    assert whole == [multiset(language.identify(docs, model), "doc_id", "lang_pred", "rejected"), multiset(language.known_language(docs, model), "doc_id")]
     empty = language.fit(none)
     assert {r["lang_pred"] for r in language.identify(docs, empty).collect()} == {"und"}
     assert language.identify(none, model).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").cache()
+    for out in ("de", "en", "es", "fr"):
+        model = language.fit(language.training_rows(whole.filter(f"lang <> '{out}'")))
+        found = whole.select("doc_id", "lang").join(language.identify(whole.filter("text rlike '[a-z]{2}'"), model), "doc_id").filter("lang is not null").collect()
+        foreign = np.mean([r["rejected"] for r in found if r["lang"] == out])
+        own = np.mean([r["rejected"] for r in found if r["lang"] != out])
+        assert foreign > 0.9 and own < 0.02, (out, foreign, own)
+    whole.unpersist()
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "Hello there my friend.\nHow is the weather today?"), (1, 1, "assistant", "> How is the weather today?\nIt is sunny and warm here."), (1, 2, "user", ">> How is the weather today?\n> It is sunny, and warm here\nThanks a lot for that."), (2, 0, "user", "> Thanks a lot for that.\nquoting elsewhere"), (2, 1, None, None), (2, 2, "user", "> never said by anyone\nwell then"), (None, 0, "user", "x"), (2, None, "user", "zero"), (3, 1, "a", "same"), (3, 1, "a", "same")]
     frame = spark.createDataFrame([(*r, 1, 2) for r in said], "conv_id long, turn long, role string, text string, position int, h int")
@@ -137,7 +154,7 @@ def test_mixing(docs, none, rows):
         by[r["source"]][2] = r["target"]
         assert 0 <= r["taken"] <= 2 * r["size"]
     order = sorted((s for s in by if s is not None)) + [None]
-    want = mixing.targets([by[s][0] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])
+    want = brute_targets([by[s][0] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])
     for s, t in zip(order, want, strict=True):
         assert abs(by[s][2] - t) < 1e-6 and by[s][1] == round(t)
     assert math.isclose(sum(want), 1.5 * sum(b[0] for b in by.values()))
@@ -156,7 +173,65 @@ def test_permutation_and_slots():
             n, cut = mixing.slot_count(size, want, 2)
             lengths = [min(mixing.BLOCK, size - b * mixing.BLOCK) for b in (mixing.permuted(np.arange(n) % blocks, blocks, 2).tolist() if n else [])]
             assert sum(lengths[:-1]) + (cut or sum(lengths[-1:])) == want
-    assert sum(c for *_, c in mixing.draws([9000, 1, 0, 300])) == 9301
+    drawn = mixing.draws(np.array([9000, 1, 0, 300]))
+    assert drawn.sum(axis=0).tolist() == [9000, 1, 0, 300] and len(drawn) == 3
+
+
+def brute_targets(sizes, weights):
+    """Water filling by bisection of the level."""
+    low, high = 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2.0 * n, w * mid) for n, w in zip(sizes, weights, strict=True)) < 1.5 * sum(sizes) else (low, mid)
+    return [min(2.0 * n, w * low) for n, w in zip(sizes, weights, strict=True)]
+
+
+@pytest.mark.parametrize("groups", [1024, 2])
+def test_blocks_of_the_mix(spark, docs, rows, groups, monkeypatch):
+    """All blocks together are the words that mix() says are taken, whatever the number of groups of sources."""
+    monkeypatch.setattr(mixing, "GROUPS", groups)
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 10)
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 50)
+    blocks = mixing.mixed_blocks(docs).collect()
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    taken, wanted = collections.Counter(), collections.Counter()
+    texts = collections.defaultdict(set)
+    for r in rows:
+        texts[r[0], r[3]].add(r[1])
+    for r in mixing.mix(docs)[0].collect():
+        wanted[r["source"]] += r["taken"]
+    for b in blocks:
+        assert 0 < len(split(b["text"])) <= 64
+        taken[b["source"]] += len(split(b["text"]))
+    assert +taken == +wanted and len({b["out_shard"] for b in blocks}) > 1
+    places = collections.defaultdict(list)
+    for b in blocks:
+        places[b["source"]].append(b["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    per_shard = collections.Counter(b["out_shard"] for b in blocks)
+    assert all(per_shard[k] == 50 for k in range(max(per_shard)))
+
+
+def test_mixed_documents_keep_the_targets(spark, docs, rows):
+    frame = docs.selectExpr("*", "1 as copies", "2 as h1", "3 as _h1")
+    got = mixing.mixed_documents(frame)
+    assert got.columns == frame.columns
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    source, most = collections.Counter(), collections.Counter()
+    for r in rows:
+        source[r[3]] += size(r[1])
+        most[r[3]] = max(most[r[3]], size(r[1]))
+    order = sorted((s for s in source if s is not None)) + [None]
+    want = dict(zip(order, mixing.targets([source[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))]), strict=True))
+    out = collections.Counter()
+    for r in got.collect():
+        out[r["source"]] += size(r["text"])
+    assert all(abs(out[s] - want[s]) <= most[s] for s in order)
+    assert None in {r["doc_id"] for r in got.collect()}
+    twice = spark.createDataFrame([(1, "a b c", "x")] * 5 + [(None, "d e", "x"), (1, "other words here now", "x"), (2, " ", "x")], "doc_id long, text string, source string")
+    times = collections.Counter(r["text"] for r in mixing.mixed_documents(twice).collect())
+    assert abs(times["a b c"] * 3 + times["d e"] * 2 + times["other words here now"] * 4 - 31.5) <= 4 and set(times) <= {"a b c", "d e", "other words here now"}
 
 
 def best_capacity(sizes, n):
@@ -234,9 +309,13 @@ def test_decontamination(spark, docs, none, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(frame, bench).collect()}
         assert got == {i: brute(t) for i, t, _ in texts}
-    left = {r["doc_id"]: r["text"] for r in decontaminate.spans_removed(frame, bench, 0.9).collect()}
-    assert 6 not in left and left[5] == texts[4][1] and left[3] is None
-    assert all(brute(t)[1] == 0 for t in left.values())
+        # Columns that are named like those the operator makes stay.
+        named = frame.selectExpr("*", "1 as h1", "2 as _mask", "3 as items", "4 as _hit_words")
+        kept = decontaminate.spans_removed(named, bench, 0.9)
+        assert kept.columns == named.columns
+        left = {r["doc_id"]: r["text"] for r in kept.collect()}
+        assert 6 not in left and left[5] == texts[4][1] and left[3] is None
+        assert all(brute(t)[1] == 0 for t in left.values())
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.spans_removed(none, bench).count() == 0
 

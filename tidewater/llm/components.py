@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.storage import stash
+from tidewater.storage import release, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a long, b long) -> (node, root): the smallest node of its component, for each node of an edge between
-    different nodes. Every step is written to the shared folder; minima are combined before they are shuffled."""
+    """edges(a, b) -> (node, root): the smallest node of its component, for each node of an edge between different nodes;
+    nulls are no nodes, edges may repeat, no edges give no rows. Every step is written to the shared folder, and the one
+    before it goes; minima are combined before they are shuffled."""
     links = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(links)
     while True:
@@ -20,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stash(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        links = stash(small, "links")
+        used, links = links, stash(small, "links")
+        release(links.sparkSession, used, large)
         before, mark = mark, _mark(links)
         if mark == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

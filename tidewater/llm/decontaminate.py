@@ -6,22 +6,29 @@ ends at each word. Where that length reaches WINDOW, the last WINDOW words are a
 an item of fewer words is found at its own state among the suffix links. Hit spans and the items they belong to
 follow from that; spans_removed() cuts the spans and drops documents whose hit share passes a limit.
 
-The automata are sent to the executors in blocks of BLOCK_WORDS item words, and documents pass all blocks one after
-the other, so the memory of a task does not grow with the benchmark.
+The automata are sent to the executors in blocks of BLOCK_WORDS item words, one pass over the texts for each. A pass
+holds one automaton and leaves rows for the texts that it hits; the passes' rows meet by a hash of the text at the end.
+So the memory of a task does not grow with the benchmark. Most benchmarks are one block: then there is one pass and
+nothing is shuffled.
 
 Defined results: null and empty texts have no words and no hits; items without words are ignored; equal items are all
-reported; repeated documents are treated alike; an empty benchmark hits nothing; an empty table gives an empty
-result; extra columns are kept where documents are returned and ignored elsewhere.
+reported; items without an id are hit as `None`; repeated documents are treated alike, those without an id like others;
+very long texts are read whole, at some bytes a word; an empty benchmark hits nothing; an empty table gives an empty
+result; extra columns, whatever their names, are kept where documents are returned and ignored elsewhere.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.patterns import new_name
+from tidewater.storage import stash
 
 WINDOW = 10
 #: A document with more than this share of its words hit is dropped by spans_removed().
@@ -37,8 +44,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; owners[state]: the items whose full window (or whole short item)
-    is the suffix that a match of length need[state] or more ends with."""
+    """Suffix automaton of several word sequences. windows: the items that hold the window which is a state; short: the
+    items that are a state as a whole; shorts: of each state, those above it. What is sent to executors is `state`, plain
+    values, from which of() makes it again."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
         self.next: list[dict[bytes, int]] = [{}]
@@ -50,6 +58,16 @@ class Automaton:
                 last = self._extend(last, w)
         self._own(items)
 
+    @property
+    def state(self) -> dict:
+        return self.__dict__
+
+    @classmethod
+    def of(cls, state: dict) -> Automaton:
+        made = cls.__new__(cls)
+        made.__dict__ = state
+        return made
+
     def _state(self, length: int, link: int, edges: dict[bytes, int]) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -162,55 +180,96 @@ def _blocks(benchmark: DataFrame):
         yield Automaton(block)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, finish, result) -> DataFrame:
-    """docs with two columns more, the hit words as bytes of 0 and 1 (null: none hit) and the items hit, put through
-    finish in the same pass as the last block of the benchmark; result: the schema that finish makes."""
+def _search(automaton: Automaton, spark: SparkSession):
+    """A function of one text: its number of words, the hit words as bytes of 0 and 1 (None: none hit), the items hit."""
+    sent = spark.sparkContext.broadcast(automaton.state)
+
+    def start():
+        a = Automaton.of(sent.value)
+
+        def search(text: str | None) -> tuple[int, bytes | None, list[str]]:
+            words = words_of(text)
+            spans, found = a.hits(words)
+            if not spans:
+                return len(words), None, []
+            mask = np.zeros(len(words), np.uint8)
+            for i, j in spans:
+                mask[i:j] = 1
+            return len(words), mask.tobytes(), sorted(found)
+
+        return search
+
+    return start, sent
+
+
+def _text_hash() -> tuple[Column, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _hits_in_passes(docs: DataFrame, automata) -> DataFrame:
+    """h1, h2 (the text), mask, items of the texts that any block hits; one pass and one table for each block."""
     spark = docs.sparkSession
-    flags, names = pa.field("_hit_words", pa.binary()), pa.field("_hit_items", pa.list_(pa.string()))
-    columns = docs.columns
-    out = docs.selectExpr(*(f"`{c}`" for c in columns), "cast(null as binary) as _hit_words", "cast(null as array<string>) as _hit_items")
-    schema, last = out.schema, None
+    h1, h2 = _text_hash()
+    every = None
+    for automaton in automata:
+        start, sent = _search(automaton, spark)
 
-    def searching(automaton):
-        sent = spark.sparkContext.broadcast(automaton)
+        def of(batches, start=start):
+            search = start()
+            for batch in batches:
+                found = [search(x.as_py()) for x in batch.column("text")]
+                at = pa.array([k for k, f in enumerate(found) if f[1]], pa.int64())
+                masks, items = pa.array([f[1] for f in found if f[1]], pa.binary()), pa.array([f[2] for f in found if f[1]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("h1").take(at), batch.column("h2").take(at), masks, items], names=["h1", "h2", "mask", "items"])
+
+        one = docs.select(h1.alias("h1"), h2.alias("h2"), "text").mapInArrow(of, "h1 long, h2 long, mask binary, items array<string>")
+        # Equal texts have equal hits.
+        one = stash(one.groupBy("h1", "h2").agg(F.first("mask").alias("mask"), F.first("items").alias("items")), "hits")
+        sent.destroy()
+        every = one if every is None else every.union(one)
+
+    def joined(table: pa.Table) -> pa.Table:
+        masks = [np.frombuffer(m, np.uint8) for m in table.column("mask").to_pylist()]
+        items = sorted({i for x in table.column("items").to_pylist() for i in x})
+        return pa.table({"h1": table.column("h1")[:1], "h2": table.column("h2")[:1], "mask": pa.array([np.bitwise_or.reduce(masks).tobytes()], pa.binary()), "items": pa.array([items], pa.list_(pa.string()))})
+
+    return every.groupBy("h1", "h2").applyInArrow(joined, "h1 long, h2 long, mask binary, items array<string>")  # a row for each block at most
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, finish, result) -> DataFrame:
+    """finish(batch, n_words, masks, items) -> batch of the schema result, for all batches of docs."""
+    spark = docs.sparkSession
+    automata = _blocks(benchmark)
+    first, second = next(automata, None), next(automata, None)
+    if second is None:
+        start, _ = _search(first or Automaton([]), spark)
 
-        def search(batches):
-            a = sent.value
+        def whole(batches):
+            search = start()
             for batch in batches:
-                hit_words, hit_items = [], []
-                for text, old, items in zip(batch.column("text"), batch.column("_hit_words"), batch.column("_hit_items"), strict=True):
-                    words = words_of(text.as_py())
-                    spans, found = a.hits(words)
-                    if spans:
-                        mask = np.frombuffer(old.as_py(), np.uint8).copy() if old.is_valid else np.zeros(len(words), np.uint8)
-                        for i, j in spans:
-                            mask[i:j] = 1
-                        hit_words.append(mask.tobytes())
-                        hit_items.append(sorted(found.union(items.as_py() or ())))
-                    else:
-                        hit_words.append(old.as_py())
-                        hit_items.append(items.as_py())
-                kept = [batch.column(k) for k in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(hit_words, pa.binary()), pa.array(hit_items, pa.list_(pa.string()))], schema=pa.schema([*list(batch.schema)[:-2], flags, names]))
+                yield finish(batch, *zip(*map(search, batch.column("text").to_pylist()), strict=True)) if batch.num_rows else finish(batch, (), (), ())
 
-        return search
+        return docs.mapInArrow(whole, result)
+    names = [new_name(docs, x) for x in ("h1", "h2", "mask", "items")]
+    hits = _hits_in_passes(docs, itertools.chain((first, second), automata)).toDF(*names)
+    columns = docs.columns
+    keyed = docs.withColumns(dict(zip(names, _text_hash(), strict=False))).join(hits, names[:2], "left").drop(*names[:2])
 
-    for automaton in _blocks(benchmark):
-        if last is not None:
-            out = out.mapInArrow(last, schema)
-        last = searching(automaton)
-    return out.mapInArrow(finish if last is None else lambda batches: finish(last(batches)), result)
+    def parts(batches):
+        for batch in batches:
+            texts, masks, items = (batch.column(c).to_pylist() for c in ("text", *names[2:]))
+            yield finish(batch.select(columns), [len(words_of(t)) for t in texts], masks, [i or [] for i in items])
+
+    return keyed.select(*(F.col(f"`{c}`") for c in (*columns, *names[2:]))).mapInArrow(parts, result)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings)."""
 
-    def count(batches):
-        for batch in batches:
-            n = [len(words_of(x.as_py())) for x in batch.column("text")]
-            hit = [sum(x.as_py()) if x.is_valid else 0 for x in batch.column("_hit_words")]
-            items = [x.as_py() or [] for x in batch.column("_hit_items")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+    def count(batch, n_words, masks, items):
+        hit = [sum(m) if m else 0 for m in masks]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _marked(docs.select("doc_id", "text"), benchmark, count, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
@@ -237,21 +296,19 @@ def _without(text: str, mask: bytes) -> str:
 def spans_removed(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents, hit spans cut out of their texts (n_chars follows); those with more than that share hit go."""
 
-    def cut(batches):
-        for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("_hit_words").to_pylist()
-            keep = [m is None or sum(m) <= coverage * len(m) for m in marks]
-            texts = [_without(t, m) if m and k else t for t, m, k in zip(texts, marks, keep, strict=True)]
-            changed = [bool(m) for m in marks]
-            columns = []
-            for k, field in enumerate(list(batch.schema)[:-2]):
-                column = batch.column(k)
-                if field.name == "text":
-                    column = pa.array(texts, field.type)
-                elif field.name == "n_chars":
-                    column = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, column.to_pylist(), strict=True)], field.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-2])).filter(pa.array(keep))
+    def cut(batch, n_words, masks, items):
+        keep = [m is None or sum(m) <= coverage * len(m) for m in masks]
+        old = batch.column("text").to_pylist()
+        texts = [_without(t, m) if m and k else t for t, m, k in zip(old, masks, keep, strict=True)]
+        columns = []
+        for k, field in enumerate(batch.schema):
+            column = batch.column(k)
+            if field.name == "text":
+                column = pa.array(texts, field.type)
+            elif field.name == "n_chars":
+                column = pa.array([len(t) if m else n for t, m, n in zip(texts, masks, column.to_pylist(), strict=True)], field.type)
+            columns.append(column)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return _marked(docs, benchmark, cut, docs.schema)
 

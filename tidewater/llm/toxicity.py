@@ -3,11 +3,14 @@
 A document is a bag of sentences. A sentence's features are its different words and their prefixes of PREFIXES letters; a
 logistic model gives its score, and the document's score is the noisy-or of its sentences: 1 - prod(1 - p). The
 weights are trained from document labels alone, on a bounded sample (SAMPLE documents for each label, by the order
-of a hash of their ids); the same weights then point at the offending sentences.
+of a hash of their ids, as far as their texts together stay within SAMPLE_BYTES); the same weights then point at the
+offending sentences.
 
 Defined results: null and wordless texts have no sentence and score 0; without any training document every score is
-0; a document with several label rows counts as its largest label; null labels are ignored; repeated rows score
-alike; an empty table gives an empty result; extra columns are ignored.
+0; a document with several label rows counts as its largest label; null labels, and labels of rows without an id, are
+ignored; of rows that share an id one is learned from; repeated rows score alike; of sentences that score alike the first
+is the worst; texts of any length are scored whole, sentence by sentence; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.patterns import id_remainder
+from tidewater.llm.patterns import first_of_each, id_remainder
+from tidewater.storage import stash
 
-SAMPLE, FOLDS, HELD_OUT = 2500, 3, 1
+#: What one model is fitted on: documents of each label, and bytes of text of each label (no one text more than a 16th).
+SAMPLE, SAMPLE_BYTES = 2500, 8 << 20
+FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5)
 SLOTS = 1 << 20
 #: A feature is used if it stands in so many documents of the sample.
@@ -48,11 +54,14 @@ def features(word: bytes) -> list[int]:
 
 
 class Model:
+    """Weights by slot. Executors get `state`, plain values, and make a model of their own from it."""
+
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias, self.known = weights, bias, {}
 
-    def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
+    @property
+    def state(self) -> tuple[dict[int, float], float]:
+        return self.weights, self.bias
 
     def word(self, word: bytes) -> float:
         if (w := self.known.get(word)) is None:
@@ -88,9 +97,13 @@ def _bags(batches):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic): trained on a bounded sample of the labelled documents."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    chosen = known.withColumn("h", F.xxhash64("doc_id", F.lit("toxic"))).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.filter("toxic in (0, 1)").drop("rn")), "doc_id")  # 2 * SAMPLE rows at most
+    hashed = known.filter("toxic in (0, 1)").withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
+    chosen = stash(first_of_each(hashed.select("toxic", "h", "doc_id"), "toxic", SAMPLE), "toxicity-sample")
+    # 2 * SAMPLE ids at most; rows that repeat an id are put together before they are shuffled.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = found.filter(F.octet_length("text") <= SAMPLE_BYTES // 16).groupBy("toxic", "h").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    sample = stash(sample, "toxicity-texts").withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES)
     table = sample.select("h", "toxic", "text").mapInArrow(_bags, "h long, toxic int, features array<int>, counts array<int>").toArrow()
     table = table.filter(pa.compute.greater(pa.compute.list_value_length(table["counts"]), 0)).sort_by([("h", "ascending"), ("toxic", "ascending")])
     if len(set(table["toxic"].to_pylist())) < 2:
@@ -132,11 +145,12 @@ def _train(y, sentence_doc, sentence, feature, used) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, worst_sentence (0-based, null if there is none), n_offending."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.state)
 
     def of(batches):
+        model = Model(*sent.value)
         for batch in batches:
-            found = [sent.value.scores(x.as_py()) for x in batch.column("text")]
+            found = [model.scores(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -153,13 +167,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def offending_sentences(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, sentence (0-based), score, words (lower-cased, space-joined) of each sentence that scores OFFENDING or more."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.state)
 
     def of(batches):
+        model = Model(*sent.value)
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                p = sent.value.scores(text)
+                p = model.scores(text)
                 bag = sentences(text) if (p >= OFFENDING).any() else []
                 rows += [(k, int(s), float(p[s]), b" ".join(bag[s]).decode("utf-8", "replace")) for s in np.flatnonzero(p >= OFFENDING)]
             at = pa.array([r[0] for r in rows], pa.int64())

@@ -402,43 +402,69 @@ def test_language_model(docs, none, rows):
     assert lm.score(docs, F.lit(False)).filter("train_tokens = 0").count() == len(rows)
 
 
-def test_tree_is_a_distribution_and_mixes(spark):
-    data = [b"the cat sat on the mat. ", b"the dog sat on the log. "] * 5
-    codes, n = np.unique(np.concatenate([lm.context_codes(d) for d in data]), return_counts=True)
-    codes = codes.astype(np.int64)
-    levels = []
-    for depth in range(2, lm.DEPTH + 1):
-        part, where = np.unique(codes & ((1 << (8 * depth + 8)) - 1), return_inverse=True)
-        count = np.bincount(where, n)
-        order = np.lexsort((part & 255, part >> 8, (part >> 8) & 0xFFFF))
-        levels.append((part[order] >> 8, part[order] & 255, count[order]))
-    tree = lm.Tree(levels)
-    unseen = 256 - (tree.table.shape[1] - 1)
-    mass = (10.0 ** tree.table[:, :-1]).sum(axis=1) + unseen * 10.0 ** tree.table[:, -1]
-    assert np.allclose(mass, 1, atol=1e-4)
-    assert tree.score(b"the cat sat on the log. ") > tree.score(b"zqx vvb kkw rrt ppp lmn ")
-    # A binary source without context: the mixture comes near to KT on its own.
-    zeros = lm._estimate(np.array([[3.0] + [0.0] * 255]))
-    assert math.isclose(zeros[0][0, 1], math.log(0.5 * 1.5 / 2 * 2.5 / 3), rel_tol=1e-9)
-
-
-@pytest.mark.parametrize("block_codes", [4 << 20, 1000])
-def test_language_model_equals_the_whole_tree(spark, monkeypatch, block_codes):
-    """In one block or in several; no number of contexts (there was a bound by this name) is too many."""
+def weighted_tree(texts):
+    """Context-tree weighting as it is defined, with dictionaries: a function that scores bytes."""
+    counts = [collections.defaultdict(lambda: [0, 0]) for _ in range(lm.DEPTH + 1)]
+
+    def decisions(data):
+        padded = b"\0" * lm.DEPTH + data + b"\xff"
+        for k in range(lm.DEPTH, len(padded)):
+            for level in range(8):
+                node, bit = 1 << level | padded[k] >> 8 - level, padded[k] >> 7 - level & 1
+                yield [(padded[k - d : k], node) for d in range(lm.DEPTH + 1)], bit
+
+    for text in texts:
+        for contexts, bit in decisions(text):
+            for d, at in enumerate(contexts):
+                counts[d][at][bit] += 1
+    weight, kt, below = [], [], {}
+    for d in range(lm.DEPTH, -1, -1):
+        up, w = collections.defaultdict(float), {}
+        for (context, node), (zeros, ones) in counts[d].items():
+            log_pe = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+            log_pw = log_pe
+            if d < lm.DEPTH:
+                log_pw = math.log(0.5) + np.logaddexp(log_pe, below[context, node])
+                w[context, node] = math.exp(math.log(0.5) + log_pe - log_pw)
+            if d:
+                up[context[1:], node] += log_pw
+        below = up
+        weight.insert(0, w)
+        kt.insert(0, {at: (ones + 0.5) / (zeros + ones + 1) for at, (zeros, ones) in counts[d].items()})
+
+    def score(text):
+        total = 0.0
+        for contexts, bit in decisions(text):
+            p, left = 0.0, 1.0
+            for d, at in enumerate(contexts):
+                w = weight[d].get(at, 0.5) if d < lm.DEPTH else 1.0
+                p, left = p + left * w * kt[d].get(at, 0.5), left * (1 - w)
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("slice_bytes", [4 << 20, 150])
+def test_language_model_is_the_weighted_tree(spark, monkeypatch, slice_bytes):
+    """In one slice and bucket or in several; no number of contexts is too many, and long texts are cut."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lm, "BLOCK_CODES", block_codes, raising=False)
-    monkeypatch.setattr(lm, "CONTEXTS", 100, raising=False)
+    for name, value in (("SLICE_BYTES", slice_bytes), ("ASK_BYTES", 4 * slice_bytes), ("BUCKET_CODES", 5 * slice_bytes), ("_PIECE", 170), ("HELD", 1000)):
+        monkeypatch.setattr(lm, name, value)
     rng = np.random.default_rng(8)
-    # Copies, so that long contexts foretell the next byte.
-    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 100)) for _ in range(5)]
-    rows = [(k, texts[k % 5], k % 7 != 2) for k in range(60)]
-    codes, n = np.unique(np.concatenate([lm.context_codes(t.encode()) for _, t, train in rows if train]), return_counts=True)
-    codes, levels = codes.astype(np.int64), []
-    for depth in range(2, lm.DEPTH + 1):
-        part, where = np.unique(codes & ((1 << (8 * depth + 8)) - 1), return_inverse=True)
-        order = np.lexsort((part & 255, part >> 8, (part >> 8) & 0xFFFF))
-        levels.append((part[order] >> 8, part[order] & 255, np.bincount(where, n)[order]))
-    tree = lm.Tree(levels)
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train")).collect()}
-    assert all(math.isclose(got[k], tree.score(t.encode()), rel_tol=1e-5) for k, t, _ in rows)
+    # Copies, so that long contexts foretell the next byte; one text longer than a slice, one empty, one in other letters.
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrst "), 100)) for _ in range(5)] + ["the cat sat. " * 40, "", "straße ÉÉ \u4e2d"]
+    rows = [(k, texts[k % 8], k % 7 != 2) for k in range(60)]
+    rows += [rows[5], rows[5]]
+    want = weighted_tree([t.encode() for _, t, train in rows if train])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    got = lm.score(frame, F.col("train")).collect()
+    assert len(got) == 62
+    for r in got:
+        text = texts[r["doc_id"] % 8].encode()
+        assert math.isclose(r["score"], want(text), rel_tol=1e-6), (r, want(text))
+    # Texts that were not learned from.
+    other = spark.createDataFrame([(1, "abc def", True), (2, "zzzz unseen", False)], "doc_id long, text string, train boolean")
+    want = weighted_tree([b"abc def"])
+    assert all(math.isclose(r["score"], want(b"abc def" if r["doc_id"] == 1 else b"zzzz unseen"), rel_tol=1e-6) for r in lm.score(other, F.col("train")).collect())

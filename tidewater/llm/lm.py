@@ -3,18 +3,22 @@
 Bytes (A-Z lowered, one end mark behind each text) are decomposed into eight binary decisions; every decision has a
 tree of contexts, the bytes before it, up to DEPTH. Each context keeps a Krichevsky-Trofimov estimate, and every
 inner context weighs its own estimate against those of its longer contexts by how well each coded the training
-bytes, so a prediction mixes the estimates of all depths. Every context counts, however rare. The different codes (a context of DEPTH bytes and the byte behind
-it) of all texts are a distributed table with their training counts. Codes whose contexts end with the same two bytes
-share all longer contexts, so buckets of such pairs are weighed and mixed apart from each other; only the two shortest
-depths (256 contexts) are put together on the driver. Only decisions that occur are held, not 256 for each context.
-The finished model, one log probability for each code, is sent in blocks of BLOCK_CODES; each block is one pass over
-the texts, which adds its share to their scores.
+bytes, so a prediction mixes the estimates of all depths. Every context counts, however rare. The different codes (a
+context of DEPTH bytes and the byte behind it) of all texts are a distributed table with their training counts. Codes whose
+contexts end with the same two bytes share all longer contexts, so buckets of such pairs are weighed and mixed apart from
+each other; only the two shortest depths (256 contexts) are put together on the driver. Only decisions that occur are
+held, not 256 for each context.
 
-The base's token counts stay distributed: every document sends its different tokens, hashed to 64 bits and packed by
-bucket, to where they are counted, and gets back its share of the sum.
+The model stays a distributed table too. Texts are cut into slices; each slice asks, bucket by bucket, for its different
+codes once, gets their log probabilities back in the same order, and sums them up for its texts. So what is shuffled
+grows with the texts alone, not with the model, and a code that is everywhere costs one entry a slice.
+
+The base's token counts are a distributed table. Frequent tokens (fewer than HOT, by their share) are sent to all tasks;
+of the others every slice sends its documents' counts, packed by bucket, to where they are counted, and gets back sums.
 
 Defined results: null text counts as empty: one token (the end); without training rows the counts are 0 and the model
-is uniform over bytes; repeated rows score alike; an empty table gives an empty result; extra columns are ignored.
+is uniform over bytes; repeated rows and rows without an id are scored like others; a text of any length is scored whole,
+in slices; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +29,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.patterns import id_remainder, whole_text
-from tidewater.storage import stash
+from tidewater.storage import release, stash
 
 DEPTH = 5
-#: Codes that are mixed in one bucket, on average, and codes in one block of the finished model.
-BUCKET_CODES, BLOCK_CODES = 100_000, 4 << 20
+#: Codes that are mixed in one bucket, on average; bytes of a slice; bytes of text whose codes are asked for in one bucket.
+BUCKET_CODES, SLICE_BYTES, ASK_BYTES = 100_000, 4 << 20, 16 << 20
+#: Different codes or tokens that a task holds before it hands out their counts.
+HELD = 3_000_000
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text whose tokens one bucket counts, on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose rarer tokens one bucket counts, on average; a token is frequent if it is more than one in HOT.
+BUCKET_BYTES, HOT = 32 << 20, 50_000
 _PIECE = 2 << 20
 _END_BYTE, _END_TOKEN = b"\xff", xxhash.xxh64_intdigest(b"\n")
 
@@ -48,10 +56,11 @@ def _bytes(text: str | None) -> bytes:
 # ---- context-tree weighting ----
 
 
-def context_codes(data: bytes) -> np.ndarray:
-    """For each byte and the end mark: the DEPTH bytes before it (zeros before the text) and itself, in one number."""
-    b = np.frombuffer(b"\0" * DEPTH + data + _END_BYTE, np.uint8)
-    n = len(data) + 1
+def context_codes(data: bytes, before: bytes = b"", end: bool = True) -> np.ndarray:
+    """For each byte, and the end mark: the DEPTH bytes before it and itself, in one number. before: what stands ahead
+    of a part of a text; zeros stand before a text."""
+    b = np.frombuffer((b"\0" * DEPTH + before)[-DEPTH:] + data + _END_BYTE * end, np.uint8)
+    n = len(data) + end
     codes = b[:n].astype(np.uint64)
     for k in range(1, DEPTH + 1):
         codes <<= np.uint64(8)
@@ -70,18 +79,26 @@ def _count(batches):
         n = np.concatenate([counts, *(n * train for train, (_, n) in new.items())])
         return both, np.bincount(where, n, minlength=len(both)).astype(np.int64)
 
+    def out():
+        for k in range(0, len(codes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 100_000].astype(np.int64)), pa.array(counts[k : k + 100_000])], names=["code", "n"])
+
     for batch in batches:
         for text, train in zip(batch.column("text"), batch.column("train").to_pylist(), strict=True):
-            more = context_codes(_bytes(text.as_py()))
-            waiting[bool(train)].append(more)
-            size += len(more)
-            if size >= _PIECE:
-                codes, counts = merged()
-                waiting, size = {True: [], False: []}, 0
+            data = _bytes(text.as_py())
+            for k in range(0, len(data) + 1, _PIECE):
+                more = context_codes(data[k : k + _PIECE], data[max(0, k - DEPTH) : k], k + _PIECE > len(data))
+                waiting[bool(train)].append(more)
+                size += len(more)
+                if size >= _PIECE:
+                    codes, counts = merged()
+                    waiting, size = {True: [], False: []}, 0
+                    if len(codes) >= HELD:
+                        yield from out()
+                        codes, counts = codes[:0], counts[:0]
     if size:
         codes, counts = merged()
-    for k in range(0, len(codes), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 100_000].astype(np.int64)), pa.array(counts[k : k + 100_000])], names=["code", "n"])
+    yield from out()
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -117,17 +134,6 @@ def _weigh(log_pe: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return log_pw, np.exp(np.log(0.5) + log_pe - log_pw)
 
 
-def _byte_table(p_one: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """log10 probability of each seen byte from the probabilities of the decisions; last, of each byte not seen (alike)."""
-    out = np.ones((len(p_one), 1))
-    for level in range(8):
-        p = p_one[:, 1 << level : 2 << level]
-        out = (out[:, :, None] * np.stack([1 - p, p], axis=2)).reshape(len(p), 2 << level)
-    new = np.delete(out, seen, axis=1)
-    rest = new.sum(axis=1, keepdims=True) / max(1, new.shape[1])
-    return np.log10(np.maximum(np.concatenate([out[:, seen], rest], axis=1), 1e-300)).astype(np.float32)
-
-
 class _Level:
     """One of the eight decisions of every code of a bucket: the decisions that occur in contexts of 2 to DEPTH bytes,
     with their estimates and their weights. A decision is a code with the byte's known bits in place of the byte."""
@@ -159,119 +165,6 @@ class _Level:
         return np.log10(np.maximum(np.where(self.bit == 1, done, 1 - done), 1e-300))
 
 
-class _Branch:
-    """The contexts that end with the same two bytes, by depth: their counts, their parents, their mixture."""
-
-    def __init__(self, counts: list[np.ndarray], parents: list[np.ndarray]):
-        """counts[d]: (contexts, 256) of depth 2 + d; parents[d]: positions in the depth before."""
-        self.kt, self.weight, self.inner, self.kt_rest = [], [], [], []
-        below = None
-        for d in reversed(range(len(counts))):
-            log_pe, kt = _estimate(counts[d])
-            inner, rest, log_pw, weight, kt_rest = np.zeros(len(kt), bool), counts[d].copy(), log_pe, np.ones_like(kt), kt
-            if below is not None and len(below):
-                up = parents[d + 1]
-                np.subtract.at(rest, up, counts[d + 1])
-                inner[up] = True
-                log_rest, kt_rest = _estimate(rest)
-                np.add.at(log_rest, up, below)
-                pw, w = _weigh(log_pe, log_rest)
-                log_pw, weight = np.where(inner[:, None], pw, log_pe), np.where(inner[:, None], w, 1.0)
-            for store, x in ((self.kt, kt), (self.weight, weight), (self.inner, inner), (self.kt_rest, kt_rest)):
-                store.insert(0, x)
-            below = log_pw
-        self.log_pw, self.parents = below[0], parents
-
-    def rows(self, done: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-        """Mixed probabilities of the rows of each depth; done, left: the mixture of the shorter contexts, what it leaves."""
-        out, done, left = [], done[None], left[None]
-        for d, kt in enumerate(self.kt):
-            if d:
-                done, left = done[self.parents[d]], left[self.parents[d]]
-            done, left = done + left * self.weight[d] * kt, left * (1 - self.weight[d])
-            out.append(done + left * self.kt_rest[d])
-        return out
-
-
-class Tree:
-    """The same mixture of tables that fit in memory, against which tests hold the distributed one: one row of byte log probabilities for each kept context (for its rest, if longer ones
-    are kept too), and the tables that lead from the bytes before a position to its row."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """levels[d]: (context, byte, n), ordered by the context's last two bytes and then by context, for depth 2 + d."""
-        seen = np.unique(np.concatenate([levels[0][1], [0, 255]])).astype(np.int64)
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        names, where = [], []
-        for context, _, _ in levels:
-            change = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-            names.append(context[change])
-            where.append(np.repeat(np.arange(len(change)), np.diff(np.append(change, len(context)))))
-        pairs = names[0]
-        self.sizes = [len(x) for x in names]
-        # First entry and first context of each pair at each depth.
-        entry = [np.searchsorted(c & 0xFFFF, np.append(pairs, 1 << 16)) for c, _, _ in levels]
-        node = [np.searchsorted(c & 0xFFFF, np.append(pairs, 1 << 16)) for c in names]
-
-        def branch(k: int) -> _Branch:
-            counts, parents = [], [None]
-            for d, (_, byte, n) in enumerate(levels):
-                a, b, first, last = entry[d][k], entry[d][k + 1], node[d][k], node[d][k + 1]
-                block = np.zeros((last - first, 256))
-                block[where[d][a:b] - first, byte[a:b]] = n[a:b]
-                counts.append(block)
-                if d:
-                    order = np.argsort(names[d - 1][node[d - 1][k] : node[d - 1][k + 1]])
-                    short = names[d - 1][node[d - 1][k] : node[d - 1][k + 1]][order]
-                    parents.append(order[np.searchsorted(short, names[d][first:last] & ((1 << (8 * (d + 1))) - 1))])
-            return _Branch(counts, parents)
-
-        counts1, below1 = np.zeros((256, 256)), np.zeros((256, 256))
-        np.add.at(counts1, (levels[0][0] & 255, levels[0][1]), levels[0][2])
-        for k in range(len(pairs)):
-            below1[pairs[k] & 255] += branch(k).log_pw
-        log_pe1, kt1 = _estimate(counts1)
-        log_pw1, weight1 = _weigh(log_pe1, below1)
-        log_pe0, kt0 = _estimate(counts1.sum(axis=0, keepdims=True))
-        _, weight0 = _weigh(log_pe0, log_pw1.sum(axis=0, keepdims=True))
-        done1 = weight0 * kt0 + (1 - weight0) * weight1 * kt1
-        left1 = (1 - weight0) * (1 - weight1)
-
-        # Rows: the contexts by depth, then each last byte with a new byte before it.
-        bases = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.bases = bases
-        self.table = np.zeros((bases[-1] + 256, width), np.float32)
-        self.steps = [np.full((self.sizes[d] + 1, width), self.sizes[d + 1], np.int32) for d in range(len(levels) - 1)]
-        for k in range(len(pairs)):
-            found = branch(k)
-            last = pairs[k] & 255
-            for d, p in enumerate(found.rows(done1[last], left1[last])):
-                a = node[d][k]
-                self.table[bases[d] + a : bases[d] + a + len(p)] = _byte_table(p, seen)
-                if d:
-                    oldest = self.symbol[names[d][a : a + len(p)] >> (8 * (d + 1))]
-                    self.steps[d - 1][node[d - 1][k] + found.parents[d], oldest] = np.arange(a, a + len(p))
-        self.table[bases[-1] :] = _byte_table(done1 + left1 * 0.5, seen)
-        self.of_pair = np.full(65536, len(pairs), np.int32)
-        self.of_pair[pairs] = np.arange(len(pairs))
-
-    def score(self, data: bytes) -> float:
-        """log10 of the probability of the bytes and the end."""
-        total, width = 0.0, self.table.shape[1]
-        table, flat = self.table.ravel(), [s.ravel() for s in self.steps]
-        codes = context_codes(data)
-        for k in range(0, len(codes), _PIECE):
-            c = codes[k : k + _PIECE].view(np.int64)
-            at = self.of_pair[(c >> 8) & 0xFFFF]
-            row = np.where(at < self.sizes[0], at, self.bases[-1] + ((c >> 8) & 255))
-            for d, step in enumerate(flat):
-                at = step[at.astype(np.int64) * width + self.symbol[(c >> (24 + 8 * d)) & 255]]
-                row = np.where(at < self.sizes[d + 1], self.bases[d + 1] + at, row)
-            total += float(table[row * width + self.symbol[c & 255]].sum(dtype=np.float64))
-        return total
-
-
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     codes, n = table.column("code").to_numpy(), table.column("n").to_numpy()
     order = np.argsort(codes)
@@ -316,25 +209,117 @@ def fit_tree(rows: DataFrame) -> DataFrame:
         codes, n = _sorted(table)
         return pa.table({"code": codes, "log_p": sum(_Level(codes, n, level).log_probability(*sent.value) for level in range(8)).astype(np.float32)})
 
-    return stash(bucketed.groupBy("bucket").applyInArrow(mixed, "code long, log_p float"), "model")
+    model = stash(bucketed.groupBy("bucket").applyInArrow(mixed, "code long, log_p float"), "model")
+    release(rows.sparkSession, counted)
+    return model
+
 
+def _slices_of(batches):
+    """Texts in slices of SLICE_BYTES: which texts (rid, the number of the part, its length), and their bytes. A long
+    text is cut; each part brings the DEPTH bytes before it along."""
+    press, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+    rids, parts, sizes, held, size = [], [], [], [], 0
 
-class Block:
-    """A part of the finished model: some codes, in order, and their log probabilities."""
+    def made():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((rids, np.int64), (parts, np.int32), (sizes, np.int64))), pa.array([press.compress(b"".join(held))], pa.binary())],
+            names=["slice", "rids", "parts", "sizes", "data"],
+        )
+
+    for batch in batches:
+        for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
+            data = b"\0" * DEPTH + _bytes(text.as_py()) + _END_BYTE
+            for part, k in enumerate(range(DEPTH, len(data), SLICE_BYTES)):
+                piece = data[k - DEPTH : k + SLICE_BYTES]
+                if size and size + len(piece) > SLICE_BYTES:
+                    yield made()
+                    number += 1
+                    rids, parts, sizes, held, size = [], [], [], [], 0
+                for store, x in ((rids, rid), (parts, part), (sizes, len(piece)), (held, piece)):
+                    store.append(x)
+                size += len(piece)
+    if size:
+        yield made()
+
+
+def _codes_of(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a slice, text after text, and where each text's begin."""
+    b, sizes = np.frombuffer(zstandard.decompress(data), np.uint8), np.frombuffer(sizes, np.int64)
+    codes = b[: len(b) - DEPTH].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        codes <<= np.uint64(8)
+        codes |= b[k : len(b) - DEPTH + k]
+    ends = np.cumsum(sizes)
+    # Codes that reach over the border of two texts are none.
+    real = np.ones(len(b), bool)
+    for j in range(1, DEPTH + 1):
+        real[ends - j] = False
+    starts = np.concatenate([[0], np.cumsum(sizes - DEPTH)[:-1]])
+    return codes[real[: len(codes)]], starts
 
-    def __init__(self, table: pa.Table):
-        codes, log_p = table.column("code").to_numpy(), table.column("log_p").to_numpy()
-        order = np.argsort(codes)
-        self.codes, self.log_p = codes[order], log_p[order]
 
-    def score(self, data: bytes) -> float:
-        """log10 of the probability of those bytes (and of the end) whose codes are in this block."""
-        total, codes = 0.0, context_codes(data).view(np.int64)
-        for k in range(0, len(codes) if len(self.codes) else 0, _PIECE):
-            c = codes[k : k + _PIECE]
-            at = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
-            total += float(self.log_p[at][self.codes[at] == c].sum(dtype=np.float64))
-        return total
+def _bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _asked(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, by bucket and then by value, and where each bucket's begin."""
+    distinct = np.unique(codes)
+    bucket = _bucket_of(distinct, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return distinct[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _answer(model: pa.Table, asked: pa.Table) -> pa.Table:
+    """One bucket: the log probabilities of the codes that each slice asks for."""
+    codes, log_p = model.column("code").to_numpy().view(np.uint64), model.column("log_p").to_numpy()
+    order = np.argsort(codes)
+    codes, log_p = codes[order], log_p[order]
+    found = [log_p[np.searchsorted(codes, np.cumsum(np.frombuffer(zstandard.decompress(c), np.uint64)))].tobytes() for c in asked.column("codes").to_pylist()]
+    return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "log_p": pa.array(found, pa.binary())})
+
+
+def text_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows(rid, text), model(code, log_p) -> rid, score (log10 of the probability of the text and its end), one for each rid."""
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    buckets = max(1, -(-size // ASK_BYTES))
+    slices = stash(rows.select("rid", "text").mapInArrow(_slices_of, "slice long, rids binary, parts binary, sizes binary, data binary"), "slices")
+
+    def ask(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for number, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("slice", "sizes", "data")), strict=True):
+                codes, cuts = _asked(_codes_of(sizes, data)[0], buckets)
+                some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+                blobs = [press.compress(np.diff(codes[cuts[k] : cuts[k + 1]], prepend=np.uint64(0)).tobytes()) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "slice", "codes"])
+
+    def bucketed(batches):
+        for batch in batches:
+            bucket = _bucket_of(batch.column("code").to_numpy().view(np.uint64), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("code"), batch.column("log_p")], names=["bucket", "code", "log_p"])
+
+    def total(batches):
+        for batch in batches:
+            for rids, parts, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("rids", "parts", "sizes", "data", "answers")), strict=True):
+                codes, starts = _codes_of(sizes, data)
+                distinct, where = np.unique(codes, return_inverse=True)
+                order = np.argsort(_bucket_of(distinct, buckets), kind="stable")
+                log_p = np.empty(len(distinct))
+                log_p[order] = np.frombuffer(b"".join(a["log_p"] for a in sorted(answers, key=lambda a: a["bucket"])), np.float32)
+                scores = np.add.reduceat(log_p[where], starts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rids, np.int64)), pa.array(np.frombuffer(parts, np.int32)), pa.array(scores)], names=["rid", "part", "score"])
+
+    requests = slices.select("slice", "sizes", "data").mapInArrow(ask, "bucket long, slice long, codes binary")
+    parts_of_model = model.mapInArrow(bucketed, "bucket long, code long, log_p float")
+    answers = parts_of_model.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(_answer, "slice long, bucket long, log_p binary")
+    gathered = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "log_p")).alias("answers"))  # a row for each bucket
+    each = slices.join(gathered, "slice").select("rids", "parts", "sizes", "data", "answers").mapInArrow(total, "rid long, part int, score double")
+    # Rows of equal rid have equal texts and so equal parts.
+    whole = F.aggregate(F.array_sort(F.collect_set(F.struct("part", "score"))), F.lit(0.0), lambda a, x: a + x["score"])
+    out = stash(each.groupBy("rid").agg(whole.alias("score")), "text-scores")
+    release(rows.sparkSession, slices)
+    return out
 
 
 # ---- unigram base ----
@@ -350,50 +335,97 @@ def _slices(batch: pa.RecordBatch):
         at = upto
 
 
-def _send(buckets: int):
-    def packed(batch):
-        known: dict[bytes, int] = {}
-        hashes, times, sizes = [], [], []
+def _name(batch: pa.RecordBatch) -> tuple[int, bytes]:
+    """The name of a slice, a hash of its rows, and the rows."""
+    rids = batch.column("rid").to_numpy(zero_copy_only=False).tobytes()
+    return xxhash.xxh64_intdigest(rids) - (1 << 63), rids
+
+
+def _token_counts(batches):
+    """(token, n) over the training texts of a task, ends included."""
+    found, ends = Counter(), 0
+
+    def out():
+        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["token", "n"])
+
+    for batch in batches:
         for text in batch.column("text"):
-            words = Counter(_bytes(text.as_py()).split())
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            sizes.append(len(words) + 1)
-            hashes.append(np.fromiter((known[w] for w in words), np.uint64, len(words)))
-            hashes.append(np.array([_END_TOKEN], np.uint64))
-            times.append(np.fromiter(words.values(), np.uint32, len(words)))
-            times.append(np.ones(1, np.uint32))
-        token, n = np.concatenate(hashes), np.concatenate(times)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            found.update(_bytes(text.as_py()).split())
+            ends += 1
+            if len(found) >= HELD // 4:
+                yield out()
+                found.clear()
+    yield out()
+    yield pa.RecordBatch.from_arrays([pa.array(np.array([_END_TOKEN], np.uint64).view(np.int64)), pa.array([ends], pa.int64())], names=["token", "n"])
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token, how often, and in which row of the batch, for the different tokens of each row."""
+    known: dict[bytes, int] = {}
+    hashes, times, sizes = [], [], []
+    for text in batch.column("text"):
+        words = Counter(_bytes(text.as_py()).split())
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        sizes.append(len(words) + 1)
+        hashes.append(np.fromiter((*(known[w] for w in words), _END_TOKEN), np.uint64, len(words) + 1))
+        times.append(np.fromiter((*words.values(), 1), np.int64, len(words) + 1))
+    return np.concatenate(hashes), np.concatenate(times), np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+
+
+def _at(token: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token stands in a sorted array, and whether it does."""
+    at = np.minimum(np.searchsorted(known, token), max(0, len(known) - 1))
+    return at, known[at] == token if len(known) else np.zeros(len(token), bool)
+
+
+_REPLY = "slice long, rids binary, which binary, log_counts binary, n_known binary, n_tokens binary"
+
+
+def _frequent(sent):
+    """Each slice's sums over its frequent tokens."""
+
+    def reply(batch):
+        token, n, doc = _tokens(batch)
+        known, counts = sent.value
+        at, mine = _at(token, known)
+        size, c = batch.num_rows, counts[at[mine]]
+        name, rids = _name(batch)
+        sums = (np.bincount(doc[mine], n[mine] * np.log10(c + 1), minlength=size), np.bincount(doc[mine], n[mine] * (c > 0), minlength=size).astype(np.int32), np.bincount(doc, n, minlength=size).astype(np.int32))
+        row = (rids, np.arange(size, dtype=np.uint32).tobytes(), *(x.tobytes() for x in sums))
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["slice", "rids", "which", "log_counts", "n_known", "n_tokens"])
+
+    return lambda batches: (reply(piece) for batch in batches for piece in _slices(batch))
+
+
+def _send(sent, buckets: int):
+    """The rarer tokens of each slice, packed by bucket."""
+
+    def packed(batch):
+        token, n, doc = _tokens(batch)
+        rare = ~_at(token, sent.value[0])[1]
+        token, n, doc = token[rare], n[rare].astype(np.uint32), doc[rare]
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
         bucket = (token % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
         token, n, doc, bucket = token[order], n[order], doc[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        name, ends_at = xxhash.xxh64_intdigest(rid.tobytes()) - (1 << 63), _END_TOKEN % buckets
-        columns = {k: [] for k in ("bucket", "slice", "rids", "which", "train", "tokens", "docs", "times")}
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        name, _ = _name(batch)
+        columns = {k: [] for k in ("bucket", "slice", "which", "train", "tokens", "docs", "times")}
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
             which, local = np.unique(doc[a:b], return_inverse=True)
-            columns["bucket"].append(int(bucket[a]))
-            columns["slice"].append(name)
-            columns["rids"].append(rid.tobytes() if bucket[a] == ends_at else None)  # all have an end
-            columns["which"].append(which.tobytes())
-            columns["train"].append(train[which].tobytes())
-            columns["tokens"].append(token[a:b].tobytes())
-            columns["docs"].append(local.astype(np.uint32).tobytes())
-            columns["times"].append(n[a:b].tobytes())
+            row = (int(bucket[a]), name, which.tobytes(), train[which].tobytes(), token[a:b].tobytes(), local.astype(np.uint32).tobytes(), n[a:b].tobytes())
+            for column, x in zip(columns, row, strict=True):
+                columns[column].append(x)
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("bucket", "slice") else pa.binary()) for k, v in columns.items()], names=list(columns))
 
     return lambda batches: (packed(piece) for batch in batches for piece in _slices(batch))
 
 
-_REPLY = "slice long, rids binary, which binary, log_counts binary, n_known binary, n_tokens binary, copies binary"
-
-
 def _tally(table: pa.Table) -> pa.Table:
-    """One bucket: for each blob its documents' sums over their tokens; a row without slice has the bucket's V and N."""
+    """One bucket: for each blob its documents' sums over their tokens."""
     rows = table.to_pylist()
     sizes = [len(r["train"]) for r in rows]
     ahead = np.concatenate([[0], np.cumsum(sizes)])
@@ -403,46 +435,45 @@ def _tally(table: pa.Table) -> pa.Table:
     distinct, which = np.unique(token, return_inverse=True)
     c = np.bincount(which, n * train[doc].astype(np.float64), minlength=len(distinct))
     mine, end = c[which], int(ahead[-1])
-    sums = {
-        "log_counts": np.bincount(doc, n * np.log10(mine + 1), minlength=end),
-        "n_known": np.bincount(doc, n * (mine > 0), minlength=end).astype(np.int32),
-        "n_tokens": np.bincount(doc, n, minlength=end).astype(np.int32),
-        "copies": np.bincount(doc, token == np.uint64(_END_TOKEN), minlength=end).astype(np.int32),
-    }
-    out = {"slice": pa.array([*(r["slice"] for r in rows), None], pa.int64())}
-    for name in ("rids", "which"):
-        out[name] = pa.array([*(r[name] for r in rows), None], pa.binary())
-    for name, x in sums.items():
-        total = {"n_known": int((c > 0).sum()), "n_tokens": int(c.sum())}.get(name, 0)
-        out[name] = pa.array([*(x[a:b].tobytes() for a, b in zip(ahead, ahead[1:], strict=False)), total.to_bytes(8, "little")], pa.binary())
-    return pa.table(out)
+    log_counts = np.bincount(doc, n * np.log10(mine + 1), minlength=end)
+    n_known = np.bincount(doc, n * (mine > 0), minlength=end).astype(np.int32)
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ahead, ahead[1:], strict=False)], pa.binary())
+    none = pa.nulls(len(rows), pa.binary())
+    return pa.table({"slice": pa.array([r["slice"] for r in rows], pa.int64()), "rids": none, "which": pa.array([r["which"] for r in rows], pa.binary()), "log_counts": cut(log_counts), "n_known": cut(n_known), "n_tokens": none})
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """One slice in all its buckets: each row's sums; without slice: V and N of all buckets."""
-    names, rows = ("log_counts", "n_known", "n_tokens", "copies"), table.to_pylist()
-    if rows[0]["slice"] is None:
-        total = lambda name: sum(int.from_bytes(r[name], "little") for r in rows)
-        return pa.table({"rid": pa.array([None], pa.int64()), "log_counts": [0.0], "n_known": [total("n_known")], "n_tokens": [total("n_tokens")], "copies": [1]})
-    heads = [np.frombuffer(r["rids"], np.int64) for r in rows if r["rids"] is not None]
-    size = len(heads[0])
-    sums = {name: np.zeros(size, np.float64 if name == "log_counts" else np.int64) for name in names}
+    """One slice in all its buckets: each row's sums. Slices with the same rows, in the same order, share a name: each
+    sends the same, so what comes is divided by their number."""
+    rows = table.to_pylist()
+    heads = [r for r in rows if r["rids"] is not None]
+    rids = np.frombuffer(heads[0]["rids"], np.int64)
+    log_counts, n_known = np.zeros(len(rids)), np.zeros(len(rids), np.int64)
     for r in rows:
         which = np.frombuffer(r["which"], np.uint32)
-        for name in names:
-            sums[name][which] += np.frombuffer(r[name], np.float64 if name == "log_counts" else np.int32)
-    # Slices with the same rows, in the same order, share a name: all have the sums of all of them, once.
-    return pa.table({"rid": heads[0], **sums})
+        log_counts[which] += np.frombuffer(r["log_counts"], np.float64)
+        n_known[which] += np.frombuffer(r["n_known"], np.int32)
+    return pa.table({"rid": rids, "log_counts": log_counts / len(heads), "n_known": n_known // len(heads), "n_tokens": np.frombuffer(heads[0]["n_tokens"], np.int32).astype(np.int64)})
 
 
-def token_sums(rows: DataFrame) -> DataFrame:
-    """rows(rid, text, train) -> rid, log_counts, n_known, n_tokens, copies, summed over equal rids; rid null: V and N."""
+def token_sums(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """rows(rid, text, train) -> (rid, log_counts, n_known, n_tokens), one for each rid; V and N."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(_send(buckets), "bucket long, slice long, rids binary, which binary, train binary, tokens binary, docs binary, times binary")
-    replies = sent.groupBy("bucket").applyInArrow(_tally, _REPLY)
-    gathered = replies.groupBy("slice").applyInArrow(_gather, "rid long, log_counts double, n_known long, n_tokens long, copies long")
-    return gathered.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("log_counts", "n_known", "n_tokens", "copies")))
+    counted = stash(rows.filter("train").select("text").mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0"), "tokens")
+    types, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = counted.filter((F.col("n") * HOT > total) | (F.col("token") == int(np.array(_END_TOKEN, np.uint64).view(np.int64)))).toArrow()  # HOT rows at most
+    token, n = hot.column("token").to_numpy().view(np.uint64), hot.column("n").to_numpy().astype(np.float64)
+    if _END_TOKEN not in token:  # nothing to learn from
+        token, n = np.append(token, np.uint64(_END_TOKEN)), np.append(n, 0.0)
+    order = np.argsort(token)
+    sent = rows.sparkSession.sparkContext.broadcast((token[order], n[order]))
+    replies = rows.mapInArrow(_send(sent, buckets), "bucket long, slice long, which binary, train binary, tokens binary, docs binary, times binary").groupBy("bucket").applyInArrow(_tally, _REPLY)
+    every = rows.select("rid", "text").mapInArrow(_frequent(sent), _REPLY).union(replies)
+    gathered = every.groupBy("slice").applyInArrow(_gather, "rid long, log_counts double, n_known long, n_tokens long")
+    # Rows of equal rid have equal texts.
+    sums = gathered.groupBy("rid").agg(*(F.min(c).alias(c) for c in ("log_counts", "n_known", "n_tokens")))
+    return stash(sums, "token-sums"), types, total
 
 
 # ---- both ----
@@ -450,51 +481,15 @@ def token_sums(rows: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, train, n_bytes, n_tokens, n_known, train_tokens, base_score, score; train: the condition to learn from a row."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", whole_text().alias("text"), train.alias("train"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     model = fit_tree(rows)
-    blocks = max(1, -(-model.count() // BLOCK_CODES))
-
-    def block(k: int):
-        return spark.sparkContext.broadcast(Block(model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).toArrow()))
-
-    def part(sent):
-        def of(batches):
-            for batch in batches:
-                scores = [sent.value.score(_bytes(x.as_py())) for x in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(scores, pa.float64())], names=["rid", "part"])
-
-        return rows.select("rid", "text").mapInArrow(of, "rid long, part double")
-
-    # Blocks but the last leave a number for each text; rows of equal rid have equal texts.
-    parts = None
-    for k in range(blocks - 1):
-        sent = block(k)
-        one = stash(part(sent).groupBy("rid").agg(F.max("part").alias("part")), "model-part")
-        sent.destroy()
-        parts = one if parts is None else parts.union(one)
-    sent = block(blocks - 1)
-
-    def of(batches):
-        for batch in batches:
-            texts = [_bytes(x.as_py()) for x in batch.column("text")]
-            scores = [sent.value.score(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("train"), pa.array([len(t) for t in texts], pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "rid", "train", "n_bytes", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sums = stash(token_sums(rows.select("rid", "text", "train")), "token-sums")
-    both = sums.filter("rid is null").first()
-    types, tokens = (both["n_known"], both["n_tokens"]) if both else (0, 0)
-    scored = rows.mapInArrow(of, f"doc_id {kind}, rid long, train boolean, n_bytes long, score double")
-    if parts is not None:
-        added = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda a, x: a + x)
-        before = parts.groupBy("rid").agg(added.alias("before"))
-        scored = scored.join(before, "rid").withColumn("score", F.col("score") + F.col("before")).drop("before")
-    each = scored.join(sums.filter("rid is not null"), "rid")
-    n, known = ((F.col(c) / F.col("copies")).cast("long") for c in ("n_tokens", "n_known"))
-    base = F.col("log_counts") / F.col("copies") - n * F.lit(float(np.log10(tokens + types + 1)))
-    return each.select("doc_id", "train", "n_bytes", n.alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    scores = text_scores(rows, model)
+    release(docs.sparkSession, model)
+    sums, types, tokens = token_sums(rows.select("rid", "text", "train"))
+    each = rows.select("doc_id", "rid", "train", F.octet_length("text").cast("long").alias("n_bytes")).join(scores, "rid").join(sums, "rid")
+    base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(tokens + types + 1)))
+    return each.select("doc_id", "train", "n_bytes", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,74 @@ def test_chat_links_to_another_conversation_and_short_quotes_to_their_own(spark)
     assert got[5, 2] == (5, 0, 1) and got[6, 0] == (None, None, 0)
 
 
+def brute_threads(said):
+    """Parents, threads and depths by walking from message to message. said: (conv, position, text), in order."""
+    parsed = {(c, p): chat.parse(t) for c, p, t in said}
+    origin = collections.defaultdict(list)
+    for at, (_, _, own) in parsed.items():
+        for h in own:
+            origin[h].append(at)
+    link, n_linked = {}, collections.Counter()
+    for (c, p), (_, quotes, _) in parsed.items():
+        for _, hashes in sorted(quotes, key=lambda q: q[0]):
+            for h in hashes:
+                here = [x for x in origin[h] if x[0] == c and x[1] < p]
+                away = [x for x in origin[h] if x[0] != c and not h & 1]
+                if here or away:
+                    n_linked[c, p] += 1
+                    link.setdefault((c, p), max(here) if here else min(away))
+                    break
+    step = lambda at: link.get(at, (at[0], at[1] - 1) if at[1] else None)
+    for at in list(link):
+        seen, x = [], at
+        while x is not None and x not in seen:
+            seen.append(x)
+            x = step(x)
+        if x is not None:
+            link[min(y for y in seen[seen.index(x) :] if y in link)] = None
+    out = {}
+    for at in parsed:
+        x, depth = at, 0
+        while (up := step(x)) is not None:
+            x, depth = up, depth + 1
+        out[at] = (*(step(at) or (None, None)), *x, depth, n_linked[at])
+    return out, list(link.values()).count(None)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_threads_equal_brute_force(spark, monkeypatch, seed):
+    """Passages that many say, quotes of quotes, circles, long and short ones; cells of three positions."""
+    monkeypatch.setattr(chat, "CELL", 3)
+    rng = np.random.default_rng(seed)
+    phrases = [f"this is passage number {k} of them" for k in range(9)] + ["ok", "yes"]
+    said = []
+    for conv in range(12):
+        for position in range(int(rng.integers(1, 14))):
+            lines = [str(rng.choice(phrases))] if rng.random() < 0.7 else [f"own words {conv} {position}"]
+            for _ in range(int(rng.integers(0, 3))):
+                lines.insert(0, ">" * int(rng.integers(1, 3)) + " " + str(rng.choice(phrases)))
+            said.append((conv, position, "\n".join(lines)))
+    want, circles = brute_threads(said)
+    frame = spark.createDataFrame([(c, p * 10, "user", t) for c, p, t in said], "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.link_messages(frame).collect()
+    assert {(r["conv_id"], r["position"]): (r["parent_conv"], r["parent_position"], r["thread_conv"], r["thread_position"], r["depth"], r["n_linked"]) for r in got} == want
+    places = {(r["conv_id"], r["position"]): (r["thread_conv"], r["thread_position"], r["place"]) for r in got}
+    sizes = collections.Counter(p[:2] for p in places.values())
+    assert sorted(places.values()) == sorted((*thread, k) for thread, n in sizes.items() for k in range(n))
+    assert all(places[r["parent_conv"], r["parent_position"]][2] < r["place"] for r in got if r["parent_position"] is not None)
+    assert circles
+
+
+def test_a_long_conversation_has_places(spark):
+    n = chat.CELL + 500
+    frame = spark.range(n).selectExpr("7L as conv_id", "if(id < 300, null, id div 2) as turn", "'user' as role", "concat('message ', id) as text")
+    got = chat.link_messages(frame).collect()
+    assert sorted(r["position"] for r in got) == sorted(r["place"] for r in got) == list(range(n))
+    order = [r["turn"] for r in sorted(got, key=lambda r: r["position"])]
+    assert order == sorted(order, key=lambda t: -1 if t is None else t)
+    assert all(r["depth"] == r["position"] and (r["thread_conv"], r["thread_position"]) == (7, 0) for r in got)
+
+
 def test_mixing(docs, none, rows):
     mixed, slots = mixing.mix(docs)
     got = mixed.collect()

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tidewater.storage import release, stash
 
 
+#: So many links are worked off in one task, where no step needs a shuffle.
+FEW = 500_000
+
+
+def _read(links: DataFrame, n: int) -> DataFrame:
+    return links.coalesce(1) if n <= FEW else links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): the smallest node of its component, for each node of an edge between different nodes;
     nulls are no nodes, edges may repeat, no edges give no rows. Every step is written to the shared folder, and the one
@@ -15,15 +23,19 @@ def components(edges: DataFrame) -> DataFrame:
     links = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(links)
     while True:
-        both = links.union(links.select("v", "u"))
+        links_now = _read(links, mark[0])
+        both = links_now.union(links_now.select("v", "u"))
+        both = both.coalesce(1) if mark[0] <= FEW else both
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        large_now = _read(large, mark[0])
+        least = large_now.groupBy("u").agg(F.min("v").alias("m"))
+        small = large_now.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        small = (small.coalesce(1) if mark[0] <= FEW else small).distinct()
         used, links = links, stash(small, "links")
         release(links.sparkSession, used, large)
-        before, mark = mark, _mark(links)
+        before, mark = mark, _mark(_read(links, mark[0]))
         if mark == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import shutil
 import zlib
 
 import numpy as np
@@ -33,6 +34,12 @@ def one(spark, value, of):
         (T.shingles, "!", []),
         (T.shingles, "a b c a b c", ["a b c", "b c a", "c a b"]),
         (T.strip_or_null, "  ", None),
+        (T.strip_or_null, "\t\u00a0\n", None),
+        (T.strip_or_null, "\tT x\n", "T x"),
+        (T.fold, "Tha\u0301p D\u0323", "Thap D"),
+        (T.tokens, "Tha\u0301p Mu\u031b\u0300i", ["tháp", "mừi"]),
+        (T.normalize, "E\u0302\u0323", "ệ"),
+        (T.compose, "e\u0302\u0323 a\u0301", "ệ á"),
         (T.tokens, None, None),
     ],
 )
@@ -98,16 +105,147 @@ def test_embedding_counts_grams():
     assert not similarity.embed("a").any() and not similarity.embed("  ").any()
 
 
-def test_entities():
-    found = entities.extract("Theo Công ty Vàng Xanh, ông Nguyễn Văn An đến Hà Nội. NASA phóng.")
-    assert ("Nguyễn Văn An", "PER") in found and ("Hà Nội", "LOC") in found and ("NASA", "MISC") in found
-    assert any(kind == "ORG" and "Vàng Xanh" in name for name, kind in found)
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Theo Công ty Vàng Xanh, ông Nguyễn Văn An đến Hà Nội. NASA phóng.", [("Công ty Vàng Xanh", "ORG"), ("Nguyễn Văn An", "PER"), ("Hà Nội", "LOC"), ("NASA", "MISC")]),
+        ("Phó Nguyễn Văn An nói", [("Nguyễn Văn An", "PER")]),
+        ("mạng 5G Viettel mới", [("5G Viettel", "PER")]),
+        ("Thủ đô Hà Nội đẹp", [("đô Hà Nội", "PER")]),
+        ("Tại Huế mưa. gặp Bộ hôm qua", [("Huế", "LOC")]),
+        ("xem Nguyễn   Văn", [("Nguyễn Văn", "PER")]),
+        ("thấy Hanoi, rồi UBND", []),
+        ("ở Nguye\u0302\u0303n Du", [("Nguyễn Du", "LOC")]),
+        (None, []),
+        ("  ", []),
+    ],
+)
+def test_entities(text, wanted):
+    assert entities.extract(text) == wanted
+
+
+def test_labels_of_other_recognisers(spark):
+    rows = spark.createDataFrame([("B-PER",), ("I-LOC",), ("ORG",), ("person",), ("B-EVT",), ("O",)], "x string")
+    assert [r[0] for r in rows.select(entities.label_type(F.col("x"))).collect()] == ["PER", "LOC", "ORG", "PER", "MISC", "MISC"]
+
+
+def test_links_of_clusters_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = [f"t{rng.integers(2000)}" for _ in range(120)]
+        for n in (0, 0, 2, 4, 8):
+            copy = list(base)
+            for k in rng.integers(0, 120, n):
+                copy[k] = f"n{rng.integers(2000)}"
+            texts.append(" ".join(copy))
+    signs = [similarity.signature(t.split()) for t in texts]
+    bands = similarity.bands_for(0.7)
+    assert bands == 16 and similarity.bands_for(0.5) > 16
+    want = []
+    for i, a in enumerate(signs):
+        cut = lambda s: s.reshape(bands, -1)
+        want.append(sum(j != i and (a == b).mean() >= 0.7 and bool((cut(a) == cut(b)).all(axis=1).any()) for j, b in enumerate(signs)))
+    rows = spark.createDataFrame([(k, "", t) for k, t in enumerate(texts)], "article_id long, title string, body string").repartition(4)
+    got = {r["article_id"]: r for r in similarity.clusters(rows).collect()}
+    assert [got[k]["n_links"] for k in range(len(texts))] == want and max(want) > 2
+    # Known articles keep their cluster; new ones join them.
+    known = spark.createDataFrame([(1, 999)], "article_id long, cluster_id long")
+    again = {r["article_id"]: r["cluster_id"] for r in similarity.clusters(rows.filter("article_id <> 0"), known=known).collect()}
+    assert again[1] == 999 and again[2] in (999, 2)
+
+
+def test_jaccard_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    texts = ["", "a b", "a b", None]
+    for _ in range(20):
+        base = [f"w{x}" for x in rng.integers(0, 900, 30)]
+        texts += [" ".join([*base[:k], "other", *base[k + j :]]) for k, j in ((3, 1), (9, 1), (3, 1), (15, 4), (30, 0))]
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) if len(w := (t or "").split()) > 2 else {tuple(w)} if w else set() for t in texts]
+    first = {}
+    for k, s in enumerate(sets):
+        first.setdefault(frozenset(s), k)
+    want = {(a, b) for s, a in first.items() for u, b in first.items() if a < b and s and u and len(s & u) >= 0.3 * len(s | u)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "article_id long, text string")
+    got = {(r["id_a"], r["id_b"]) for r in similarity.jaccard_pairs(rows, 0.3).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_blocks_of_queries_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    articles = spark.createDataFrame([(k, f"title {rng.integers(9)}", " ".join(f"w{x}" for x in rng.integers(0, 40, 30))) for k in range(80)], "article_id long, title string, body string")
+    queries = spark.createDataFrame([(f"q{k}", " ".join(f"w{x}" for x in rng.integers(0, 60, 4)), [float(x) for x in rng.normal(size=5)]) for k in range(11)] + [("none", None, None)], "query_id string, text string, vector array<double>")
+    vectors = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=5)]) for k in range(80)], "article_id long, embedding array<double>")
+    every = [sorted(map(tuple, f(queries, x, 7).collect())) for f, x in ((retrieval.bm25, articles), (retrieval.cosine, vectors))]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert every == [sorted(map(tuple, f(queries, x, 7).collect())) for f, x in ((retrieval.bm25, articles), (retrieval.cosine, vectors))]
+    assert len(every[1]) == 77 and {r[0] for r in every[0]} <= {f"q{k}" for k in range(11)}
+    posted, sizes = retrieval.postings(articles), retrieval.lengths(articles)
+    assert every[0] == sorted(map(tuple, retrieval.bm25_indexed(queries, posted, sizes, 7).collect()))
+    with pytest.raises(Exception, match="dimensions"):
+        retrieval.cosine(queries, vectors.withColumn("embedding", F.slice("embedding", 1, 4)), 7).collect()
+
+
+def test_snippets_equal_the_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        body = "".join(str(rng.choice(["gold ", "Vàng, ", "x_y ", "lorem ", "ipsumdolor", ". "])) for _ in range(int(rng.integers(0, 60))))
+        most = int(rng.integers(5, 80))
+        found = [(m.start(), m.end()) for m in retrieval.re.finditer(r"\w+", body) if m.group() in ("gold", "Vàng")]
+        got = retrieval.make_snippet(body, {"gold", "vang"}, most)
+        assert got.replace("<b>", "").replace("</b>", "").strip(".") in body
+        if found:
+            fitting = [max(1, sum(e <= s + most for _, e in found[k:])) for k, (s, _) in enumerate(found)]
+            k = fitting.index(max(fitting))
+            start = max(0, found[k][0] - max(0, most - (found[k + fitting[k] - 1][1] - found[k][0])) // 2)
+            end = min(len(body), start + most)
+            inside = sum(s >= max(0, end - most) and e <= end for s, e in found)
+            assert got.count("<b>") == inside
+
+
+def test_content_system_rows(spark):
+    at = lambda d: datetime.datetime(2026, 7, d)
+    rows = [
+        (1, "", " Short ", "lead", " ", "a-slug", "s", at(1), at(1), at(2), None, "c", "x", ["t"]),
+        (2, "Only title", None, None, "", None, None, at(3), None, at(3), None, None, None, None),
+        (3, "gone", None, "l", "c", "", None, at(1), at(1), at(5), at(5), None, None, None),
+        (4, "withdrawn", None, "l", "c", "", None, None, at(1), at(6), None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, tables.CMS)
+    got = {r["article_id"]: r for r in tables.cms_articles(tables.cms_published(frame)).collect()}
+    assert set(got) == {"1", "2"} and (got["1"]["title"], got["1"]["body"], got["1"]["url"], got["1"]["tags"]) == ("Short", "lead", "/a-slug", ["t"])
+    assert (got["2"]["body"], got["2"]["url"], got["2"]["published_at"], got["2"]["tags"]) == ("Only title", "/article/2", "2026-07-03T00:00:00+07:00", [])
+    when = F.lit("2026-07-03").cast("timestamp")
+    assert [r["id"] for r in tables.cms_since(frame, when).collect()] == [2]
+    assert {r[0] for r in tables.cms_deleted(frame, when).collect()} == {"3", "4"}
+    assert [r["id"] for r in tables.cms_by_ids(frame, spark.createDataFrame([("1",), ("3",), ("x",)], "article_id string")).collect()] == [1]
+
+
+def test_daily_counts_over_several_runs(spark, tmp_path):
+    schema = "ts timestamp, kind string"
+    for k in range(2):
+        spark.createDataFrame([(datetime.datetime(2026, 7, 1 + j, 5), ("search", "click")[(j + k) % 2]) for j in range(3)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        counted = events.run_once(events.daily_counts(events.stream_table(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "check"))
+        assert counted.count() == 3
+    # The second run's first day is more than a day late.
+    assert {r["day"].day: (r["searches"], r["clicks"]) for r in events.days(spark, str(tmp_path / "out")).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 1)}
 
 
 def test_spelling(spark):
     vocabulary = spark.createDataFrame([("lam", 3), ("phat", 5), ("kinh", 2), ("te", 9)], "token string, freq long")
     words = spark.createDataFrame([("phatt",), ("zzzzz",), ("lam",), ("kihn",)], "word string")
     assert {r[0]: r[1] for r in understanding.correct(words, vocabulary).collect()} == {"phatt": "phat", "zzzzz": "zzzzz", "lam": "lam", "kihn": "kinh"}
+    # Long words, to both sides of the length up to which variants are made.
+    rng = np.random.default_rng(5)
+    tokens = ["".join(rng.choice(list("abcdefgh"), n)) for n in (39, 40, 41, 42, 43, 60, 200)]
+    spoilt = {}
+    for t in tokens:
+        for kind in range(5):
+            k = int(rng.integers(1, len(t) - 3))
+            once = (t[:k] + t[k + 1 :], t[:k] + "z" + t[k:], t[:k] + "z" + t[k + 1 :], t[:k] + t[k + 1] + t[k] + t[k + 2 :], t[1:-1])[kind]
+            spoilt[once] = t
+    frame = spark.createDataFrame([(w,) for w in spoilt], "word string")
+    assert {r[0]: r[1] for r in understanding.correct(frame, spark.createDataFrame([(t, 1) for t in tokens], "token string, freq long")).collect()} == {w: w if w in tokens else t for w, t in spoilt.items()}
 
 
 def test_feedback_golden(spark):
@@ -133,7 +271,7 @@ def test_upserts_keep_the_latest(spark, tmp_path):
     for k, rows in enumerate(([("a", 1, "published", "one"), ("b", 2, "published", "two")], [("a", 3, "published", "three"), ("b", 4, "draft", "gone")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events.upserts(events.stream_table(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check"))
-    assert [tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out/1")).collect()] == [("a", 3, "published", "three")]
+    assert [tuple(r) for r in events.upserted(spark, str(tmp_path / "out"), schema).collect()] == [("a", 3, "published", "three")]
 
 
 def test_cache_forgets(spark):
@@ -196,11 +334,34 @@ def test_engine(spark, tmp_path):
     assert made.alerts().first()[0] == ""
     assert ("Hà Nội", "LOC") in {tuple(r) for r in made.entities_of("a1").collect()}
     assert made.understand(spark.createDataFrame([("q", "vangg tang")], "query_id string, text string")).first()["expanded"] == "vang tang"
-    assert made.remove(spark.createDataFrame([("a0",), ("zz",)], "article_id string")) == 1 and made.stats()["articles"] == 4
-    assert made.reindex(raw.limit(2)) == 2 and made.stats()["articles"] == 2
+    assert made.events().filter("kind = 'search' and variant in ('A', 'B')").count() == 4
+    with pytest.raises(KeyError):
+        made.entities_of("no such article")
+    # What is asked for fresh is answered anew each time; expanded questions find synonyms and correct words.
+    kept = len(made.cache.entries)
+    made.ask("tin moi", now=now)
+    assert len(made.cache.entries) == kept
+    wide = engine.SearchEngine(spark, str(tmp_path / "index"), events="none", understanding=True, synonyms={"kho": ["tang manh"]})
+    found = lambda which, text: {r["article_id"] for r in which.ask(text, "lexical", now=now)[1]}
+    assert found(made, "kho") == {"a3"} and found(wide, "kho") > {"a3"}
+    assert found(made, "vangg") == set() and found(wide, "vangg")
+    made.snapshot(str(tmp_path / "snap"))
+    assert made.restore(str(tmp_path / "snap")) == 1 and made.stats()["articles"] == 5
+    with pytest.raises(ValueError, match="body"):
+        made.index(raw.limit(1).withColumn("body", F.lit("")), strict=True)
+    shutil.rmtree(tmp_path / "index" / "2", ignore_errors=True)
+    assert made.remove(spark.createDataFrame([("a0",), ("zz",)], "article_id string")) == 2 and made.stats()["articles"] == 4
+    assert made.sync(raw.filter("article_id = 'a0'"), spark.createDataFrame([("a1",)], "article_id string")) == 3 and made.stats()["articles"] == 4
+    done = made.job(raw.withColumn("title", F.when(F.col("article_id") != "a3", F.col("title"))), limit=5)
+    assert done["rejected"] == 1 and done["shown"] == [{"article_id": "a3", "missing": "title"}] and done["per_second"] > 0
+    assert made.reindex(raw.limit(2)) == 5 and made.stats()["articles"] == 2
     for bad in (lambda: made.ask(" "), lambda: made.ask("x", k=0), lambda: made.ask("x", "other"), lambda: engine.SearchEngine(spark, "x", reranker="other")):
         with pytest.raises(ValueError):
             bad()
+    settings = engine.Settings.read({"TIDEWATER_FOLDER": str(tmp_path / "index"), "TIDEWATER_UNDERSTANDING": "true", "TIDEWATER_CACHE_SIZE": "5", "OTHER": "x"})
+    assert (settings.understanding, settings.cache_size, settings.reranker) == (True, 5, "none") and engine.SearchEngine.of(spark, settings).understanding
+    with pytest.raises(ValueError):
+        engine.Settings.read({"TIDEWATER_CACHE_FRESH": "maybe"})
     engine.register_functions(spark)
     got = spark.sql("SELECT tw_fold('Đồng Tháp') AS f, tw_tokens('Giá 2%') AS t, tw_normalize('  A \t b ') AS n, tw_variant('q') AS v, tw_snippet('giá vàng', 'gia') AS s").first()
     assert (got["f"], got["t"], got["n"], got["s"]) == ("Dong Thap", ["giá", "2"], "a b", "<b>giá</b> vàng") and got["v"] in "AB"

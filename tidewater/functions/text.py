@@ -27,17 +27,54 @@ def _fold_map() -> tuple[str, str]:
 _FROM, _TO = _fold_map()
 
 
+_MARK = r"\p{M}"
+# Combining marks below a letter come before those above it in the canonical order.
+_ABOVE, _BELOW = "[\u0300-\u0314\u033d-\u0344\u0346\u034a-\u034c]", "[\u031b\u0323-\u0328\u032d-\u0331]"
+
+
+def _compositions() -> list[tuple[str, str]]:
+    """Letter with a mark and the one letter that they make, by Unicode; shorter compositions first."""
+    found = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and all(len(x) == 4 for x in parts) and unicodedata.normalize("NFC", chr(code)) == chr(code):
+            found.append(("".join(chr(int(x, 16)) for x in parts), chr(code)))
+    return sorted(found, key=lambda p: len(unicodedata.normalize("NFD", p[1])))
+
+
+_COMPOSED = _compositions()
+
+
+def compose(x: Column) -> Column:
+    """Canonical composition of letters and their marks. Only texts that hold a combining mark are walked through, and
+    then only for the pairs of letter and mark that occur in them."""
+    table = F.array(*(F.struct(F.lit(a).alias("apart"), F.lit(b).alias("one")) for a, b in _COMPOSED))
+
+    def of(text: Column) -> Column:
+        ordered = F.regexp_replace(F.regexp_replace(text, f"({_ABOVE}+)({_BELOW}+)", "$2$1"), f"({_ABOVE}+)({_BELOW}+)", "$2$1")
+        return F.aggregate(table, ordered, lambda t, pair: F.replace(t, pair["apart"], pair["one"]))
+
+    return F.when(x.rlike(_MARK), F.element_at(F.transform(F.array(x), of), 1)).otherwise(x)
+
+
 def fold(x: Column) -> Column:
-    """Without diacritics; case stays. Plain ASCII text, which translate() would walk letter by letter, passes as it is."""
-    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(x, _FROM, _TO))
+    """Without diacritics, composed or combining; case stays. Plain ASCII text, which translate() would walk letter by
+    letter, passes as it is."""
+    plain = F.regexp_replace(F.translate(x, _FROM, _TO), _MARK, "")
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(plain)
+
+
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, f"^{_SPACE}|{_SPACE}$", "")
 
 
 def normalize(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(x), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.lower(compose(x)), _SPACE, " "))
 
 
 def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(compose(x)), F.lit(TOKEN), F.lit(0))
 
 
 def folded_tokens(x: Column) -> Column:
@@ -78,17 +115,19 @@ def clean_html(x: Column) -> Column:
     y = F.regexp_replace(y, r"(?s)</?[A-Za-z!][^>]*>", " ")
     y = unescape(y)
     lines = F.transform(F.split(y, r"[\n\r]+"), lambda line: F.trim(F.regexp_replace(line, _SPACE, " ")))
-    return F.when(has_tag(x), F.array_join(F.filter(lines, lambda line: line != ""), "\n")).otherwise(F.trim(x))
+    return F.when(has_tag(x), F.array_join(F.filter(lines, lambda line: line != ""), "\n")).otherwise(strip(x))
 
 
 def strip_or_null(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(strip(x), F.lit(""))
 
 
 def parse_published_at(x: Column) -> Column:
-    """ISO 8601 to a UTC instant; without an offset the time is at +07:00; null if it is neither."""
-    zoned = x.rlike(r"(Z|[+-]\d\d:?\d\d)$")
-    return F.when(zoned, F.try_to_timestamp(x)).otherwise(F.try_to_timestamp(F.concat(x, F.lit("+07:00"))))
+    """ISO 8601, a date alone included, to a UTC instant; without an offset the time is at +07:00; null if it is neither."""
+    plain = strip(x)
+    whole = F.when(plain.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(plain, F.lit("T00:00:00"))).otherwise(plain)
+    zoned = whole.rlike(r"(Z|[+-]\d\d:?\d\d)$") & whole.rlike("[T ]")
+    return F.when(zoned, F.try_to_timestamp(whole)).otherwise(F.try_to_timestamp(F.concat(whole, F.lit("+07:00"))))
 
 
 def fresh_intent(x: Column) -> Column:

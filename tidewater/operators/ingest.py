@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import clean_html, parse_published_at, strip_or_null
+from tidewater.functions.text import clean_html, parse_published_at, strip, strip_or_null
 
 REQUIRED = ("article_id", "title", "body", "url", "published_at")
 
@@ -18,9 +20,9 @@ def normalize_articles(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = parse_published_at(F.col("published_at"))
     unread = F.when((F.coalesce("published_at", F.lit("")) != "") & at.isNull(), F.lit("published_at"))
     judged = raw.withColumn("missing", F.concat_ws(",", *empty, unread))
-    tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
+    tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), strip), lambda t: t != "")
     good = judged.filter("missing = ''").select(
-        F.trim("article_id").alias("article_id"), F.trim("title").alias("title"), clean_html(F.col("body")).alias("body"), F.trim("url").alias("url"), at.alias("published_at"),
+        strip(F.col("article_id")).alias("article_id"), strip(F.col("title")).alias("title"), clean_html(F.col("body")).alias("body"), strip(F.col("url")).alias("url"), at.alias("published_at"),
         F.col("published_at").alias("published_at_iso"), *(strip_or_null(F.col(c)).alias(c) for c in ("author", "category", "source")), F.coalesce(strip_or_null(F.col("status")), F.lit("published")).alias("status"), tags.alias("tags"),
     )
     return good, judged.filter("missing <> ''")
@@ -36,3 +38,35 @@ def prometheus(snapshot: DataFrame, prefix: str = "tidewater") -> DataFrame:
     """One line `prefix_name value` for each column of a snapshot."""
     lines = F.array(*(F.concat(F.lit(f"{prefix}_{c} "), F.col(c).cast("string")) for c in snapshot.columns))
     return snapshot.select(F.explode(lines).alias("line"))
+
+
+class EventBuffer:
+    """Events wait on the driver and are appended together: `most` of them make a file, and so does flush()."""
+
+    def __init__(self, spark, path: str, schema: str, most: int = 200):
+        self.spark, self.path, self.schema, self.most, self.waiting = spark, path, schema, most, []
+
+    def add(self, **event) -> None:
+        self.waiting.append({"ts": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")} | event)
+        if len(self.waiting) >= self.most:
+            self.flush()
+
+    def flush(self) -> None:
+        waiting, self.waiting = self.waiting, []
+        if waiting:
+            columns = [c.split()[0] for c in self.schema.split(", ")]
+            log_events(self.spark.createDataFrame([tuple(e.get(c) for c in columns) for e in waiting], self.schema), self.path)
+
+
+class NoEvents:
+    """Takes events and keeps none."""
+
+    def add(self, **event) -> None:
+        pass
+
+    def flush(self) -> None:
+        pass
+
+
+#: (spark, path, schema) -> a log
+EVENT_LOGS = {"none": lambda spark, path, schema: NoEvents(), "json": EventBuffer}

@@ -56,6 +56,22 @@ def relevance(ranked: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
     return hits.groupBy("query_id").agg(F.round(F.count("rank") / n, 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("mrr"), F.round(gain / ideal, 6).alias("ndcg"))
 
 
+def mean_relevance(measures: DataFrame) -> DataFrame:
+    """One row: the means of relevance() over all queries; nulls without any."""
+    return measures.agg(F.count("*").alias("queries"), *(F.round(F.avg(c), 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
+def latency_percentiles(took: DataFrame, by: str, value: str) -> DataFrame:
+    """took(by, value) -> p50, p95 and mean of each group. The exact percentiles come from counts of equal values, so
+    that no group is gathered: the value at sorted[min(n - 1, floor(p * n))]."""
+    counts = took.groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = took.groupBy(by).agg(F.count("*").alias("total"), F.round(F.avg(value), 6).alias("mean"))
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).join(total, by)
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))), F.col(value)))
+    return placed.groupBy(by).agg(F.max("total").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("mean").alias("mean"))
+
+
 def latest(rows: DataFrame, key: str, arrival: str) -> DataFrame:
     """The last version of each key."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(arrival)))).filter("nth = 1").drop("nth")

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidewater.functions.text import folded_tokens, fresh_intent, tokens
+from tidewater.storage import stash
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 CANDIDATES, RRF_K, RERANK_TOP, POOL, LAMBDA = 100, 60, 50, 30, 0.7
 HALF_LIFE, FRESH_HALF_LIFE, FLOOR = 30.0, 2.0, 0.5
 SNIPPET = 200
+#: Queries that are compared in one pass.
+QUERY_BLOCK = 256
 
 
 def _words(articles: DataFrame) -> DataFrame:
@@ -49,14 +57,95 @@ def top(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def forward_index(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
+    """article_id, dl, tokens (hashes), tfs: every text is tokenised once and counted where it is."""
+
+    def counted(batches):
+        for batch in batches:
+            rows = []
+            for title, body in zip(batch.column("in_title").to_pylist(), batch.column("in_body").to_pylist(), strict=True):
+                tf = Counter(body or ())
+                for t in title or ():
+                    tf[t] += title_weight
+                rows.append(tf)
+            tokens = pa.array([[xxhash.xxh64_intdigest(t, 42) - (1 << 64) * (xxhash.xxh64_intdigest(t, 42) >> 63) for t in tf] for tf in rows], pa.list_(pa.int64()))
+            tfs = pa.array([list(tf.values()) for tf in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array([sum(tf.values()) for tf in rows], pa.int64()), tokens, tfs], names=["article_id", "dl", "tokens", "tfs"])
+
+    kind = articles.schema["article_id"].dataType.simpleString()
+    return _words(articles).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
+
+
+def _blocks(rows: DataFrame) -> Iterator[list]:
+    """The rows in blocks of QUERY_BLOCK; one partition at a time comes to the driver."""
+    every = rows.toLocalIterator()
+    while block := list(itertools.islice(every, QUERY_BLOCK)):
+        yield block
+
+
+def _each_block(blocks, run, schema: str, spark) -> DataFrame:
+    """The union of run(block) over all blocks; every result but a single one is written, so that no block waits in memory."""
+    found = [run(block) for block in itertools.islice(blocks, 1)]
+    for block in blocks:
+        found = [stash(found[0], "ranked")] if len(found) == 1 and not hasattr(found[0], "stash_path") else found
+        found.append(stash(run(block), "ranked"))
+    return functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, least: float) -> list[np.ndarray]:
+    """For each column the rows of the k best scores above least, ties by id."""
+    out = []
+    for c in scores.T:
+        some = np.flatnonzero(c > least)
+        if len(some) > k:
+            some = some[c[some] >= np.partition(c[some], len(some) - k)[len(some) - k]]
+        out.append(some[np.lexsort((ids[some], -c[some]))][:k])
+    return out
+
+
+def _ranked_batch(names: list, scores: np.ndarray, batch: pa.RecordBatch, k: int, least: float) -> pa.RecordBatch:
+    scores = np.round(scores, 9)
+    rows = _best(scores, np.array(batch.column("article_id").to_pylist()), k, least)
+    at, which = np.concatenate(rows), np.repeat(np.arange(len(names)), [len(r) for r in rows])
+    return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), batch.column("article_id").take(pa.array(at)), pa.array(scores[at, which])], names=["query_id", "article_id", "score"])
+
+
 def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     """query_id, article_id, score, rank. Document frequencies and lengths are those of all articles; allowed
-    (article_id) restricts what is scored."""
-    asked = _asked(queries)
-    # Only occurrences of query tokens are grouped; each brings its article's length along.
-    every = _occurrences(_words(articles).withColumn("dl", _length(title_weight)), title_weight, "dl")
-    found = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("article_id", "token").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
-    return _scored(asked, found, lengths(articles, title_weight), k, allowed)
+    (article_id) restricts what is scored. Queries are worked off in blocks of QUERY_BLOCK, one pass over the counted
+    articles for each; a task keeps the k best of its batches, so no pair of query and article is shuffled."""
+    spark = articles.sparkSession
+    index = stash(forward_index(articles, title_weight), "forward")
+    asked = _asked(queries).withColumn("token", F.xxhash64("token"))
+    df = index.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    n, mean = index.agg(F.count("*"), F.avg("dl")).first()
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = asked.join(df, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("qtf") * idf).alias("w"))).alias("weights"))
+    rows = index if allowed is None else index.join(allowed, "article_id", "left_semi")
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, article_id {articles.schema['article_id'].dataType.simpleString()}, score double"
+
+    def run(block):
+        vocabulary = np.unique([w["token"] for q in block for w in q["weights"]])
+        matrix = np.zeros((len(vocabulary), len(block)))
+        for j, q in enumerate(block):
+            matrix[np.searchsorted(vocabulary, [w["token"] for w in q["weights"]]), j] = [w["w"] for w in q["weights"]]
+        sent = spark.sparkContext.broadcast(([q["query_id"] for q in block], vocabulary, matrix, mean or 1.0))  # QUERY_BLOCK queries
+
+        def score(batches):
+            names, known, matrix, mean = sent.value
+            for batch in batches:
+                scores = np.zeros((batch.num_rows, len(names)))
+                for i, (dl, tokens, tfs) in enumerate(zip(batch.column("dl").to_pylist(), batch.column("tokens"), batch.column("tfs"), strict=True)):
+                    tokens, tf = tokens.values.to_numpy(), tfs.values.to_numpy().astype(np.float64)
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    hit = known[at] == tokens
+                    if hit.any():
+                        scores[i] = (tf[hit] * (K1 + 1) / (tf[hit] + K1 * (1 - B + B * dl / mean))) @ matrix[at[hit]]
+                yield _ranked_batch(names, scores, batch, k, 0.0)
+
+        return rows.select("article_id", "dl", "tokens", "tfs").mapInArrow(score, kind)
+
+    return top(_each_block(_blocks(weights), run, kind, spark), k)
 
 
 def bm25_indexed(queries: DataFrame, posted: DataFrame, sizes: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
@@ -93,12 +182,35 @@ def unit(v: Column) -> Column:
 
 
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
-    """queries(query_id, vector), vectors(article_id, embedding): a stated set of queries against all vectors; a zero
-    query vector finds nothing. Queries are sent in blocks by the caller; here they are one."""
-    rows = vectors if allowed is None else vectors.join(allowed, "article_id", "left_semi")
-    asked = queries.select("query_id", unit(F.col("vector")).alias("q")).filter(dot(F.col("q"), F.col("q")) > 0)
-    scored = rows.select("article_id", unit(F.col("embedding")).alias("v")).crossJoin(asked)
-    return top(scored.select("query_id", "article_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score")), k)
+    """queries(query_id, vector), vectors(article_id, embedding): each query against all vectors, as matrix products of
+    blocks of QUERY_BLOCK queries, one pass over the vectors for each; a task keeps the k best of its batches. A zero or
+    missing query vector finds nothing, a zero vector scores 0; vectors of another length than the queries' are an error."""
+    spark = vectors.sparkSession
+    rows = vectors.filter("embedding is not null")
+    rows = rows if allowed is None else rows.join(allowed, "article_id", "left_semi")
+    asked = queries.select("query_id", "vector").filter("vector is not null")
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, article_id {vectors.schema['article_id'].dataType.simpleString()}, score double"
+
+    def run(block):
+        matrix = np.array([q["vector"] for q in block], np.float64)
+        sizes = np.linalg.norm(matrix, axis=1)
+        names = [q["query_id"] for q, size in zip(block, sizes, strict=True) if size]
+        sent = spark.sparkContext.broadcast((names, (matrix[sizes > 0] / sizes[sizes > 0, None]).T))  # QUERY_BLOCK queries
+
+        def score(batches):
+            names, asked = sent.value
+            for batch in batches:
+                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(flat) != batch.num_rows * len(asked):
+                    raise ValueError(f"vectors are not all of {len(asked)} dimensions, as the queries are")
+                v = flat.reshape(batch.num_rows, -1)
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                if names and batch.num_rows:
+                    yield _ranked_batch(names, (v / np.where(size > 0, size, 1.0)) @ asked, batch, k, -np.inf)
+
+        return rows.select("article_id", "embedding").mapInArrow(score, kind)
+
+    return top(_each_block(_blocks(asked), run, kind, spark), k)
 
 
 def rrf(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -163,28 +275,23 @@ def _plain(text: str) -> str:
 
 
 def make_snippet(body: str | None, words: set[str], most: int = SNIPPET) -> str:
-    """The stretch of the body that holds most matches, matches in <b>, dots where it is cut."""
+    """The part of the body with most matches in a row, in the middle of `most` characters; matches in <b>, dots where
+    it is cut. Without a match, the head."""
     body = unicodedata.normalize("NFC", body or "")
-    found = [m.span() for m in re.finditer(r"\w+", body) if _plain(m.group()) in words]
-    if not found:
-        return body[:most] + ("..." if len(body) > most else "")
-    best, last = (0, 0), 0
-    for i, (start, _) in enumerate(found):
-        last = max(last, i)
-        while last + 1 < len(found) and found[last + 1][1] <= start + most:
-            last += 1
-        if last - i > best[1] - best[0]:
-            best = (i, last)
-    a, b = found[best[0]][0], found[best[1]][1]
-    a = max(0, a - max(0, most - (b - a)) // 2)
-    b = min(len(body), a + most)
-    a = max(0, b - most)
-    out, at = [], a
-    for s, e in found:
-        if s >= a and e <= b:
-            out += [body[at:s], "<b>", body[s:e], "</b>"]
-            at = e
-    return ("..." if a else "") + "".join(out) + body[at:b] + ("..." if b < len(body) else "")
+    spans = np.array([m.span() for m in re.finditer(r"\w+", body) if _plain(m.group()) in words], np.int64).reshape(-1, 2)
+    if not len(spans):
+        return body[:most] + "..." * (len(body) > most)
+    begins, ends = spans.T
+    # Ends grow, so those that fit behind a match are a run.
+    fitting = np.maximum(1, np.searchsorted(ends, begins + most, "right") - np.arange(len(spans)))
+    best = int(np.argmax(fitting))
+    wide = int(ends[best + fitting[best] - 1] - begins[best])
+    low = max(0, int(begins[best]) - max(0, most - wide) // 2)
+    high = min(len(body), low + most)
+    low = max(0, high - most)
+    edges = [low, *spans[(begins >= low) & (ends <= high)].ravel().tolist(), high]
+    pieces = (f"<b>{body[a:b]}</b>" if k % 2 else body[a:b] for k, (a, b) in enumerate(itertools.pairwise(edges)))
+    return "..." * (low > 0) + "".join(pieces) + "..." * (high < len(body))
 
 
 @F.pandas_udf(StringType())
@@ -196,7 +303,7 @@ def search(
     queries: DataFrame, articles: DataFrame, vectors: DataFrame, clusters: DataFrame, now: Column, mode: str = "hybrid", k: int = 10, allowed: DataFrame | None = None, diversify: bool = True,
     index: tuple[DataFrame, DataFrame] | None = None, rerank=None,
 ) -> DataFrame:
-    """queries(query_id, text, vector) -> the five fields of each result with its rank: retrieval, fusion, decay (faster
+    """queries(query_id, text, vector, and maybe expanded: the words to look for) -> the five fields of each result with its rank: retrieval, fusion, decay (faster
     where fresh news is asked for), the first RERANK_TOP re-ranked by place, one of each cluster, MMR, snippet.
 
     A query without a token finds nothing, in any mode. index gives stored postings and lengths in place of the texts;
@@ -206,7 +313,8 @@ def search(
     queries = queries.filter(F.size(tokens(F.col("text"))) > 0)
     branches = []
     if mode != "semantic":
-        branches.append(bm25_indexed(queries, *index, CANDIDATES, allowed) if index else bm25(queries, articles, CANDIDATES, allowed))
+        words = queries.select("query_id", F.col("expanded").alias("text")) if "expanded" in queries.columns else queries
+        branches.append(bm25_indexed(words, *index, CANDIDATES, allowed) if index else bm25(words, articles, CANDIDATES, allowed))
     if mode != "lexical":
         branches.append(cosine(queries, vectors, CANDIDATES, allowed))
     fused = rrf(*branches) if mode == "hybrid" else branches[0]

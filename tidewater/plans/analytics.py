@@ -12,7 +12,7 @@ from tidewater.operators import entities as E
 from tidewater.operators import logs as L
 from tidewater.operators import similarity as S
 from tidewater.operators import understanding as U
-from tidewater.operators.ingest import prometheus
+from tidewater.operators.ingest import normalize_articles, prometheus
 from tidewater.operators.retrieval import bm25, postings
 from tidewater.plans.retrieval import CORPUS, RANK, TOKENS, index_sql, questions
 from tidewater.sources.tables import by_ids, corpus, spread, table
@@ -37,20 +37,40 @@ def _(spark, d):
     return by_ids(corpus(spark, d), table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("article_id"))).select("article_id", "url")
 
 
-@query("article_normalize", f"WITH {CORPUS} SELECT article_id, nullif(trim(title), '') AS title, length(body) AS n_body, upper(category) AS category, coalesce(CASE WHEN quality = 0 THEN 'unpublished' END, 'published') AS status, strftime(published_at, '%Y-%m-%dT%H:%M:%S+07:00') AS published_at_iso FROM corpus LEFT JOIN labels ON doc_id = article_id")
-def _(spark, d):
-    rows = corpus(spark, d).join(table(spark, d, "labels").withColumnRenamed("doc_id", "article_id"), "article_id", "left")
-    return rows.select("article_id", T.strip_or_null(F.col("title")).alias("title"), F.length("body").cast("long").alias("n_body"), F.upper("category").alias("category"), F.when(F.col("quality") == 0, "unpublished").otherwise("published").alias("status"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+07:00'").alias("published_at_iso"))
+_DATES = ["2026-07-07T12:00:00+07:00", "2026-07-07T12:00:00", "2026-07-07T05:00:00Z", "2026-07-07", "2026-07-07 12:00:00", "\t2026-07-07\n", "2026-13-07", "yesterday"]
 
 
-_DATES = ["2026-07-07T12:00:00+07:00", "2026-07-07T12:00:00", "2026-07-07T05:00:00Z", "2026-07-07", "yesterday"]
+_RAW_DATES = "(SELECT unnest([" + ", ".join(f"'{x}'" for x in _DATES) + "]) AS raw)"
+_PARSED = r"""SELECT raw, CASE WHEN regexp_matches(t, '(Z|[+-]\d\d:?\d\d)$') AND contains(t, ':') THEN try_cast(regexp_replace(t, '(Z|[+-]\d\d:?\d\d)$', '') AS TIMESTAMP) - CASE WHEN t LIKE '%Z' THEN INTERVAL 0 HOUR ELSE to_hours(regexp_extract(t, '([+-]\d\d):?\d\d$', 1)::INT) END ELSE try_cast(t AS TIMESTAMP) - INTERVAL 7 HOUR END AS utc FROM (SELECT raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM """
 
 
-@query("published_at_parse", "SELECT * FROM (VALUES ('2026-07-07T12:00:00+07:00', TIMESTAMP '2026-07-07 05:00:00'), ('2026-07-07T12:00:00', TIMESTAMP '2026-07-07 05:00:00'), ('2026-07-07T05:00:00Z', TIMESTAMP '2026-07-07 05:00:00'), ('2026-07-07', TIMESTAMP '2026-07-06 17:00:00'), ('yesterday', NULL)) AS v(raw, utc)")
+@query("published_at_parse", _PARSED + _RAW_DATES + ")")
 def _(spark, d):
     rows = spark.createDataFrame([(x,) for x in _DATES], "raw string")
-    day = F.when(F.length("raw") == 10, F.concat("raw", F.lit("T00:00:00"))).otherwise(F.col("raw"))
-    return rows.select("raw", F.to_utc_timestamp(T.parse_published_at(day), F.current_timezone()).cast("timestamp_ntz").alias("utc"))
+    return rows.select("raw", F.to_utc_timestamp(T.parse_published_at(F.col("raw")), F.current_timezone()).cast("timestamp_ntz").alias("utc"))
+
+
+# Raw articles with markup, blanks, dates with and without offsets, and rows that lack something.
+_RAW = f"""raw AS (SELECT article_id::VARCHAR AS article_id, CASE WHEN article_id % 7 = 0 THEN '' ELSE '  ' || substr(title, 1, 40) || chr(9) END AS title, '<p>' || replace(substr(body, 1, 200), '<', ' ') || ' &amp; more</p>' AS body, url,
+ CASE article_id % 5 WHEN 0 THEN strftime(published_at, '%Y-%m-%d') WHEN 1 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN 'soon' ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S+07:00') END AS published_at, category, CASE WHEN article_id % 2 = 0 THEN chr(9) || ' ' ELSE source END AS source, CASE WHEN article_id % 3 = 0 THEN ' ' ELSE 'draft' END AS status FROM corpus)"""
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def _raw(spark, d):
+    at, kept = F.col("published_at"), F.col("article_id")
+    stamp = lambda pattern: F.date_format(at, pattern)
+    date = F.when(kept % 5 == 0, stamp("yyyy-MM-dd")).when(kept % 5 == 1, stamp("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kept % 5 == 2, "soon").otherwise(stamp("yyyy-MM-dd'T'HH:mm:ss'+07:00'"))
+    return corpus(spark, d).select(
+        kept.cast("string").alias("article_id"), F.when(kept % 7 == 0, "").otherwise(F.concat(F.lit("  "), F.substring("title", 1, 40), F.lit("\t"))).alias("title"),
+        F.concat(F.lit("<p>"), F.replace(F.substring("body", 1, 200), F.lit("<"), F.lit(" ")), F.lit(" &amp; more</p>")).alias("body"), "url", date.alias("published_at"), F.lit(None).cast("string").alias("author"), "category",
+        F.when(kept % 2 == 0, "\t ").otherwise(F.col("source")).alias("source"), F.when(kept % 3 == 0, " ").otherwise("draft").alias("status"), F.array(F.lit(" a "), F.lit("\t")).alias("tags"),
+    )
+
+
+@query("article_normalize", f"WITH {CORPUS}, {_RAW} SELECT article_id, {_TRIM.format('title')} AS title, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(substr(body, 4, length(body) - 7), '&amp;', '&'), '[\\n\\r]+'), lambda l: trim(regexp_replace(l, '[\\s\\p{{Z}}\\x1C-\\x1F]+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS body, nullif({_TRIM.format('source')}, '') AS source, coalesce(nullif(trim(status), ''), 'published') AS status, 'a' AS tags, published_at AS published_at_iso, utc FROM raw JOIN ({_PARSED.replace('SELECT raw,', 'SELECT raw AS p_raw,', 1)} (SELECT DISTINCT published_at AS raw FROM raw))) ON raw.published_at = p_raw WHERE title <> '' AND utc IS NOT NULL")
+def _(spark, d):
+    good, _ = normalize_articles(_raw(spark, d))
+    return good.select("article_id", "title", "body", "source", "status", F.array_join("tags", ",").alias("tags"), "published_at_iso", F.to_utc_timestamp("published_at", F.current_timezone()).cast("timestamp_ntz").alias("utc"))
 
 
 @query("cms_top1_lateral", "SELECT o_orderkey, p_brand FROM (SELECT o_orderkey, p_brand, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_returnflag DESC NULLS LAST, l_linenumber, l_partkey) AS nth FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey) WHERE nth = 1")
@@ -85,6 +105,15 @@ def _(spark, d):
     return postings(corpus(spark, d)).groupBy("token").agg(F.sum("tf").alias("freq"))
 
 
+_APART = ["Th\u0061\u0301p Mu\u031b\u0300i", "\u0065\u0302\u0323 \u1ec7", "plain words", "\u0110\u006f\u0302\u0300ng Th\u00e1p", "\u0061\u0308\u0062"]
+
+
+@query("text_decomposed", "SELECT raw, nfc_normalize(lower(raw)) AS normalized, replace(strip_accents(nfc_normalize(lower(raw))), 'đ', 'd') AS folded, array_to_string(regexp_extract_all(nfc_normalize(lower(raw)), '[\\p{L}\\p{N}_]+'), '|') AS tokens FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in _APART) + "]) AS raw)")
+def _(spark, d):
+    x = F.col("raw")
+    return spark.createDataFrame([(x,) for x in _APART], "raw string").select("raw", T.normalize(x).alias("normalized"), T.fold(F.lower(x)).alias("folded"), F.array_join(T.tokens(x), "|").alias("tokens"))
+
+
 _SHINGLES = f"""t AS (SELECT doc_id, {TOKENS.format("text")} AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t)"""
 
@@ -95,6 +124,17 @@ def _(spark, d):
     return rows.select("doc_id", F.size("g").alias("n"), F.array_min("g").alias("first"), F.array_max("g").alias("last"))
 
 
+_JACCARD = f"""WITH {_SHINGLES}, c AS (SELECT min(doc_id) AS id, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+e AS (SELECT id, len(g) AS n, unnest(g) AS h FROM c), f AS (SELECT h FROM e GROUP BY h HAVING count(*) BETWEEN 2 AND 100000),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM e AS a JOIN e AS b ON a.h = b.h AND a.id < b.id JOIN f ON f.h = a.h GROUP BY ALL)
+SELECT id_a, id_b, round(shared / (n_a + n_b - shared), 6) AS jaccard FROM p WHERE shared >= 0.7 * (n_a + n_b - shared)"""
+
+
+@query("exact_jaccard_pairs", _JACCARD)
+def _(spark, d):
+    return S.jaccard_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text"))
+
+
 @query("minhash_signature")
 def _(spark, d):
     return S.signatures(corpus(spark, d)).select("article_id", F.md5("signature").alias("signature_md5"))
@@ -131,7 +171,9 @@ def _(spark, d):
 
 @query("kg_articles_for_entity")
 def _(spark, d):
-    return E.articles_for(_graph(spark, d), "The Thion")
+    graph = stash(_graph(spark, d), "entities")
+    name = E.top_entities(graph, 1).first()
+    return E.articles_for(graph, name["name"] if name else "")
 
 
 _ASKS = [("a", "tin mới về môi trường"), ("b", "ô nhiễm môi trường"), ("c", "Giá vàng hôm nay"), ("d", "usd và covid"), ("e", "@@@ !!!"), ("f", "bản đồ"), ("g", "breaking news")]
@@ -160,7 +202,15 @@ def _(spark, d):
 _MISSPELT = ["teh", "anf", "thhe", "keitt", "quee", "the", "zzzzzzzz"]
 
 
-@query("spell_correct")
+# Distance: Levenshtein, or one adjacent swap and what is left; two at most.
+_SPELL = index_sql() + """, vocabulary AS (SELECT token, sum(tf) AS freq FROM post GROUP BY token), w AS (SELECT unnest({0}) AS word),
+swaps AS (SELECT word, list_transform(range(1, length(word)), lambda i: substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT, 1) || substr(word, i::INT, 1) || substr(word, (i + 2)::INT)) AS s FROM w WHERE word NOT IN (SELECT token FROM vocabulary)),
+near AS (SELECT word, token, freq, least(levenshtein(word, token), coalesce(list_min(list_transform(s, lambda x: levenshtein(x, token) + 1)), 9)) AS d FROM swaps, vocabulary WHERE abs(length(word) - length(token)) <= 2),
+best AS (SELECT word, token FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, token) AS o FROM near WHERE d <= 2) WHERE o = 1)
+SELECT w.word, coalesce(token, w.word) AS corrected FROM w LEFT JOIN best ON best.word = w.word""".replace("{0}", str(_MISSPELT))
+
+
+@query("spell_correct", _SPELL)
 def _(spark, d):
     words = spark.createDataFrame([(w,) for w in _MISSPELT], "word string")
     vocabulary = postings(corpus(spark, d)).groupBy("token").agg(F.sum("tf").alias("freq"))
@@ -215,16 +265,34 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.variant(F.col("text")).alias("variant"))
 
 
-_EVAL = index_sql() + f""", ranked AS (SELECT query_id, article_id, {RANK} AS rank FROM scores), wanted AS (SELECT query_id, doc_id AS article_id FROM asked, labels WHERE quality = 1),
-hits AS (SELECT w.query_id, w.article_id, rank FROM wanted w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r USING (query_id, article_id))
-SELECT query_id, round(count(rank) / count(*), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM hits GROUP BY query_id"""
+# Wanted: the good documents in the language and of the source of the one that asks.
+_EVAL = index_sql() + f""", ranked AS (SELECT query_id, article_id, {RANK} AS rank FROM scores),
+wanted AS (SELECT query_id, w.article_id FROM asked JOIN corpus AS q ON 'q' || q.article_id = query_id JOIN corpus AS w ON w.category = q.category AND w.source = q.source JOIN labels ON doc_id = w.article_id AND quality = 1),
+hits AS (SELECT w.query_id, w.article_id, rank FROM wanted w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r USING (query_id, article_id)),
+measures AS (SELECT query_id, round(count(rank) / count(*), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM hits GROUP BY query_id)"""
+
+
+def _measures(spark, d):
+    c = corpus(spark, d)
+    asked = c.filter("article_id % 20 = 0").select(F.concat(F.lit("q"), "article_id").alias("query_id"), "category", "source")
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("article_id"))
+    wanted = asked.join(c.select("article_id", "category", "source").join(good, "article_id"), ["category", "source"]).select("query_id", "article_id")
+    return L.relevance(bm25(questions(spark, d), c, 10), wanted)
+
+
+@query("eval_relevance", _EVAL + " SELECT * FROM measures")
+def _(spark, d):
+    return _measures(spark, d)
+
+
+@query("eval_means", _EVAL + " SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM measures")
+def _(spark, d):
+    return L.mean_relevance(_measures(spark, d))
 
 
-@query("eval_relevance", _EVAL)
+@query("latency_percentiles", "SELECT event_type, count(*) AS n, list_sort(list(value))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50, list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*))::BIGINT) + 1] AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def _(spark, d):
-    asked = questions(spark, d)
-    wanted = asked.select("query_id").crossJoin(table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("article_id")))  # a stated set of queries
-    return L.relevance(bm25(asked, corpus(spark, d), 10), wanted)
+    return L.latency_percentiles(table(spark, d, "events").select("event_type", "value"), "event_type", "value")
 
 
 @query("tombstone_anti", f"WITH {CORPUS} SELECT article_id FROM corpus WHERE article_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -257,7 +325,7 @@ def _(spark, d):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _log(spark, d).filter("kind is not null").select(F.col("ts").cast("timestamp").alias("ts"), "kind").write.parquet(f"{folder}/in")
     log = streams.stream_table(spark, f"{folder}/in", "ts timestamp, kind string")
-    counted = streams.run_once(streams.daily_counts(log), f"ctr_{uuid.uuid4().hex}", f"{folder}/checkpoint")
+    counted = streams.run_once(streams.daily_counts(log), f"{folder}/out", f"{folder}/checkpoint")
     return counted.select(F.col("day").cast("timestamp_ntz"), "searches", "clicks")
 
 
@@ -267,4 +335,4 @@ def _(spark, d):
     status = F.when(F.col("event_type") == "error", "draft").otherwise("published")
     table(spark, d, "events").select(F.col("user_id").alias("article_id"), F.col("event_id").alias("arrival"), status.alias("status")).write.parquet(f"{folder}/in")
     streams.upserts(streams.stream_table(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(schema).parquet(f"{folder}/out/0").select("article_id", "arrival")
+    return streams.upserted(spark, f"{folder}/out", schema).select("article_id", "arrival")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,34 @@ EMBEDDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"hash": similarity.emb
 RERANKERS: dict[str, Callable] = {"none": lambda ranked, queries, articles: retrieval.rerank_by_place(ranked)}
 #: (spark, ...) -> raw articles
 SOURCES: dict[str, Callable] = {"json": tables.json_articles, "jdbc": tables.jdbc_articles}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What an engine is made with."""
+
+    folder: str = "index"
+    embedder: str = "hash"
+    reranker: str = "none"
+    events: str = "json"
+    understanding: bool = False
+    synonyms: str = ""
+    cache_seconds: float = 60
+    cache_size: int = 1000
+    cache_fresh: bool = False
+
+    @classmethod
+    def read(cls, values: Mapping[str, str], prefix: str = "TIDEWATER_") -> Settings:
+        """From texts such as the environment's; names are upper-case behind the prefix, others are left alone. A value that
+        is not of its field's type is an error."""
+        found = {}
+        for field in fields(cls):
+            if (value := values.get(prefix + field.name.upper())) is not None:
+                kind = type(field.default)
+                if kind is bool and value.lower() not in ("0", "1", "false", "true"):
+                    raise ValueError(f"{field.name}: {value!r} is neither true nor false")
+                found[field.name] = value.lower() in ("1", "true") if kind is bool else kind(value)
+        return cls(**found)
 _EVENTS = "kind string, search_id string, query string, mode string, top_k int, result_ids array<string>, num_results int, zero_result boolean, variant string, position int, article_id string, dwell_ms int, latency double, failed boolean, ts string"
 
 
@@ -43,7 +71,7 @@ class Filters:
     until: str | None = None
 
     def condition(self) -> Column | None:
-        plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+        plain = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))
         parts = [plain(F.col(c)) == plain(F.lit(v)) for c in ("author", "category", "source") if (v := getattr(self, c))]
         parts += [F.col("published_at") >= T.parse_published_at(F.lit(self.since))] if self.since else []
         parts += [F.col("published_at") <= T.parse_published_at(F.lit(self.until))] if self.until else []
@@ -54,12 +82,40 @@ class SearchEngine:
     """Folder holds the generations of the index and the log of events. search() answers a whole frame of queries in one
     lazy plan; ask() answers one text through the cache and logs it."""
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: str = "hash", reranker: str = "none", cache: ResultCache | None = None):
+    def __init__(self, spark: SparkSession, folder: str, embedder: str = "hash", reranker: str = "none", cache: ResultCache | None = None, events: str = "json", understanding: bool = False, synonyms: dict | None = None, cache_fresh: bool = False):
         self.spark, self.folder, self.cache = spark, folder.rstrip("/"), cache or ResultCache()
-        self.embedder, self.reranker, self.log = chosen(EMBEDDERS, embedder), chosen(RERANKERS, reranker), f"{self.folder}/events"
-
-    def index(self, raw: DataFrame, arrival: str | None = None) -> int:
-        return index.build(raw, self.folder, arrival, embedder=self.embedder)
+        self.embedder, self.reranker, self.path = chosen(EMBEDDERS, embedder), chosen(RERANKERS, reranker), f"{self.folder}/events"
+        self.log = chosen(ingest.EVENT_LOGS, events)(spark, self.path, _EVENTS)
+        self.understanding, self.synonyms, self.cache_fresh = understanding, synonyms, cache_fresh
+
+    @classmethod
+    def of(cls, spark: SparkSession, settings: Settings) -> SearchEngine:
+        synonyms = understanding.read_synonyms(settings.synonyms) if settings.synonyms else None
+        return cls(spark, settings.folder, settings.embedder, settings.reranker, ResultCache(settings.cache_seconds, settings.cache_size), settings.events, settings.understanding, synonyms, settings.cache_fresh)
+
+    def index(self, raw: DataFrame, arrival: str | None = None, strict: bool = False) -> int:
+        return index.build(raw, self.folder, arrival, embedder=self.embedder, strict=strict)
+
+    def sync(self, changed: DataFrame, deleted: DataFrame) -> int:
+        """A generation with what changed (raw articles) and without deleted(article_id)."""
+        return index.build(changed, self.folder, deleted=deleted, embedder=self.embedder)
+
+    def job(self, raw: DataFrame, limit: int | None = None, shown: int = 5) -> dict:
+        """Index raw articles, the first `limit` if that is given: generation, articles, rejected, a few rejected rows and
+        articles a second."""
+        began = time.perf_counter()
+        number = self.index(raw if limit is None else raw.limit(limit))
+        articles, rejected = self.table("articles").count(), self.table("rejected")
+        return {"generation": number, "articles": articles, "rejected": rejected.count(), "shown": [r.asDict() for r in rejected.limit(shown).collect()], "per_second": articles / (time.perf_counter() - began)}
+
+    def snapshot(self, path: str) -> None:
+        """The articles of the current generation as JSON lines."""
+        written = self.table("articles")
+        written.withColumn("published_at", F.col("published_at_iso")).select(*(c.split()[0] for c in tables.ARTICLE.split(", "))).write.mode("overwrite").json(path)
+
+    def restore(self, path: str) -> int:
+        """A generation of the articles of a snapshot alone."""
+        return self.reindex(self.spark.read.schema(tables.ARTICLE).json(path))
 
     def remove(self, ids: DataFrame) -> int:
         """A generation without the articles of ids(article_id), known or not."""
@@ -79,8 +135,11 @@ class SearchEngine:
         vectors = self.embedder(asked).select(F.col("article_id").alias("query_id"), F.col("embedding").alias("vector"))
         allowed = None if condition is None else articles.filter(condition).select("article_id")
         stored = (self.table("postings"), self.table("lengths"))
+        asked = queries.select("query_id", "text").join(vectors, "query_id")
+        if self.understanding:
+            asked = asked.join(self.understand(queries), "query_id", "left").withColumn("expanded", F.coalesce("expanded", "text"))
         found = retrieval.search(
-            queries.select("query_id", "text").join(vectors, "query_id"), articles, self.table("vectors"), self.table("clusters"), F.current_timestamp() if now is None else now,
+            asked, articles, self.table("vectors"), self.table("clusters"), F.current_timestamp() if now is None else now,
             mode, k, allowed, index=stored, rerank=self.reranker,
         )
         written = articles.select("article_id", "published_at_iso")
@@ -92,25 +151,26 @@ class SearchEngine:
             raise ValueError("a text and 1 to 100 results are needed")
         began, key = time.perf_counter(), (mode, k, text, filters)
         generation = index.current(self.spark, self.folder)
-        found = self.cache.get(generation, *key)
+        asked = self.spark.createDataFrame([("q", text)], "query_id string, text string")
+        fresh, variant = asked.select(T.fresh_intent(F.col("text")), T.variant(F.col("text"))).first()
+        kept = self.cache_fresh or not fresh  # news that are asked for fresh are not answered from the cache
+        found = self.cache.get(generation, *key) if kept else None
         if found is None:
-            rows = self.search(self.spark.createDataFrame([("q", text)], "query_id string, text string"), mode, k, filters, now).orderBy("rank").collect()
+            rows = self.search(asked, mode, k, filters, now).orderBy("rank").collect()
             found = [{c: r[c] for c in ("article_id", "title", "url", "published_at", "snippet")} for r in rows]
-            self.cache.set(found, generation, *key)
+            if kept:
+                self.cache.set(found, generation, *key)
         search_id, ids = uuid.uuid4().hex, [r["article_id"] for r in found]
         took = 1000 * (time.perf_counter() - began)
-        self._record(kind="search", search_id=search_id, query=text, mode=mode, top_k=k, result_ids=ids, num_results=len(ids), zero_result=not ids, latency=took, failed=False)
+        self.log.add(kind="search", search_id=search_id, query=text, mode=mode, top_k=k, result_ids=ids, num_results=len(ids), zero_result=not ids, variant=variant, latency=took, failed=False)
         return search_id, found
 
     def click(self, search_id: str, article_id: str, position: int, dwell_ms: int | None = None) -> None:
-        self._record(kind="click", search_id=search_id, article_id=article_id, position=int(position), dwell_ms=None if dwell_ms is None else int(dwell_ms))
-
-    def _record(self, **event) -> None:
-        columns = [c.split()[0] for c in _EVENTS.split(", ")]
-        ingest.log_events(self.spark.createDataFrame([tuple(event.get(c) for c in columns)], _EVENTS), self.log)
+        self.log.add(kind="click", search_id=search_id, article_id=article_id, position=int(position), dwell_ms=None if dwell_ms is None else int(dwell_ms))
 
     def events(self) -> DataFrame:
-        return tables.json_lines(self.spark, self.log, _EVENTS)
+        self.log.flush()
+        return tables.json_lines(self.spark, self.path, _EVENTS)
 
     def feedback(self) -> DataFrame:
         return logs.feedback(self.events())
@@ -122,6 +182,9 @@ class SearchEngine:
         return logs.alerts(self.metrics())
 
     def entities_of(self, article_id: str) -> DataFrame:
+        """Entities in order of appearance; an article that is not there is an error."""
+        if not self.table("articles").filter(F.col("article_id") == article_id).limit(1).count():
+            raise KeyError(article_id)
         return self.table("entities").filter(F.col("article_id") == article_id).orderBy("pos").select("name", "type")
 
     def top_entities(self, n: int = 20) -> DataFrame:
@@ -133,7 +196,7 @@ class SearchEngine:
         words = queries.select("query_id", F.posexplode(T.folded_tokens(F.col("text"))).alias("pos", "word"))
         right = words.join(understanding.correct(words.select("word"), vocabulary), "word")
         texts = right.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda x: x["corrected"]), " ").alias("text"))
-        return understanding.expand(texts)
+        return understanding.expand(texts, self.synonyms)
 
     def stats(self) -> dict[str, int | None]:
         return {"generation": index.current(self.spark, self.folder), "articles": self.table("articles").count(), "entities": self.table("entities").select("name_folded", "type").distinct().count()}

@@ -65,7 +65,7 @@ def multiset(df, *columns):
     return collections.Counter(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_repeats_are_removed_exactly(docs, none, rows):
+def test_repeats_are_removed_exactly(docs, none, rows, monkeypatch):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     starts = collections.Counter(d[k : k + 200] for _, d in data for k in range(len(d) - 199))
     want = collections.Counter()
@@ -77,6 +77,10 @@ def test_repeats_are_removed_exactly(docs, none, rows):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         want[i, len(d), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()] += 1
     assert multiset(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    # Every rank hot, and buckets of a few bytes.
+    monkeypatch.setattr(suffix_dedup, "HOT", 10**9)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    assert multiset(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 

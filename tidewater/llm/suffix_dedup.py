@@ -14,8 +14,8 @@ A group of any size costs one row for each task or slice, or is spread by its me
 compressed, and only to where their rows are asked for.
 
 Defined results: null text counts as empty; texts under LENGTH bytes keep everything; of strings that occur twice
-all copies go, the first included; repeated rows repeat each other; an empty table gives an empty result; extra
-columns are ignored.
+all copies go, the first included; repeated rows repeat each other, as do rows without an id; a text of any length is
+ranked whole, piece by piece; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ LENGTH, GRAM = 200, 50
 REACH = LENGTH - GRAM
 #: Bytes of text that are ranked at once; those that one slice of level 3 holds; those whose ranks meet in a bucket.
 _PIECE, _SLICE, BUCKET_BYTES = 1 << 21, 1 << 20, 8 << 20
+#: A rank at GRAM bytes is hot if it is more than one in so many of those that repeat (so fewer than HOT are).
+HOT = 20_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -150,19 +152,23 @@ def _read_runs(rids: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.nd
     return owner, np.cumsum(np.frombuffer(zstandard.decompress(at), np.int32), dtype=np.int64).astype(np.uint32)
 
 
-def _fine(buckets: int):
+def _fine(buckets: int, hot):
     """Level 3, sending: the ranks at LENGTH of the positions asked for, packed by bucket; each rank once a slice. The
-    bucket follows from the smallest rank at GRAM within the string, which equal strings and most neighbours share."""
+    bucket follows from the smallest rank at GRAM within the string, which equal strings and most neighbours share; where
+    that is one of the hot ones (a line that is everywhere, say), from the rank at LENGTH itself."""
 
-    def pack(rids, ranks_, least, at, sure):
-        doc = np.repeat(np.arange(len(rids), dtype=np.uint32), [len(x) for x in at])
-        rank, p, sure = np.concatenate(ranks_), np.concatenate(at).astype(np.uint32), np.concatenate(sure)
+    def pack(rids, ranks_, least, places, sure):
+        doc = np.repeat(np.arange(len(rids), dtype=np.uint32), [len(x) for x in places])
+        rank, p, sure = np.concatenate(ranks_), np.concatenate(places).astype(np.uint32), np.concatenate(sure)
         distinct, head, which, times = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
         any_sure = np.zeros(len(distinct), bool)
         np.logical_or.at(any_sure, which, sure)
         repeats = (times > 1) | any_sure
         done = np.flatnonzero(repeats[which] & ~sure)
-        bucket = (((np.concatenate(least)[head] * _A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        near, spread = np.concatenate(least)[head], hot.value
+        at = np.minimum(np.searchsorted(spread, near), max(0, len(spread) - 1))
+        near = np.where(spread[at] == near, distinct, near) if len(spread) else near
+        bucket = (((near * _A) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         owner, place = doc[head], p[head]
         order = np.lexsort((place, owner, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -247,24 +253,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long_ = rows.filter(F.octet_length("text") >= LENGTH).select("rid", "text")
     # Level 1.
     # Written first, so that the join below is of two plain shuffles, which Spark can split where a rank is hot.
-    twice = long_.select("text").mapInArrow(_grams_only, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    twice = long_.select("text").mapInArrow(_grams_only, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     twice = stash(twice, "grams")
-    left = stash(long_.mapInArrow(_anchors, "g long, c long, rid long, at long").join(twice, "g"), "anchors")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot = np.sort(twice.filter(F.col("n") * HOT > total).select("g").toArrow().column("g").to_numpy().view(np.uint64))  # HOT rows at most
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
+    left = stash(long_.mapInArrow(_anchors, "g long, c long, rid long, at long").join(twice.select("g"), "g"), "anchors")
     release(docs.sparkSession, twice)
     # Level 2.
     around = stash(left.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")), "surroundings")
     release(docs.sparkSession)
     whole = left.join(around.filter("n > 1").select("g", "c"), ["g", "c"]).groupBy("rid").agg(F.collect_list("at").alias("around"))
-    mixed = around.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+    mixed = stash(around.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "mixed-surroundings")
     known = F.when(F.col("n") > 1, 1).otherwise(0)
     asked = around.join(mixed, "g").select("one.rid", F.shiftleft("one.at", 1).bitwiseOR(known).alias("at")).groupBy("rid").agg(F.collect_list("at").alias("asked"))
     whole, asked = stash(whole, "repeats-around"), stash(asked, "asked")
-    release(docs.sparkSession, left, around)
+    release(docs.sparkSession, left, around, mixed)
     # Level 3.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets), "bucket long, rids binary, counts binary, ranks binary, at binary, repeats binary, done_rids binary, done_counts binary, done_at binary")
+    sent = long_.mapInArrow(_packed, "rid long, packed binary").join(asked, "rid").mapInArrow(_fine(buckets, hot), "bucket long, rids binary, counts binary, ranks binary, at binary, repeats binary, done_rids binary, done_counts binary, done_at binary")
     fine = sent.groupBy("bucket").applyInArrow(_meet, "rid long, at binary").groupBy("rid").agg(F.collect_list("at").alias("fine"))
     found = stash(whole.join(fine, "rid", "full"), "repeats")
     release(docs.sparkSession, whole, asked)

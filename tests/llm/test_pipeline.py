@@ -47,3 +47,34 @@ def test_shards_hold_the_documents(spark, folder):
     assert set(docs.columns) < set(got.columns)
     assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
     assert len({(r["shard"], r["slot"]) for r in got.collect()}) == docs.count()
+
+
+def test_odd_rows_pass_through_all_stages(spark, tmp_path):
+    """Ids that repeat with other texts or are missing, null columns, columns named like those that the stages make."""
+    text = lambda k: " ".join(f"word{(k * 37 + j * j) % 211} and the" for j in range(60))
+    rows = [(k, text(k), "en", f"src{k % 3}", 5) for k in range(20)] + [(3, text(103), "en", None, None), (None, text(104), "en", "src1", 7), (None, text(105), None, "src1", 7), (3, text(3), "en", "src1", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as h1", "2 as copies", "3 as key", "4 as mask", "5 as nth", "6 as h")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    for name, docs in (("odd", frame), ("none", frame.limit(0))):
+        path = str(tmp_path / name)
+        docs.write.parquet(f"{path}/documents.parquet")
+        bench.write.parquet(f"{path}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, path)
+        assert set(frame.columns) < set(got.columns)
+        found = {(r["doc_id"], r["text"]) for r in got.collect()}
+        assert found <= {(r[0], r[1]) for r in rows} and (name == "none") == (not found)
+    # Near duplicates and the mix lose no row that is a text of its own.
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, frame, path).collect()}
+    assert kept == {(r[0], r[1]) for r in rows}
+
+
+def test_sources_keep_their_targets(spark, folder):
+    from tidewater.llm import mixing
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text is not null")
+    size = lambda d: {r["source"]: r["n"] for r in d.selectExpr("source", "size(split(trim(text), ' +')) as n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    before, after = size(docs), size(corpus_pipeline.mix_sources(spark, docs, folder))
+    order = sorted(before)
+    want = mixing.targets([before[s] for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))])
+    longest = docs.selectExpr("max(size(split(trim(text), ' +'))) as n").first()["n"]
+    assert all(abs(after.get(s, 0) - w) <= longest for s, w in zip(order, want, strict=True))

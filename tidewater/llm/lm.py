@@ -38,13 +38,15 @@ from tidewater.llm.patterns import id_remainder, whole_text
 from tidewater.storage import release, stash
 
 DEPTH = 5
-#: Codes that are mixed in one bucket, on average; bytes of a slice; bytes of text whose codes are asked for in one bucket.
-BUCKET_CODES, SLICE_BYTES, ASK_BYTES = 100_000, 4 << 20, 16 << 20
+#: Codes that are mixed in one bucket, on average; bytes of a slice; bytes of text whose codes are asked for in one bucket;
+BUCKET_CODES, SLICE_BYTES, ASK_BYTES = 100_000, 2 << 20, 8 << 20
+#: slices that one task puts together again.
+TASK_SLICES = 4
 #: Different codes or tokens that a task holds before it hands out their counts.
-HELD = 3_000_000
+HELD = 1_500_000
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text whose rarer tokens one bucket counts, on average; a token is frequent if it is more than one in HOT.
-BUCKET_BYTES, HOT = 32 << 20, 50_000
+BUCKET_BYTES, HOT = 16 << 20, 50_000
 _PIECE = 2 << 20
 _END_BYTE, _END_TOKEN = b"\xff", xxhash.xxh64_intdigest(b"\n")
 
@@ -313,8 +315,9 @@ def text_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
     requests = slices.select("slice", "sizes", "data").mapInArrow(ask, "bucket long, slice long, codes binary")
     parts_of_model = model.mapInArrow(bucketed, "bucket long, code long, log_p float")
     answers = parts_of_model.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(_answer, "slice long, bucket long, log_p binary")
-    gathered = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "log_p")).alias("answers"))  # a row for each bucket
-    each = slices.join(gathered, "slice").select("rids", "parts", "sizes", "data", "answers").mapInArrow(total, "rid long, part int, score double")
+    tasks = max(1, -(-slices.count() // TASK_SLICES))
+    gathered = answers.repartition(tasks, "slice").groupBy("slice").agg(F.collect_list(F.struct("bucket", "log_p")).alias("answers"))  # a row for each bucket
+    each = slices.repartition(tasks, "slice").join(gathered, "slice").select("rids", "parts", "sizes", "data", "answers").mapInArrow(total, "rid long, part int, score double")
     # Rows of equal rid have equal texts and so equal parts.
     whole = F.aggregate(F.array_sort(F.collect_set(F.struct("part", "score"))), F.lit(0.0), lambda a, x: a + x["score"])
     out = stash(each.groupBy("rid").agg(whole.alias("score")), "text-scores")

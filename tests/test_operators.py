@@ -2,10 +2,13 @@
 
 import datetime
 import json
+import math
 import shutil
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +189,49 @@ def test_blocks_of_queries_equal_one_block(spark, monkeypatch):
         retrieval.cosine(queries, vectors.withColumn("embedding", F.slice("embedding", 1, 4)), 7).collect()
 
 
+def _bm25(queries, articles, k):
+    """By the formula: {query: [(article, score)]}."""
+    bags = {a: Counter([*title.split() * 3, *body.split()]) for a, title, body in articles}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(t for b in bags.values() for t in b)
+    idf = {t: math.log((len(bags) - n + 0.5) / (n + 0.5) + 1) for t, n in df.items()}
+    found = {}
+    for q, text in queries:
+        of = {a: sum(idf[t] * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in text.split() if t in b) for a, b in bags.items()}
+        found[q] = sorted(((a, round(s, 9)) for a, s in of.items() if s), key=lambda x: (-x[1], x[0]))[:k]
+    return {q: rows for q, rows in found.items() if rows}
+
+
+def test_many_questions_take_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = lambda n, m: " ".join(f"w{x}" for x in rng.zipf(1.3, n) if x < m)
+    articles = [(f"a{k}", some(4, 90), some(40, 90)) for k in range(120)]
+    articles += [(f"b{k}", "w1 w7", "w2 w3 w3 w50") for k in range(20)]  # copies: ties by id
+    queries = [(f"q{k}", some(9, 120)) for k in range(700)]
+    passes, stash = [], retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, label: (passes.append(label), stash(df, label))[1])
+    found = retrieval.bm25(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(articles, "article_id string, title string, body string"), 10).collect()
+    assert passes == ["forward"]
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["article_id"], r["score"]))
+    assert got == _bm25(queries, articles, 10)
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.3, 2.0])
+def test_chunks_of_postings_equal_one(monkeypatch, dense):
+    rng = np.random.default_rng(6)
+    tokens = [np.unique(rng.integers(0, 30, 8)) for _ in range(200)]
+    counted = pa.table({"article_id": list(range(200, 0, -1)), "dl": [len(t) % 3 + 8 for t in tokens], "tokens": pa.array([t.tolist() for t in tokens], pa.list_(pa.int64())), "tfs": pa.array([(t % 3 + 1).tolist() for t in tokens], pa.list_(pa.int32()))})
+    asked = [np.sort(rng.permutation(28)[:6]) for _ in range(70)]
+    what = ([f"q{k}" for k in range(70)], np.arange(71) * 6, np.concatenate(asked), rng.integers(1, 3, 420).astype(float), np.arange(28), rng.random(28) + 0.1, 8.5, 5)
+    one = pa.Table.from_batches(retrieval._best_by_words(iter(counted.to_batches()), *what)).to_pylist()
+    monkeypatch.setattr(retrieval, "CHUNK", 90)
+    monkeypatch.setattr(retrieval, "DENSE", dense)
+    assert one == pa.Table.from_batches(retrieval._best_by_words(iter(counted.to_batches(max_chunksize=7)), *what)).to_pylist()
+    assert len(one) == 350
+
+
 def test_snippets_equal_the_definition():
     rng = np.random.default_rng(3)
     for _ in range(200):

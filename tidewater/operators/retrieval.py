@@ -6,12 +6,11 @@ import functools
 import itertools
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,8 +22,10 @@ K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 CANDIDATES, RRF_K, RERANK_TOP, POOL, LAMBDA = 100, 60, 50, 30, 0.7
 HALF_LIFE, FRESH_HALF_LIFE, FLOOR = 30.0, 2.0, 0.5
 SNIPPET = 200
-#: Queries that are compared in one pass.
-QUERY_BLOCK = 256
+#: Vectors that are compared in one pass; questions, and their tokens, that are.
+QUERY_BLOCK, WORD_QUERIES, WORD_TOKENS = 256, 16384, 1 << 21
+#: Postings that a task holds, questions that it scores at once, part of the articles from which a token is a row of a matrix.
+CHUNK, ABREAST, DENSE = 1 << 22, 32, 0.25
 
 
 def _words(articles: DataFrame) -> DataFrame:
@@ -62,18 +63,26 @@ def forward_index(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> Data
 
     def counted(batches):
         for batch in batches:
-            rows = []
-            for title, body in zip(batch.column("in_title").to_pylist(), batch.column("in_body").to_pylist(), strict=True):
-                tf = Counter(body or ())
-                for t in title or ():
-                    tf[t] += title_weight
-                rows.append(tf)
-            tokens = pa.array([[xxhash.xxh64_intdigest(t, 42) - (1 << 64) * (xxhash.xxh64_intdigest(t, 42) >> 63) for t in tf] for tf in rows], pa.list_(pa.int64()))
-            tfs = pa.array([list(tf.values()) for tf in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array([sum(tf.values()) for tf in rows], pa.int64()), tokens, tfs], names=["article_id", "dl", "tokens", "tfs"])
+            sides = []
+            for name in ("in_title", "in_body"):
+                x = batch.column(name).fill_null(pa.scalar([], batch.column(name).type))
+                sides.append((x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])))
+            (title, t), (body, b) = sides
+            tokens, tfs, ends = [title[:0]], [title[:0]], [0]
+            for k in range(batch.num_rows):
+                once, place = np.unique(np.concatenate([title[t[k] : t[k + 1]], body[b[k] : b[k + 1]]]), return_inverse=True)
+                here = np.bincount(place[: t[k + 1] - t[k]], minlength=len(once))
+                tokens.append(once)
+                tfs.append((title_weight - 1) * here + np.bincount(place, minlength=len(once)))
+                ends.append(ends[-1] + len(once))
+            ends = pa.array(ends, pa.int32())
+            dl = title_weight * np.diff(t) + np.diff(b)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((tokens, np.int64), (tfs, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array(dl, pa.int64()), *lists], names=["article_id", "dl", "tokens", "tfs"])
 
     kind = articles.schema["article_id"].dataType.simpleString()
-    return _words(articles).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t)).alias(c)
+    return _words(articles).select("article_id", hashed("in_title"), hashed("in_body")).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
 
 
 def _blocks(rows: DataFrame) -> Iterator[list]:
@@ -110,42 +119,125 @@ def _ranked_batch(names: list, scores: np.ndarray, batch: pa.RecordBatch, k: int
     return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), batch.column("article_id").take(pa.array(at)), pa.array(scores[at, which])], names=["query_id", "article_id", "score"])
 
 
+def _word_blocks(weights: DataFrame) -> Iterator[list[tuple]]:
+    """Queries as (query_id, tokens, how often, idf) in order of tokens, in blocks of WORD_QUERIES and WORD_TOKENS at most (but one)."""
+    block, held = [], 0
+    for q in weights.toLocalIterator():
+        tokens, qtf, idf = np.array(q["tokens"], np.int64), np.array(q["qtfs"], np.float64), np.array(q["idfs"], np.float64)
+        order = np.argsort(tokens)
+        if block and (len(block) >= WORD_QUERIES or held + len(tokens) > WORD_TOKENS):
+            yield block
+            block, held = [], 0
+        block.append((q["query_id"], tokens[order], qtf[order], idf[order]))
+        held += len(tokens)
+    if block:
+        yield block
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray, mean: float) -> Iterator[tuple]:
+    """Counted articles, some CHUNK postings at a time, as ids and for each known token the articles and what it adds to
+    their scores: those of token t are at bounds[t] to bounds[t + 1]."""
+    value_set = pa.array(known)
+
+    def turned(parts):
+        ids, token, doc, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(token * len(ids) + doc)
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(known)))]), doc[order], gain[order]
+
+    parts, docs, held = [], 0, 0
+    for batch in batches:
+        tokens = batch.column("tokens")
+        doc = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy())
+        place = pc.index_in(tokens.flatten(), value_set=value_set)
+        hit = place.is_valid().to_numpy(zero_copy_only=False)
+        token, doc = place.drop_null().to_numpy().astype(np.int64), doc[hit]
+        tf = batch.column("tfs").flatten().to_numpy()[hit].astype(np.float64)
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[doc] / mean)) * idf[token]
+        parts.append((np.array(batch.column("article_id").to_pylist()), token, doc + docs, gain))
+        docs, held = docs + batch.num_rows, held + len(token)
+        if held >= CHUNK:
+            yield turned(parts)
+            parts, docs, held = [], 0, 0
+    if held:
+        yield turned(parts)
+
+
+def _best_by_words(batches: Iterator[pa.RecordBatch], names: list, starts: np.ndarray, at: np.ndarray, qtf: np.ndarray, known: np.ndarray, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of the articles for each query, ties by id. Tokens of the query q are at[starts[q] : starts[q + 1]]. Those
+    that are in a DENSE part of the articles or more are added as a matrix product, the others posting by posting."""
+    found = [(np.zeros(0), None)] * len(names)
+    for ids, bounds, docs, gains in _inverted(batches, known, idf, mean):
+        n, size = len(ids), np.diff(bounds)
+        often = np.flatnonzero(size >= max(1, DENSE * n))
+        row = np.full(len(known), -1)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), n))
+        for r, t in enumerate(often):
+            dense[r, docs[bounds[t] : bounds[t + 1]]] = gains[bounds[t] : bounds[t + 1]]
+        for low in range(0, len(names), ABREAST):
+            some = range(low, min(low + ABREAST, len(names)))
+            asks = np.zeros((len(some), len(often)))
+            for j, q in enumerate(some):
+                t = at[starts[q] : starts[q + 1]]
+                asks[j, row[t][row[t] >= 0]] = qtf[starts[q] : starts[q + 1]][row[t] >= 0]
+            scores = asks @ dense
+            for total, q in zip(scores, some, strict=True):
+                t, times = at[starts[q] : starts[q + 1]], qtf[starts[q] : starts[q + 1]]
+                rare = (row[t] < 0) & (size[t] > 0)
+                if rare.any():
+                    t, times = t[rare], times[rare]
+                    cuts = list(zip(bounds[t].tolist(), bounds[t + 1].tolist(), strict=True))
+                    add = np.concatenate([gains[a:b] for a, b in cuts])
+                    if (times != 1).any():
+                        add *= np.repeat(times, size[t])
+                    total += np.bincount(np.concatenate([docs[a:b] for a, b in cuts]), add, minlength=n)
+                best, which = found[q]
+                # Scores are rounded only once there are few; the margin is wider than the rounding.
+                rows = np.flatnonzero(total >= best[-1] - 1e-9) if len(best) == k else np.flatnonzero(total)
+                if not len(rows):
+                    continue
+                new, who = total[rows], ids[rows]
+                if len(new) > k:
+                    near = new >= np.partition(new, len(new) - k)[len(new) - k] - 1e-9
+                    new, who = new[near], who[near]
+                new = np.round(new, 9)
+                if len(best):
+                    new, who = np.concatenate([best, new]), np.concatenate([which, who])
+                order = np.lexsort((who, -new))[:k]
+                found[q] = new[order], who[order]
+    for low in range(0, len(names), WORD_QUERIES // 16):
+        part = [(q, *found[q]) for q in range(low, min(low + WORD_QUERIES // 16, len(names))) if len(found[q][0])]
+        if part:
+            score, which = (np.concatenate(x) for x in list(zip(*part, strict=True))[1:])
+            query = pa.array(names).take(pa.array(np.repeat([q for q, _, _ in part], [len(x) for _, x, _ in part])))
+            out = pa.RecordBatch.from_arrays([query, pa.array(which.tolist() if which.dtype == object else which), pa.array(score)], names=["query_id", "article_id", "score"])
+            yield out.filter(pa.array(score > 0))
+
+
 def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None, title_weight: int = TITLE_WEIGHT) -> DataFrame:
     """query_id, article_id, score, rank. Document frequencies and lengths are those of all articles; allowed
-    (article_id) restricts what is scored. Queries are worked off in blocks of QUERY_BLOCK, one pass over the counted
-    articles for each; a task keeps the k best of its batches, so no pair of query and article is shuffled."""
+    (article_id) restricts what is scored. Queries are worked off in blocks of WORD_QUERIES, one pass over the counted
+    articles for each; a task turns its articles into postings, CHUNK of them at a time, adds up those that a query asks
+    for and keeps the k best, so no pair of query and article is shuffled."""
     spark = articles.sparkSession
     index = stash(forward_index(articles, title_weight), "forward")
     asked = _asked(queries).withColumn("token", F.xxhash64("token"))
     df = index.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     n, mean = index.agg(F.count("*"), F.avg("dl")).first()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("qtf") * idf).alias("w"))).alias("weights"))
-    rows = index if allowed is None else index.join(allowed, "article_id", "left_semi")
+    weights = asked.join(df, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", "qtf", idf.alias("idf"))).alias("w"))
+    weights = weights.select("query_id", F.col("w.token").alias("tokens"), F.col("w.qtf").alias("qtfs"), F.col("w.idf").alias("idfs"))
+    rows = index.filter("article_id is not null") if allowed is None else index.join(allowed, "article_id", "left_semi")
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, article_id {articles.schema['article_id'].dataType.simpleString()}, score double"
 
     def run(block):
-        vocabulary = np.unique([w["token"] for q in block for w in q["weights"]])
-        matrix = np.zeros((len(vocabulary), len(block)))
-        for j, q in enumerate(block):
-            matrix[np.searchsorted(vocabulary, [w["token"] for w in q["weights"]]), j] = [w["w"] for w in q["weights"]]
-        sent = spark.sparkContext.broadcast(([q["query_id"] for q in block], vocabulary, matrix, mean or 1.0))  # QUERY_BLOCK queries
+        names, tokens, qtf, idfs = zip(*block, strict=True)
+        known, first, at = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        sent = spark.sparkContext.broadcast((list(names), starts, at, np.concatenate(qtf), known, np.concatenate(idfs)[first], mean or 1.0, k))  # WORD_TOKENS tokens
+        return rows.select("article_id", "dl", "tokens", "tfs").mapInArrow(lambda batches: _best_by_words(batches, *sent.value), kind)
 
-        def score(batches):
-            names, known, matrix, mean = sent.value
-            for batch in batches:
-                scores = np.zeros((batch.num_rows, len(names)))
-                for i, (dl, tokens, tfs) in enumerate(zip(batch.column("dl").to_pylist(), batch.column("tokens"), batch.column("tfs"), strict=True)):
-                    tokens, tf = tokens.values.to_numpy(), tfs.values.to_numpy().astype(np.float64)
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    hit = known[at] == tokens
-                    if hit.any():
-                        scores[i] = (tf[hit] * (K1 + 1) / (tf[hit] + K1 * (1 - B + B * dl / mean))) @ matrix[at[hit]]
-                yield _ranked_batch(names, scores, batch, k, 0.0)
-
-        return rows.select("article_id", "dl", "tokens", "tfs").mapInArrow(score, kind)
-
-    return top(_each_block(_blocks(weights), run, kind, spark), k)
+    return top(_each_block(_word_blocks(weights), run, kind, spark), k)
 
 
 def bm25_indexed(queries: DataFrame, posted: DataFrame, sizes: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:

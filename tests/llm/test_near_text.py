@@ -109,3 +109,31 @@ def test_signature_is_a_majority_of_hashes():
     hashes = np.array([near_text.xxhash.xxh64_intdigest(" ".join(map(str, range(k, k + 5))), near_text.SEED) for k in range(696)], np.uint64)
     bits = np.unpackbits(near_text._spread(hashes).view(np.uint8), axis=1).mean(axis=0) > 0.5
     assert near_text.signature(text) == np.packbits(bits).tobytes()
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 200])
+def test_every_pair_that_meets_is_reported_or_in_a_crowd(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_text, "BUCKET_ROWS", rows)
+    rng = np.random.default_rng(4)
+    keys = {}
+    for piece in (0, 5):
+        bases = [int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in rng.integers(0, 1 << 32, 12) for x, y in rng.integers(0, 8, (25, 2))]
+        keys[piece] = sorted({(b << 32 | int(c)) - (b >> 31 << 64) for b in bases for c in rng.choice([3, 7, 0xFFFF0000], 1)})
+    frame = spark.createDataFrame([(p, k) for p, some in keys.items() for k in some], "piece int, key long")
+    got = near_text.near_keys(frame).collect()
+    direct = [(r["piece"], *sorted((r["a"], r["b"]))) for r in got if not r["crowd"]]
+    assert len(direct) == len(set(direct)) and any(r["crowd"] for r in got)
+    root = {(p, k): (p, k) for p, some in keys.items() for k in some}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        if r["crowd"]:
+            root[top((r["piece"], r["a"]))] = top((r["piece"], r["b"]))
+    ones = lambda x: (x & 0xFFFFFFFF).bit_count()
+    near = {(p, a, b) for p, some in keys.items() for a in some for b in some if a < b and ones(a >> 32 ^ b >> 32) <= 2 and ones(a ^ b) <= near_text.CHECK}
+    assert len(near) > 500 and set(direct) <= near
+    assert all((p, a, b) in set(direct) or top((p, a)) == top((p, b)) for p, a, b in near)

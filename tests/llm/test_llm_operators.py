@@ -540,3 +540,12 @@ def test_language_model_is_the_weighted_tree(spark, monkeypatch, slice_bytes):
     other = spark.createDataFrame([(1, "abc def", True), (2, "zzzz unseen", False)], "doc_id long, text string, train boolean")
     want = weighted_tree([b"abc def"])
     assert all(math.isclose(r["score"], want(b"abc def" if r["doc_id"] == 1 else b"zzzz unseen"), rel_tol=1e-6) for r in lm.score(other, F.col("train")).collect())
+
+
+def test_codes_are_counted_and_asked_once():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 500, 4000).astype(np.uint64)
+    asked, cuts = lm._asked(codes, 7)
+    assert sorted(asked.tolist()) == np.unique(codes).tolist() and cuts[-1] == len(asked)
+    assert all((lm._bucket_of(asked[a:b], 7) == k).all() for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert lm._firsts(np.array([3, 3, 4, 9, 9])).tolist() == [True, False, True, True, False]

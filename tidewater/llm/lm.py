@@ -70,6 +70,11 @@ def context_codes(data: bytes, before: bytes = b"", end: bool = True) -> np.ndar
     return codes
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """The first of each value of a sorted array, which is not empty. Sorting is faster than numpy.unique(), which hashes."""
+    return np.concatenate([[True], ordered[1:] != ordered[:-1]])
+
+
 def _count(batches):
     """(code, n) over all texts of a task: n counts in training texts; the codes of others are there with 0."""
     codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -77,9 +82,10 @@ def _count(batches):
 
     def merged():
         new = {train: np.unique(np.concatenate(x), return_counts=True) for train, x in waiting.items() if x}
-        both, where = np.unique(np.concatenate([codes, *(x for x, _ in new.values())]), return_inverse=True)
-        n = np.concatenate([counts, *(n * train for train, (_, n) in new.items())])
-        return both, np.bincount(where, n, minlength=len(both)).astype(np.int64)
+        both, n = np.concatenate([codes, *(x for x, _ in new.values())]), np.concatenate([counts, *(n * train for train, (_, n) in new.items())])
+        order = np.argsort(both, kind="stable")  # runs that are sorted already
+        first = _firsts(both[order])
+        return both[order[first]], np.add.reduceat(n[order], np.flatnonzero(first))
 
     def out():
         for k in range(0, len(codes), 100_000):
@@ -264,11 +270,16 @@ def _bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return (((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
+
+
 def _asked(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The different codes, by bucket and then by value, and where each bucket's begin."""
-    distinct = np.unique(codes)
+    ordered = np.sort(codes)
+    distinct = ordered[_firsts(ordered)]
     bucket = _bucket_of(distinct, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = _by_bucket(bucket, buckets)
     return distinct[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -305,11 +316,13 @@ def text_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
         for batch in batches:
             for rids, parts, sizes, data, answers in zip(*(batch.column(c).to_pylist() for c in ("rids", "parts", "sizes", "data", "answers")), strict=True):
                 codes, starts = _codes_of(sizes, data)
-                distinct, where = np.unique(codes, return_inverse=True)
-                order = np.argsort(_bucket_of(distinct, buckets), kind="stable")
-                log_p = np.empty(len(distinct))
-                log_p[order] = np.frombuffer(b"".join(a["log_p"] for a in sorted(answers, key=lambda a: a["bucket"])), np.float32)
-                scores = np.add.reduceat(log_p[where], starts)
+                place = np.argsort(codes)
+                first = _firsts(codes[place])
+                distinct = codes[place[first]]
+                log_p, each = np.empty(len(distinct)), np.empty(len(codes))
+                log_p[_by_bucket(_bucket_of(distinct, buckets), buckets)] = np.frombuffer(b"".join(a["log_p"] for a in sorted(answers, key=lambda a: a["bucket"])), np.float32)
+                each[place] = np.repeat(log_p, np.diff(np.flatnonzero(first), append=len(codes)))
+                scores = np.add.reduceat(each, starts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rids, np.int64)), pa.array(np.frombuffer(parts, np.int32)), pa.array(scores)], names=["rid", "part", "score"])
 
     requests = slices.select("slice", "sizes", "data").mapInArrow(ask, "bucket long, slice long, codes binary")

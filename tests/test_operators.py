@@ -232,6 +232,37 @@ def test_chunks_of_postings_equal_one(monkeypatch, dense):
     assert len(one) == 350
 
 
+def test_index_counts_the_folded_tokens(spark, monkeypatch):
+    odd = [(1, "Đồng Tháp A_b 2%", "a\u0301o\u0323 vàng; vàng"), (2, "", "ΑΣ ΟΔΟΣ. İstanbul \U00010400x \u212a"), (3, "", None), (4, "x" * 90 + " tail", "\u0301 \u3000gold\u0000gold"), (5, "end", "end x"), (6, "٣٤ ⅷ ª", "中文 한국어 e\u0301")]
+    odd += [(k, "w" * (k % 5), f"the {k} the\nx") for k in range(7, 40)]
+    articles = spark.createDataFrame(odd, "article_id long, title string, body string")
+    monkeypatch.setattr(retrieval, "PIECE", 64)
+    found = {r["article_id"]: r for r in retrieval.forward_index(articles, 3).collect()}
+    wanted = {}
+    for r in retrieval.postings(articles, 3).collect():
+        wanted.setdefault(r["article_id"], {})[r["token"]] = r["tf"]
+    assert {a: sorted(r["tfs"]) for a, r in found.items() if r["tfs"]} == {a: sorted(w.values()) for a, w in wanted.items()}
+    assert {a: r["dl"] for a, r in found.items()} == {a: sum(wanted.get(a, {}).values()) for a, _, _ in odd}
+    # One hash for each token, wherever it is.
+    names = {}
+    for a, w in wanted.items():
+        if len(set(w.values())) == len(w):
+            for token, tf in w.items():
+                names.setdefault(token, set()).add(found[a]["tokens"][found[a]["tfs"].index(tf)])
+    assert all(len(x) == 1 for x in names.values()) and len(set().union(*names.values())) == len(names)
+    assert len({t for r in found.values() for t in r["tokens"]}) == len({t for w in wanted.values() for t in w})
+
+
+def test_tasks_hand_out_few_rows(spark, monkeypatch):
+    articles = spark.createDataFrame([(k, f"w{k % 7}", "x " * (k % 5)) for k in range(400)], "article_id long, title string, body string").repartition(50)
+    queries = spark.createDataFrame([(f"q{k}", f"x w{k % 7}") for k in range(200)], "query_id string, text string")
+    monkeypatch.setattr(retrieval, "TOGETHER", 9)
+    few = retrieval.bm25(queries, articles, 5)
+    assert few.rdd.getNumPartitions() and "Window" not in few._jdf.queryExecution().toString()
+    wide = {(r["query_id"], r["article_id"], r["score"], r["rank"]) for r in retrieval.bm25_indexed(queries, retrieval.postings(articles), retrieval.lengths(articles), 5).collect()}
+    assert wide == set(map(tuple, few.select("query_id", "article_id", "score", "rank").collect()))
+
+
 def test_snippets_equal_the_definition():
     rng = np.random.default_rng(3)
     for _ in range(200):

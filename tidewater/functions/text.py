@@ -24,7 +24,8 @@ def _fold_map() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-_FROM, _TO = _fold_map()
+#: The letters that fold() replaces, and by what.
+FOLDED = _FROM, _TO = _fold_map()
 
 
 _MARK = r"\p{M}"

@@ -6,16 +6,16 @@ import functools
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewater.functions.text import folded_tokens, fresh_intent, tokens
+from tidewater.functions.text import FOLDED, TOKEN, folded_tokens, fresh_intent, tokens
 from tidewater.storage import stash
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
@@ -25,7 +25,11 @@ SNIPPET = 200
 #: Vectors that are compared in one pass; questions, and their tokens, that are.
 QUERY_BLOCK, WORD_QUERIES, WORD_TOKENS = 256, 16384, 1 << 21
 #: Postings that a task holds, questions that it scores at once, part of the articles from which a token is a row of a matrix.
-CHUNK, ABREAST, DENSE = 1 << 22, 32, 0.25
+CHUNK, ABREAST, DENSE = 1 << 22, 64, 0.25
+#: Bytes of text that are tokenised at once.
+PIECE = 1 << 19
+#: Chunks that a task works off one after another; queries whose best articles are put together at once.
+TASK_CHUNKS, TOGETHER = 4, 64
 
 
 def _words(articles: DataFrame) -> DataFrame:
@@ -58,31 +62,90 @@ def top(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _letters(spark: SparkSession) -> np.ndarray:
+    """For each code point of a lowered text what folded_tokens() makes of it: a letter, 0 where it goes (a mark), a space
+    where it parts words; by the JVM's own classes."""
+    every = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))))
+    points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    without = lambda x: points(spark.sparkContext._jvm.java.util.regex.Pattern.compile(x).matcher(every).replaceAll(""))
+    table = np.full(0x110000, ord(" "), np.uint32)
+    of_token, marks = without(f"[^{TOKEN[1:-2]}]"), without(r"\P{M}")
+    table[of_token], table[marks] = of_token, 0
+    table[points(FOLDED[0])] = table[points(FOLDED[1])]
+    return table
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashed(texts: pa.Array, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of the lowered texts, and the text of each. value: for each code point a number, 0 where it
+    goes and 1 where it parts words. A hash is the sum of the letters' numbers, each times a number of its place."""
+    flat, ends = b"".join(texts.to_pylist()), np.cumsum(pc.binary_length(texts).to_numpy())
+    x = np.frombuffer(flat, np.uint8)
+    if not flat.isascii():
+        ends = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])[ends]
+        x = np.frombuffer(flat.decode().encode("utf-32-le"), np.uint32)
+    x = value[x]
+    if not (stays := x > 0).all():
+        ends, x = np.concatenate([[0], np.cumsum(stays)])[ends], x[stays]
+    inside = x > 1
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = ends[ends < len(x)]  # where a text begins, so does a token
+    begins[heads] = inside[heads]
+    text = np.searchsorted(ends, np.flatnonzero(begins), "right")
+    x, first = x[inside], np.flatnonzero(begins[inside])
+    if not len(first):
+        return x, text
+    sizes = np.diff(first, append=len(x))
+    place = np.arange(len(x)) - np.repeat(first, sizes)
+    return np.add.reduceat(x * (_mixed(np.arange(1, sizes.max() + 1)) | np.uint64(1))[place], first), text
+
+
+def _counted(titles: pa.Array, bodies: pa.Array, value: np.ndarray, title_weight: int) -> tuple[np.ndarray, ...]:
+    """Lengths of the articles, and for each its different tokens with their weighed counts: those of article k are at
+    ends[k] to ends[k + 1]."""
+    (title, of_title), (body, of_body) = (_hashed(x, value) for x in (titles, bodies))
+    n_title, n_body = (np.bincount(x, minlength=len(titles)) for x in (of_title, of_body))
+    bounds = np.concatenate([[0], np.cumsum(n_title + n_body)])
+    every = np.empty(bounds[-1], np.uint64)  # the last bit: in the title
+    every[np.arange(len(title)) + np.concatenate([[0], np.cumsum(n_body)])[of_title]] = title | np.uint64(1)
+    every[np.arange(len(body)) + np.cumsum(n_title)[of_body]] = body & ~np.uint64(1)
+    for a, b in itertools.pairwise(bounds.tolist()):
+        every[a:b].sort()
+    token, weight = (every >> np.uint64(1)).view(np.int64), np.where(every & np.uint64(1), title_weight, 1)
+    once = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+    once[bounds[:-1][n_title + n_body > 0]] = True
+    at = np.flatnonzero(once)
+    tfs = np.add.reduceat(weight, at) if len(at) else weight
+    return title_weight * n_title + n_body, np.concatenate([[0], np.cumsum(once)])[bounds], token[at], tfs
+
+
 def forward_index(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
-    """article_id, dl, tokens (hashes), tfs: every text is tokenised once and counted where it is."""
+    """article_id, dl, tokens (hashes of 63 bits), tfs: the tokens of folded_tokens(), counted where the text is."""
+    sent = articles.sparkSession.sparkContext.broadcast(_letters(articles.sparkSession))  # 4.5 MB
 
     def counted(batches):
+        letters = sent.value
+        value = np.where(letters == ord(" "), np.uint64(1), np.where(letters == 0, np.uint64(0), _mixed(letters) | np.uint64(2)))
         for batch in batches:
-            sides = []
-            for name in ("in_title", "in_body"):
-                x = batch.column(name).fill_null(pa.scalar([], batch.column(name).type))
-                sides.append((x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])))
-            (title, t), (body, b) = sides
-            tokens, tfs, ends = [title[:0]], [title[:0]], [0]
-            for k in range(batch.num_rows):
-                once, place = np.unique(np.concatenate([title[t[k] : t[k + 1]], body[b[k] : b[k + 1]]]), return_inverse=True)
-                here = np.bincount(place[: t[k + 1] - t[k]], minlength=len(once))
-                tokens.append(once)
-                tfs.append((title_weight - 1) * here + np.bincount(place, minlength=len(once)))
-                ends.append(ends[-1] + len(once))
-            ends = pa.array(ends, pa.int32())
-            dl = title_weight * np.diff(t) + np.diff(b)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((tokens, np.int64), (tfs, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array(dl, pa.int64()), *lists], names=["article_id", "dl", "tokens", "tfs"])
+            title, body = (batch.column(c).fill_null(b"") for c in ("title", "body"))
+            size = np.cumsum(pc.binary_length(title).to_numpy().astype(np.int64) + pc.binary_length(body).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(size // PIECE)) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                dl, ends, tokens, tfs = _counted(title.slice(a, b - a), body.slice(a, b - a), value, title_weight)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (tokens, tfs.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("article_id").slice(a, b - a), pa.array(dl, pa.int64()), *lists], names=["article_id", "dl", "tokens", "tfs"])
 
     kind = articles.schema["article_id"].dataType.simpleString()
-    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t)).alias(c)
-    return _words(articles).select("article_id", hashed("in_title"), hashed("in_body")).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
+    lowered = lambda c: F.lower(c).cast("binary").alias(c)
+    return articles.select("article_id", lowered("title"), lowered("body")).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
 
 
 def _blocks(rows: DataFrame) -> Iterator[list]:
@@ -141,7 +204,10 @@ def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndar
 
     def turned(parts):
         ids, token, doc, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(token * len(ids) + doc)
+        # Stable sorts of 16 bits are radix sorts; articles are in order already.
+        order = np.argsort((token & 0xFFFF).astype(np.uint16), kind="stable")
+        for shift in range(16, max(1, len(known)).bit_length(), 16):
+            order = order[np.argsort(((token >> shift) & 0xFFFF).astype(np.uint16)[order], kind="stable")]
         return ids, np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(known)))]), doc[order], gain[order]
 
     parts, docs, held = [], 0, 0
@@ -192,8 +258,11 @@ def _best_by_words(batches: Iterator[pa.RecordBatch], names: list, starts: np.nd
                         add *= np.repeat(times, size[t])
                     total += np.bincount(np.concatenate([docs[a:b] for a, b in cuts]), add, minlength=n)
                 best, which = found[q]
-                # Scores are rounded only once there are few; the margin is wider than the rounding.
-                rows = np.flatnonzero(total >= best[-1] - 1e-9) if len(best) == k else np.flatnonzero(total)
+                # Scores are rounded only once there are few; the margin is wider than the rounding. At first, the
+                # k-th best of every eighth article is a lower bound of that of all.
+                part = total[::8] if n > 16 * k else total
+                least = best[-1] if len(best) == k else np.partition(part, len(part) - k)[len(part) - k] if len(part) > k else 0.0
+                rows = np.flatnonzero(total >= least - 1e-9) if least > 1e-9 else np.flatnonzero(total)
                 if not len(rows):
                     continue
                 new, who = total[rows], ids[rows]
@@ -221,23 +290,45 @@ def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed:
     for and keeps the k best, so no pair of query and article is shuffled."""
     spark = articles.sparkSession
     index = stash(forward_index(articles, title_weight), "forward")
-    asked = _asked(queries).withColumn("token", F.xxhash64("token"))
-    df = index.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    n, mean = index.agg(F.count("*"), F.avg("dl")).first()
+    words = forward_index(queries.select(F.col("query_id").alias("article_id"), F.col("text").alias("title"), F.lit("").alias("body")), 1)
+    asked = words.select(F.col("article_id").alias("query_id"), F.explode(F.arrays_zip("tokens", "tfs")).alias("w")).groupBy("query_id", F.col("w.tokens").alias("token")).agg(F.sum("w.tfs").alias("qtf"))
+    df = index.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n, mean, postings = index.agg(F.count("*"), F.avg("dl"), F.sum(F.size("tokens"))).first()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = asked.join(df, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", "qtf", idf.alias("idf"))).alias("w"))
     weights = weights.select("query_id", F.col("w.token").alias("tokens"), F.col("w.qtf").alias("qtfs"), F.col("w.idf").alias("idfs"))
     rows = index.filter("article_id is not null") if allowed is None else index.join(allowed, "article_id", "left_semi")
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, article_id {articles.schema['article_id'].dataType.simpleString()}, score double"
+    # Every task hands out its k best of each query, so there are no more tasks than keep all cores at work.
+    cores = spark.sparkContext.defaultParallelism
+    rows = rows.select("article_id", "dl", "tokens", "tfs").coalesce(cores * max(1, -(-(postings or 0) // (TASK_CHUNKS * CHUNK * cores))))
+    of_query, of_article = (x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (articles, "article_id")))
+    kind = f"query_id {of_query}, article_id {of_article}, score double, rank int"
 
     def run(block):
         names, tokens, qtf, idfs = zip(*block, strict=True)
         known, first, at = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True)
         starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         sent = spark.sparkContext.broadcast((list(names), starts, at, np.concatenate(qtf), known, np.concatenate(idfs)[first], mean or 1.0, k))  # WORD_TOKENS tokens
-        return rows.select("article_id", "dl", "tokens", "tfs").mapInArrow(lambda batches: _best_by_words(batches, *sent.value), kind)
 
-    return top(_each_block(_word_blocks(weights), run, kind, spark), k)
+        def packed(batches):
+            for found in _best_by_words(batches, list(range(len(sent.value[0]))), *sent.value[1:]):
+                query = found.column("query_id").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(query // TOGETHER)) + 1).tolist(), len(query)]
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in found.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(query[cuts[:-1]] // TOGETHER), *lists], names=["part", "query", "article_id", "score"])
+
+        def merged(t: pa.Table) -> pa.Table:
+            query, score = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("query", "score"))
+            ids = t.column("article_id").combine_chunks().flatten()
+            order = np.lexsort((np.array(ids.to_pylist()), -score, query))
+            firsts = np.flatnonzero(np.diff(query[order], prepend=-1))
+            rank = np.arange(len(order)) - np.repeat(firsts, np.diff(firsts, append=len(order)))
+            order, rank = order[rank < k], rank[rank < k]
+            return pa.table({"query_id": pa.array(sent.value[0]).take(pa.array(query[order])), "article_id": ids.take(pa.array(order)), "score": score[order], "rank": pa.array(rank + 1, pa.int32())})
+
+        return rows.mapInArrow(packed, f"part long, query array<long>, article_id array<{of_article}>, score array<double>").groupBy("part").applyInArrow(merged, kind)
+
+    return _each_block(_word_blocks(weights), run, kind, spark)
 
 
 def bm25_indexed(queries: DataFrame, posted: DataFrame, sizes: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
@@ -366,11 +457,11 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("đ", "d")) if not unicodedata.combining(c))
 
 
-def make_snippet(body: str | None, words: set[str], most: int = SNIPPET) -> str:
+def make_snippet(body: str | None, words: set[str], most: int = SNIPPET, plain: Callable[[str], str] = _plain) -> str:
     """The part of the body with most matches in a row, in the middle of `most` characters; matches in <b>, dots where
     it is cut. Without a match, the head."""
     body = unicodedata.normalize("NFC", body or "")
-    spans = np.array([m.span() for m in re.finditer(r"\w+", body) if _plain(m.group()) in words], np.int64).reshape(-1, 2)
+    spans = np.array([m.span() for m in re.finditer(r"\w+", body) if plain(m.group()) in words], np.int64).reshape(-1, 2)
     if not len(spans):
         return body[:most] + "..." * (len(body) > most)
     begins, ends = spans.T
@@ -388,7 +479,8 @@ def make_snippet(body: str | None, words: set[str], most: int = SNIPPET) -> str:
 
 @F.pandas_udf(StringType())
 def snippet(body, query):
-    return body.combine(query, lambda b, q: make_snippet(b, {_plain(w) for w in re.findall(r"[^\W_]+", q or "")}))
+    plain = functools.lru_cache(1 << 16)(_plain)
+    return body.combine(query, lambda b, q: make_snippet(b, {plain(w) for w in re.findall(r"[^\W_]+", q or "")}, plain=plain))
 
 
 def search(

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.components import components
+from tidewater.llm.components import components, forest
 from tidewater.llm.patterns import new_name
 from tidewater.storage import release, stash
 
@@ -157,20 +157,6 @@ def _variants(key: np.ndarray) -> np.ndarray:
     return (key.astype(np.uint64) >> np.uint64(32)).astype(np.uint32)[:, None] ^ _MASKS
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smallest, other) that connect what the pairs (a, b) connect, one for each other."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(names))
-    while (root[a] != root[b]).any():
-        least = np.minimum(root[a], root[b])
-        for x in (root[a], root[b], a, b):
-            np.minimum.at(root, x, least)
-        while (root[root] != root).any():
-            root = root[root]
-    other = np.flatnonzero(root != np.arange(len(names)))
-    return names[root[other]], names[other]
-
-
 def _emit(each: int):
     """(piece, key) -> blobs of variants by bucket, each buckets for a piece."""
 
@@ -233,7 +219,7 @@ def near_keys(keys: DataFrame) -> DataFrame:
             base_a, base_b = k[i] >> np.uint64(32), k[j] >> np.uint64(32)
             low = (base_a ^ base_b) & (~(base_a ^ base_b) + np.uint64(1))
             once = ~many & (np.minimum(base_a ^ low, base_b ^ low) == w[i] >> np.uint64(6))
-            a, b = _forest(k[i[many]], k[j[many]])
+            a, b = forest(k[i[many]], k[j[many]])
             both = [pa.array(np.concatenate(x).view(np.int64)) for x in ((k[i[once]], a), (k[j[once]], b))]
             piece = np.full(len(both[0]), int(w[0] & np.uint64(63)), np.int32)  # a bucket is of one piece
             return pa.RecordBatch.from_arrays([pa.array(piece), *both, pa.array(np.arange(len(piece)) >= once.sum())], names=["piece", "a", "b", "crowd"])

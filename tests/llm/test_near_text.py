@@ -137,3 +137,27 @@ def test_every_pair_that_meets_is_reported_or_in_a_crowd(spark, monkeypatch, row
     near = {(p, a, b) for p, some in keys.items() for a in some for b in some if a < b and ones(a >> 32 ^ b >> 32) <= 2 and ones(a ^ b) <= near_text.CHECK}
     assert len(near) > 500 and set(direct) <= near
     assert all((p, a, b) in set(direct) or top((p, a)) == top((p, b)) for p, a, b in near)
+
+
+def test_a_family_hands_out_no_pairs_with_its_square(spark, monkeypatch):
+    """Texts that are alike by bits and not by their shingles, each with one near copy, are verified in the task of their block."""
+    rng, n, handed = random.Random(3), 300, []
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for member in range(n):
+        own = list(base)
+        for k in rng.sample(range(80), 14):
+            own[5 * k] = f"m{member}-{k}"
+        texts += [" ".join(own), " ".join([*own, "tail"])]
+    assert max(similarity(texts[0], t) for t in texts[2:]) < 0.8
+    for name in ("near_by_bits", "similar_pairs"):
+
+        def counted(pairs, more, plain=getattr(near_text, name)):
+            handed.append(pairs.count())
+            return plain(pairs, more)
+
+        monkeypatch.setattr(near_text, name, counted)
+    monkeypatch.setattr(near_text, "BLOCK", 100)
+    monkeypatch.setattr(near_text, "LIMIT", 1408)
+    assert kept(spark, texts) == list(range(0, 2 * n, 2))
+    assert sum(handed) < n * (2 * n - 1) / 4

@@ -12,8 +12,9 @@ Nothing that meets is dropped, and no group makes pairs with its square. Of the
 smallest check stands for all whose check is near to its own, and only it (and those not near to it) emit variants. Up to
 FEW entries of a variant are paired with each other; more are a crowd, of which only pairs that connect it are handed out.
 Crowds, and texts that others stand for, form families; all texts of a family that are not connected yet are compared with
-each other on all bits, in blocks that a task holds: first each links to its nearest, then every pair that this left apart
-and that differs in LIMIT bits or fewer is verified. So two texts are missed only if they meet in no piece.
+each other on all bits, in blocks that a task holds; those that differ from another in LIMIT bits or fewer are sent with their
+words to the task of the block, which verifies every such pair that nearer ones have not connected and hands out only links
+that connect. So two texts are missed only if they meet in no piece.
 
 Copies with equal signatures are put together before, so a group of exact copies of any size is one text. A bucket is
 read in batches; of a crowd only one entry stays in memory.
@@ -48,8 +49,8 @@ TABLES, PASSES, PIECES = 42, 3, 44
 RADIUS, CHECK, LIMIT = 2, 11, 262
 #: Entries that a bucket holds on average, keys that a task expands, those it expands at once.
 BUCKET_ROWS, TASK_KEYS, EXPAND = 1_000_000, 160_000, 8192
-#: Entries of a variant that are paired with each other; more are a crowd. Texts of a family in one block.
-FEW, BLOCK = 3, 4096
+#: Entries of a variant that are paired with each other; more are a crowd. Texts of a family in a part, and bytes of their packed words.
+FEW, BLOCK, BLOCK_BYTES = 3, 4096, 1 << 25
 _ROWS = 1 << 14
 _MASKS = np.concatenate([np.zeros(1, np.uint32), np.left_shift(np.uint32(1), np.arange(32, dtype=np.uint32))])
 _STEPS = np.arange(1, PIECES // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -285,39 +286,91 @@ def met_texts(classes: DataFrame, low: int, high: int) -> DataFrame:
     return behind
 
 
-def near_in_families(families: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
-    """families(node, root) -> (a, b): the pairs of a family that differ in at most LIMIT bits and are not connected by roots(node,
-    root); with nearest, of each text and each block only the nearest. A family is compared in blocks, all with all."""
+def kin_in_blocks(families: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """families(node, root) -> (root, i, j, part, id, joined, sig): the texts of families that roots(node, root) leaves apart, in blocks of
+    two parts, so that any two of a family share a block. A part is of BLOCK texts and BLOCK_BYTES of texts(id, words, size), about."""
     joined = roots.select("node", F.col("root").alias("joined"))
     members = families.join(joined, "node", "left").select("root", F.col("node").alias("id"), F.coalesce("joined", "node").alias("joined"))
-    sized = members.groupBy("root").agg(F.count("*").alias("n"), F.min("joined").alias("least"), F.max("joined").alias("most")).filter("least <> most")
-    parts = F.ceil(F.col("n") / BLOCK)
-    sliced = members.join(sized, "root").join(classes.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    blocks = sliced.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "joined", "sig")
+    members = members.join(texts.select("id", "size"), "id")
+    sized = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("joined").alias("least"), F.max("joined").alias("most")).filter("least <> most")
+    parts = sized.select("root", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).alias("parts"))
+    sliced = members.drop("size").join(parts, "root").join(classes.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return sliced.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "joined", "sig")
+
+
+_BLOCKS = "root binary, i long, j long, part long, id binary, joined binary, sig binary"
+
+
+def _near_in_block(key, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block in order of id: the component of each text, and the pairs, as indices, that are not connected and differ in at most LIMIT
+    bits, with the number."""
+    i, j = key[1].as_py(), key[2].as_py()
+    part = table.column("part").to_numpy()
+    sigs, group = _pieces(table.column("sig")).view(np.uint64), np.unique(np.array(table.column("joined").to_pylist(), object), return_inverse=True)[1]
+    rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    found = [np.zeros((3, 0), np.int32)]
+    for r in rows:
+        others = columns[columns > r] if i == j else columns
+        others = others[group[others] != group[r]]
+        differ = np.bitwise_count(sigs[others] ^ sigs[r]).sum(axis=1, dtype=np.int32)
+        near = differ <= LIMIT
+        found.append(np.stack([np.full(near.sum(), r), others[near], differ[near]]).astype(np.int32))
+    return group, *np.concatenate(found, axis=1)
+
+
+def near_in_blocks(blocks: DataFrame) -> DataFrame:
+    """The rows of kin_in_blocks() that differ from another of their block in at most LIMIT bits and are not connected with it."""
 
     def compare(key, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
         table = table.sort_by("id").combine_chunks()
-        part, ids = table.column("part").to_numpy(), np.array(table.column("id").to_pylist(), object)
-        sigs, group = _pieces(table.column("sig")).view(np.uint64), np.unique(np.array(table.column("joined").to_pylist(), object), return_inverse=True)[1]
-        rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found = [np.zeros((3, 0), np.int64)]
-        for r in rows:
-            others = columns[columns > r] if i == j else columns
-            others = others[group[others] != group[r]]
-            differ = np.bitwise_count(sigs[others] ^ sigs[r]).sum(axis=1, dtype=np.int64)
-            near = differ <= LIMIT
-            found.append(np.stack([np.full(near.sum(), r), others[near], differ[near]]))
-        a, b, differ = np.concatenate(found, axis=1)
-        if nearest and len(a):
-            end, which = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((which, differ[which], end))
-            first = np.unique(which[order][np.unique(end[order], return_index=True)[1]])
-            a, b = a[first], b[first]
-        return pa.table({"a": pa.array(ids[a].tolist(), pa.binary()), "b": pa.array(ids[b].tolist(), pa.binary())})
+        return table.take(pa.array(np.unique(np.concatenate(_near_in_block(key, table)[1:3]))))
 
     compare.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
-    return blocks.groupBy("root", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return blocks.groupBy("root", "i", "j").applyInArrow(compare, _BLOCKS)
+
+
+def similar_in_blocks(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of near_in_blocks() of similar texts that connect all such pairs of their block, one for each text at most. The
+    nearest are verified first, and none that others connect. Pairs never leave their block: only texts move."""
+
+    def verify(key, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        group, a, b, differ = _near_in_block(key, table)
+        words, root = table.column("words"), list(range(len(table)))
+        hashes: list[np.ndarray | None] = [None] * len(table)
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def of(x):
+            return shingles(zstandard.decompress(words[x].as_py()).split())
+
+        def hashed(x):
+            if hashes[x] is None:
+                hashes[x] = np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in of(x)), np.uint64))
+            return hashes[x]
+
+        out = []
+        order = np.lexsort((b, a, differ))
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            if (g := top(group[x])) == (h := top(group[y])):
+                continue
+            # Hashes sort out most of the pairs; what they leave is verified by the shingles themselves.
+            u, v = hashed(x), hashed(y)
+            if 5 * min(len(u), len(v)) < LEAST_FIFTHS * max(len(u), len(v)):
+                continue
+            both = np.count_nonzero(u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v)
+            if 5 * both >= LEAST_FIFTHS * (len(u) + len(v) - both) and similar(of(x), of(y)):
+                root[max(g, h)] = min(g, h)
+                out.append((x, y))
+        ids = table.column("id")
+        return pa.table({c: ids.take(pa.array([p[k] for p in out], pa.int64())) for k, c in enumerate("ab")})
+
+    verify.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
+    return blocks.join(texts.select("id", "words"), "id").groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary")
 
 
 def near_by_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -367,22 +420,25 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def near_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """classes(id, key, sig) -> (node, root): the components of the texts that are like another."""
     behind = functools.reduce(DataFrame.union, [met_texts(classes, *each) for each in _passes()])
-    pairs = stash(behind.filter("direct").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    # Pairs of families are compared below; of each of their texts one is tried at once, that met in most pieces.
+    met = behind.filter("direct").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("times"), F.bool_or("kin").alias("kin"))
+    met = stash(met, "near-met")
+    likely = met.filter("kin").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    pairs = stash(met.filter("not kin").select("a", "b").union(likely.select("a", "b")), "near-pairs")
     ids = behind.select(F.col("a").alias("id")).union(behind.select("b")).distinct()
     wanted = stash(ids.join(classes.select("id", "key"), "id"), "near-wanted")
     pressed = docs.select(row_key().alias("key"), "text").mapInArrow(_pressed, "key binary, words binary")
-    texts = stash(wanted.join(pressed, "key").groupBy("id").agg(F.first("words").alias("words")), "near-texts")
+    texts = stash(wanted.join(pressed, "key").groupBy("id").agg(F.first("words").alias("words")).withColumn("size", F.length("words")), "near-texts")
     near = stash(near_by_bits(pairs, classes), "near-bits")
     # Each text with the one nearest to it, then what this has not connected.
     first = near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
     links = stash(similar_pairs(first, texts), "near-links")
     roots = components(links)
     links, roots = _joined(links, roots, similar_pairs(_apart(near.select("a", "b"), roots), texts))
-    # What others spoke for, or was in a crowd, is compared whole: first each text with the nearest, then what that leaves apart.
+    # What others spoke for, or was in a crowd, is compared whole, as far as it is apart.
     families = stash(components(behind.filter("kin").select("a", "b")), "near-families")
-    for nearest in (True, False):
-        links, roots = _joined(links, roots, similar_pairs(stash(near_in_families(families, classes, roots, nearest), "near-kin"), texts))
-    return roots
+    blocks = stash(near_in_blocks(kin_in_blocks(families, classes, texts, roots)), "near-kin")
+    return _joined(links, roots, similar_in_blocks(blocks, texts))[1]
 
 
 def _joined(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -442,3 +442,27 @@ def test_engine(spark, tmp_path):
     engine.register_functions(spark)
     got = spark.sql("SELECT tw_fold('Đồng Tháp') AS f, tw_tokens('Giá 2%') AS t, tw_normalize('  A \t b ') AS n, tw_variant('q') AS v, tw_snippet('giá vàng', 'gia') AS s").first()
     assert (got["f"], got["t"], got["n"], got["s"]) == ("Dong Thap", ["giá", "2"], "a b", "<b>giá</b> vàng") and got["v"] in "AB"
+
+
+def test_wanted_articles_are_counted_and_not_paired_with_every_query(spark, tmp_path, monkeypatch):
+    from tidewater.plans import analytics, registry
+
+    n, handed = 400, []
+    texts = [f"title w{k % 7} x{k % 11}\nbody w{k % 5} y{k % 13}" for k in range(n)]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, 0, [1.0, 0.0])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in filter(lambda x: hasattr(analytics.L, x), ("relevance", "relevance_of_hits")):
+
+        def counted(a, b, k=10, plain=getattr(analytics.L, name)):
+            handed.extend([a.count(), b.count()])
+            return plain(a, b, k)
+
+        monkeypatch.setattr(analytics.L, name, counted)
+    got = {r["query_id"]: tuple(r)[1:] for r in analytics.QUERIES["eval_relevance"](spark, str(tmp_path)).collect()}
+    assert len(got) == n // 20 and max(handed) <= 10 * n // 20
+    ranked = {}
+    for r in registry.QUERIES["bm25_topk"](spark, str(tmp_path)).filter("rank <= 10 and article_id % 3 > 0").collect():
+        ranked.setdefault(r["query_id"], []).append(r["rank"])
+    total, ideal = sum(k % 3 > 0 for k in range(n)), sum(1 / math.log2(i + 1) for i in range(1, 11))
+    assert got == {q: (round(len(x) / total, 6), round(1 / min(x), 6), round(sum(1 / math.log2(i + 1) for i in x) / ideal, 6)) for q in got for x in [ranked[q]]}

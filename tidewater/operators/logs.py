@@ -49,11 +49,16 @@ def alerts(snapshot: DataFrame, p95: float = 500, errors: float = 0.05, zeros: f
 
 def relevance(ranked: DataFrame, wanted: DataFrame, k: int = 10) -> DataFrame:
     """ranked(query_id, article_id, rank), wanted(query_id, article_id): recall, reciprocal rank and nDCG at k for each query."""
-    hits = wanted.join(ranked.filter(F.col("rank") <= k), ["query_id", "article_id"], "left")
-    gain = F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0))
-    n = F.count("*")
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return hits.groupBy("query_id").agg(F.round(F.count("rank") / n, 6).alias("recall"), F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("mrr"), F.round(gain / ideal, 6).alias("ndcg"))
+    return relevance_of_hits(ranked.join(wanted, ["query_id", "article_id"]), wanted.groupBy("query_id").agg(F.count("*").alias("n")), k)
+
+
+def relevance_of_hits(hits: DataFrame, totals: DataFrame, k: int = 10) -> DataFrame:
+    """relevance() from what was found of the wanted articles, hits(query_id, rank), and their number, totals(query_id, n)."""
+    found = hits.filter(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    or_none = lambda x: F.coalesce(x, F.lit(0.0))
+    measures = {"recall": or_none(F.col("found") / F.col("n")), "mrr": or_none(1 / F.col("first")), "ndcg": or_none(F.col("gain")) / ideal}
+    return totals.join(found, "query_id", "left").select("query_id", *(F.round(x, 6).alias(name) for name, x in measures.items()))
 
 
 def mean_relevance(measures: DataFrame) -> DataFrame:

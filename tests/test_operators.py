@@ -466,3 +466,14 @@ def test_wanted_articles_are_counted_and_not_paired_with_every_query(spark, tmp_
         ranked.setdefault(r["query_id"], []).append(r["rank"])
     total, ideal = sum(k % 3 > 0 for k in range(n)), sum(1 / math.log2(i + 1) for i in range(1, 11))
     assert got == {q: (round(len(x) / total, 6), round(1 / min(x), 6), round(sum(1 / math.log2(i + 1) for i in x) / ideal, 6)) for q in got for x in [ranked[q]]}
+
+
+def test_snippets_fold_only_words_that_are_not_ascii():
+    asked = []
+
+    def plain(word):
+        asked.append(word)
+        return retrieval._plain(word)
+
+    assert retrieval.make_snippet("One TWO, three_4 two.", {"two"}, plain=plain) == "One <b>TWO</b>, three_4 <b>two</b>." and not asked
+    assert retrieval.make_snippet("Một HAI ba: Đá hai", {"hai", "da"}, plain=plain) == "Một <b>HAI</b> ba: <b>Đá</b> <b>hai</b>" and asked == ["Một", "Đá"]

@@ -83,6 +83,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _plain_ids(ids: pa.Array) -> np.ndarray:
+    return ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist())
+
+
 def _hashed(texts: pa.Array, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens of the lowered texts, and the text of each. value: for each code point a number, 0 where it
     goes and 1 where it parts words. A hash is the sum of the letters' numbers, each times a number of its place."""
@@ -219,7 +223,7 @@ def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndar
         token, doc = place.drop_null().to_numpy().astype(np.int64), doc[hit]
         tf = batch.column("tfs").flatten().to_numpy()[hit].astype(np.float64)
         gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[doc] / mean)) * idf[token]
-        parts.append((np.array(batch.column("article_id").to_pylist()), token, doc + docs, gain))
+        parts.append((_plain_ids(batch.column("article_id")), token, doc + docs, gain))
         docs, held = docs + batch.num_rows, held + len(token)
         if held >= CHUNK:
             yield turned(parts)
@@ -320,7 +324,7 @@ def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed:
         def merged(t: pa.Table) -> pa.Table:
             query, score = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("query", "score"))
             ids = t.column("article_id").combine_chunks().flatten()
-            order = np.lexsort((np.array(ids.to_pylist()), -score, query))
+            order = np.lexsort((_plain_ids(ids), -score, query))
             firsts = np.flatnonzero(np.diff(query[order], prepend=-1))
             rank = np.arange(len(order)) - np.repeat(firsts, np.diff(firsts, append=len(order)))
             order, rank = order[rank < k], rank[rank < k]
@@ -453,6 +457,9 @@ def mmr(ranked: DataFrame, vectors: DataFrame, k: int, pool: int = POOL, weight:
     return pooled.select("query_id", "article_id", F.col("nth").alias("rank"), F.col("score").cast("double"), "embedding").groupBy("query_id").applyInArrow(choose, f"query_id string, article_id {kind}, rank int")
 
 
+_WORDS = re.compile(r"(\w+)")
+
+
 def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("đ", "d")) if not unicodedata.combining(c))
 
@@ -461,10 +468,15 @@ def make_snippet(body: str | None, words: set[str], most: int = SNIPPET, plain:
     """The part of the body with most matches in a row, in the middle of `most` characters; matches in <b>, dots where
     it is cut. Without a match, the head."""
     body = unicodedata.normalize("NFC", body or "")
-    spans = np.array([m.span() for m in re.finditer(r"\w+", body) if plain(m.group()) in words], np.int64).reshape(-1, 2)
-    if not len(spans):
+    # What is no word, and words, by turns.
+    parts = _WORDS.split(body.lower() if body.isascii() else body)
+    folded = parts[1::2] if body.isascii() else (w.lower() if w.isascii() else plain(w) for w in parts[1::2])
+    hits = [2 * k + 1 for k, w in enumerate(folded) if w in words]
+    if not hits:
         return body[:most] + "..." * (len(body) > most)
-    begins, ends = spans.T
+    upto = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    begins, ends = upto[np.array(hits) - 1], upto[hits]
+    spans = np.stack([begins, ends], axis=1)
     # Ends grow, so those that fit behind a match are a run.
     fitting = np.maximum(1, np.searchsorted(ends, begins + most, "right") - np.arange(len(spans)))
     best = int(np.argmax(fitting))

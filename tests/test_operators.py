@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text as T
 from tidewater.operators import entities, logs, retrieval, similarity, understanding
 from tidewater.sources import tables
+from tidewater.storage import dealt, stash
 from tidewater.streaming import events
 
 
@@ -218,6 +219,33 @@ def test_many_questions_take_one_pass(spark, monkeypatch):
     assert got == _bm25(queries, articles, 10)
 
 
+def test_questions_of_the_same_words_are_scored_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    articles = [(k, f"w{k % 5}", " ".join(f"w{x}" for x in rng.integers(0, 30, 12))) for k in range(90)]
+    queries = [(f"q{k}", ("w1 w2 w2", "w2 w1 w2", "w3 w9", "w3 w9 w9")[k % 4]) for k in range(60)] + [("none", "zzz"), ("empty", "")]
+    passes, stash = [], retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, label: (passes.append(label), stash(df, label))[1])
+    monkeypatch.setattr(retrieval, "WORD_QUERIES", 16)
+    found = retrieval.bm25(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(articles, "article_id long, title string, body string"), 6).collect()
+    assert passes == ["forward"]
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["article_id"], r["score"]))
+    assert got == _bm25(queries, articles, 6) and len(got) == 60
+
+
+def test_files_are_dealt_whole(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        made = stash(spark.range(0, 40000, numPartitions=1).selectExpr("id", "xxhash64(id) as x").unionByName(spark.range(40000, 46000, numPartitions=6).selectExpr("id", "xxhash64(id) as x")), "dealt")
+        rows = lambda df: sorted(n for n in df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n)
+        assert rows(dealt(made, 3)) == [3000, 3000, 40000]
+        assert len(rows(dealt(made, 1))) <= 2 and sum(rows(dealt(made, 1))) == 46000
+        assert sorted(r["id"] for r in dealt(made, 4).collect()) == list(range(46000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("dense", [0.0, 0.3, 2.0])
 def test_chunks_of_postings_equal_one(monkeypatch, dense):
     rng = np.random.default_rng(6)

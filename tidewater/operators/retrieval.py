@@ -11,21 +11,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidewater.functions.text import FOLDED, TOKEN, folded_tokens, fresh_intent, tokens
-from tidewater.storage import stash
+from tidewater.storage import dealt, stash
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 CANDIDATES, RRF_K, RERANK_TOP, POOL, LAMBDA = 100, 60, 50, 30, 0.7
 HALF_LIFE, FRESH_HALF_LIFE, FLOOR = 30.0, 2.0, 0.5
 SNIPPET = 200
 #: Vectors that are compared in one pass; questions, and their tokens, that are.
-QUERY_BLOCK, WORD_QUERIES, WORD_TOKENS = 256, 16384, 1 << 21
-#: Postings that a task holds, questions that it scores at once, part of the articles from which a token is a row of a matrix.
-CHUNK, ABREAST, DENSE = 1 << 22, 64, 0.25
+QUERY_BLOCK, WORD_QUERIES, WORD_TOKENS = 256, 32768, 1 << 21
+#: Postings that a task holds; questions that it scores at once, and those that share a matrix; part of the pairs of these
+#: questions and the articles from which a token is a row of the matrix; cells that it has at most.
+CHUNK, ABREAST, ALIKE, DENSE, CELLS = 1 << 22, 64, 256, 0.01, 1 << 23
+#: Tokens by which questions are sorted, and directions in which these are looked at.
+FREQUENT, DIRECTIONS = 128, 3
 #: Bytes of text that are tokenised at once.
 PIECE = 1 << 19
 #: Chunks that a task works off one after another; queries whose best articles are put together at once.
@@ -62,12 +65,13 @@ def top(ranked: DataFrame, k: int, score: str = "score") -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _letters(spark: SparkSession) -> np.ndarray:
+@functools.cache
+def _letters(jvm) -> np.ndarray:
     """For each code point of a lowered text what folded_tokens() makes of it: a letter, 0 where it goes (a mark), a space
-    where it parts words; by the JVM's own classes."""
-    every = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))))
+    where it parts words; by the JVM's own classes. Planes 4 to 13 are not assigned, 15 and 16 are for private use."""
+    every = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000))))
     points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
-    without = lambda x: points(spark.sparkContext._jvm.java.util.regex.Pattern.compile(x).matcher(every).replaceAll(""))
+    without = lambda x: points(jvm.java.util.regex.Pattern.compile(x).matcher(every).replaceAll(""))
     table = np.full(0x110000, ord(" "), np.uint32)
     of_token, marks = without(f"[^{TOKEN[1:-2]}]"), without(r"\P{M}")
     table[of_token], table[marks] = of_token, 0
@@ -87,9 +91,16 @@ def _plain_ids(ids: pa.Array) -> np.ndarray:
     return ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist())
 
 
-def _hashed(texts: pa.Array, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number, and of its inverse, by 2 ** 64."""
+    odd = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (odd, pow(odd, -1, 1 << 64)))
+
+
+def _hashed(texts: pa.Array, value: np.ndarray, powers: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens of the lowered texts, and the text of each. value: for each code point a number, 0 where it
-    goes and 1 where it parts words. A hash is the sum of the letters' numbers, each times a number of its place."""
+    goes and 1 where it parts words. A hash is the sum of the letters' numbers, each times a power that counts its place:
+    a difference of running sums over all texts, brought to the same power. powers: _powers(), made anew if too few."""
     flat, ends = b"".join(texts.to_pylist()), np.cumsum(pc.binary_length(texts).to_numpy())
     x = np.frombuffer(flat, np.uint8)
     if not flat.isascii():
@@ -103,19 +114,19 @@ def _hashed(texts: pa.Array, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     begins[1:] &= ~inside[:-1]
     heads = ends[ends < len(x)]  # where a text begins, so does a token
     begins[heads] = inside[heads]
-    text = np.searchsorted(ends, np.flatnonzero(begins), "right")
-    x, first = x[inside], np.flatnonzero(begins[inside])
-    if not len(first):
-        return x, text
-    sizes = np.diff(first, append=len(x))
-    place = np.arange(len(x)) - np.repeat(first, sizes)
-    return np.add.reduceat(x * (_mixed(np.arange(1, sizes.max() + 1)) | np.uint64(1))[place], first), text
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | begins[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    power, inverse = powers if powers and len(powers[0]) >= len(x) else _powers(len(x))
+    x *= power[: len(x)]
+    sums = np.cumsum(x)
+    return (sums[last] - sums[first] + x[first]) * inverse[first], np.searchsorted(ends, first, "right")
 
 
-def _counted(titles: pa.Array, bodies: pa.Array, value: np.ndarray, title_weight: int) -> tuple[np.ndarray, ...]:
+def _counted(titles: pa.Array, bodies: pa.Array, value: np.ndarray, title_weight: int, powers: tuple | None = None) -> tuple[np.ndarray, ...]:
     """Lengths of the articles, and for each its different tokens with their weighed counts: those of article k are at
     ends[k] to ends[k + 1]."""
-    (title, of_title), (body, of_body) = (_hashed(x, value) for x in (titles, bodies))
+    (title, of_title), (body, of_body) = (_hashed(x, value, powers) for x in (titles, bodies))
     n_title, n_body = (np.bincount(x, minlength=len(titles)) for x in (of_title, of_body))
     bounds = np.concatenate([[0], np.cumsum(n_title + n_body)])
     every = np.empty(bounds[-1], np.uint64)  # the last bit: in the title
@@ -131,25 +142,48 @@ def _counted(titles: pa.Array, bodies: pa.Array, value: np.ndarray, title_weight
     return title_weight * n_title + n_body, np.concatenate([[0], np.cumsum(once)])[bounds], token[at], tfs
 
 
-def forward_index(articles: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
-    """article_id, dl, tokens (hashes of 63 bits), tfs: the tokens of folded_tokens(), counted where the text is."""
-    sent = articles.sparkSession.sparkContext.broadcast(_letters(articles.sparkSession))  # 4.5 MB
+def forward_index(articles: DataFrame, title_weight: int = TITLE_WEIGHT, packed: bool = False) -> DataFrame:
+    """article_id, dl, tokens (hashes of 63 bits), tfs: the tokens of folded_tokens(), counted where the text is. packed:
+    the numbers of both lists as bytes, which Spark passes on as a whole; _unpacked() makes lists of them."""
+    sent = articles.sparkSession.sparkContext.broadcast(_letters(articles.sparkSession.sparkContext._jvm))  # 4.5 MB
 
     def counted(batches):
         letters = sent.value
         value = np.where(letters == ord(" "), np.uint64(1), np.where(letters == 0, np.uint64(0), _mixed(letters) | np.uint64(2)))
+        powers = _powers(2 * PIECE)
         for batch in batches:
             title, body = (batch.column(c).fill_null(b"") for c in ("title", "body"))
             size = np.cumsum(pc.binary_length(title).to_numpy().astype(np.int64) + pc.binary_length(body).to_numpy())
             cuts = [0, *(np.flatnonzero(np.diff(size // PIECE)) + 1).tolist(), batch.num_rows]
             for a, b in itertools.pairwise(cuts):
-                dl, ends, tokens, tfs = _counted(title.slice(a, b - a), body.slice(a, b - a), value, title_weight)
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (tokens, tfs.astype(np.int32))]
+                dl, ends, tokens, tfs = _counted(title.slice(a, b - a), body.slice(a, b - a), value, title_weight, powers)
+                lists = [_bytes_of(ends, x) if packed else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (tokens, tfs.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column("article_id").slice(a, b - a), pa.array(dl, pa.int64()), *lists], names=["article_id", "dl", "tokens", "tfs"])
 
     kind = articles.schema["article_id"].dataType.simpleString()
     lowered = lambda c: F.lower(c).cast("binary").alias(c)
-    return articles.select("article_id", lowered("title"), lowered("body")).mapInArrow(counted, f"article_id {kind}, dl long, tokens array<long>, tfs array<int>")
+    lists = "tokens binary, tfs binary" if packed else "tokens array<long>, tfs array<int>"
+    return articles.select("article_id", lowered("title"), lowered("body")).mapInArrow(counted, f"article_id {kind}, dl long, {lists}")
+
+
+def _bytes_of(ends: np.ndarray, x: np.ndarray) -> pa.Array:
+    """A value of bytes for each of the lists of numbers that are at ends[k] to ends[k + 1]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _lists_of(packed: pa.Array, kind: type) -> pa.ListArray:
+    """The lists of numbers that _bytes_of() packed."""
+    _, ends, flat = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int32)
+    x = np.frombuffer(flat if flat is not None else b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // x.itemsize, pa.int32()), pa.array(x))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"tokens": np.int64, "tfs": np.int32}
+    for batch in batches:
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays([_lists_of(batch.column(c), kinds[c]) if c in kinds else batch.column(c) for c in names], names=names)
 
 
 def _blocks(rows: DataFrame) -> Iterator[list]:
@@ -186,19 +220,58 @@ def _ranked_batch(names: list, scores: np.ndarray, batch: pa.RecordBatch, k: int
     return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), batch.column("article_id").take(pa.array(at)), pa.array(scores[at, which])], names=["query_id", "article_id", "score"])
 
 
-def _word_blocks(weights: DataFrame) -> Iterator[list[tuple]]:
-    """Queries as (query_id, tokens, how often, idf) in order of tokens, in blocks of WORD_QUERIES and WORD_TOKENS at most (but one)."""
-    block, held = [], 0
-    for q in weights.toLocalIterator():
-        tokens, qtf, idf = np.array(q["tokens"], np.int64), np.array(q["qtfs"], np.float64), np.array(q["idfs"], np.float64)
+def _word_blocks(words: DataFrame) -> Iterator[list[tuple]]:
+    """Queries as (query_ids, tokens, how often) in order of tokens, those of the same words as one, in blocks of
+    WORD_QUERIES (four times as many ids) and WORD_TOKENS at most (but one)."""
+    block, held, ids = {}, 0, 0
+    for q in words.toLocalIterator():
+        tokens, qtf = np.array(q["tokens"], np.int64), np.array(q["qtfs"], np.int64)
         order = np.argsort(tokens)
-        if block and (len(block) >= WORD_QUERIES or held + len(tokens) > WORD_TOKENS):
-            yield block
-            block, held = [], 0
-        block.append((q["query_id"], tokens[order], qtf[order], idf[order]))
-        held += len(tokens)
+        tokens, qtf = tokens[order], qtf[order]
+        same = tokens.tobytes(), qtf.tobytes()
+        if block and (ids >= 4 * WORD_QUERIES or same not in block and (len(block) >= WORD_QUERIES or held + len(tokens) > WORD_TOKENS)):
+            yield list(block.values())
+            block, held, ids = {}, 0, 0
+        if same not in block:
+            block[same] = [], tokens, qtf.astype(np.float64)
+            held += len(tokens)
+        block[same][0].append(q["query_id"])
+        ids += 1
     if block:
-        yield block
+        yield list(block.values())
+
+
+def _neighbours(tokens: list[np.ndarray]) -> np.ndarray:
+    """An order of the queries in which those with the same frequent tokens are near each other, shorter ones first: by
+    the side on which they lie in the directions in which they differ most."""
+    every, sizes = np.concatenate(tokens), np.array([len(t) for t in tokens])
+    known, place, asked = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.full(len(known), -1)
+    column[np.argsort(-asked, kind="stable")[:FREQUENT]] = np.arange(min(FREQUENT, len(known)))
+    at, query = column[place], np.repeat(np.arange(len(tokens)), sizes)
+    x = np.zeros((len(tokens), FREQUENT))
+    x[query[at >= 0], at[at >= 0]] = 1
+    x /= np.maximum(1, np.linalg.norm(x, axis=1, keepdims=True))
+    x -= x.mean(axis=0)
+    sides = x @ np.linalg.eigh(x.T @ x)[1][:, -DIRECTIONS:] > 0
+    return np.lexsort((sizes, *sides.T))
+
+
+def _found_in(index: DataFrame, known: np.ndarray) -> np.ndarray:
+    """For each of the known tokens, which are sorted, the number of articles that have it."""
+    sent = index.sparkSession.sparkContext.broadcast(known)
+
+    def counted(batches):
+        n, value_set = np.zeros(len(sent.value), np.int64), pa.array(sent.value)
+        for batch in _unpacked(batches):
+            n += np.bincount(pc.index_in(batch.column("tokens").flatten(), value_set=value_set).drop_null().to_numpy(), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["place", "n"])
+
+    found = index.select("tokens").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(known), np.int64)
+    out[found["place"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndarray, mean: float) -> Iterator[tuple]:
@@ -225,7 +298,7 @@ def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndar
         gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[doc] / mean)) * idf[token]
         parts.append((_plain_ids(batch.column("article_id")), token, doc + docs, gain))
         docs, held = docs + batch.num_rows, held + len(token)
-        if held >= CHUNK:
+        if held >= CHUNK or docs >= CHUNK >> 5:
             yield turned(parts)
             parts, docs, held = [], 0, 0
     if held:
@@ -233,23 +306,28 @@ def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndar
 
 
 def _best_by_words(batches: Iterator[pa.RecordBatch], names: list, starts: np.ndarray, at: np.ndarray, qtf: np.ndarray, known: np.ndarray, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of the articles for each query, ties by id. Tokens of the query q are at[starts[q] : starts[q + 1]]. Those
-    that are in a DENSE part of the articles or more are added as a matrix product, the others posting by posting."""
+    """The k best of the articles for each query, ties by id. Tokens of the query q are at[starts[q] : starts[q + 1]]. Of
+    ALIKE queries, the tokens that make a DENSE part of the pairs are added as a matrix product, the others posting by posting."""
     found = [(np.zeros(0), None)] * len(names)
     for ids, bounds, docs, gains in _inverted(batches, known, idf, mean):
         n, size = len(ids), np.diff(bounds)
-        often = np.flatnonzero(size >= max(1, DENSE * n))
         row = np.full(len(known), -1)
-        row[often] = np.arange(len(often))
-        dense = np.zeros((len(often), n))
-        for r, t in enumerate(often):
-            dense[r, docs[bounds[t] : bounds[t + 1]]] = gains[bounds[t] : bounds[t + 1]]
         for low in range(0, len(names), ABREAST):
             some = range(low, min(low + ABREAST, len(names)))
+            if low % ALIKE == 0:
+                near = min(low + ALIKE, len(names))
+                often, asked = np.unique(at[starts[low] : starts[near]], return_counts=True)
+                pairs = asked * size[often]
+                first = np.argsort(-pairs, kind="stable")[: max(1, CELLS // n)]
+                often = often[first][(pairs[first] > 0) & (pairs[first] >= DENSE * (near - low) * n)]
+                row[:] = -1
+                row[often] = np.arange(len(often))
+                dense = np.zeros((len(often), n))
+                for r, t in enumerate(often.tolist()):
+                    dense[r, docs[bounds[t] : bounds[t + 1]]] = gains[bounds[t] : bounds[t + 1]]
+            t, which = at[starts[low] : starts[some[-1] + 1]], np.repeat(np.arange(len(some)), np.diff(starts[low : some[-1] + 2]))
             asks = np.zeros((len(some), len(often)))
-            for j, q in enumerate(some):
-                t = at[starts[q] : starts[q + 1]]
-                asks[j, row[t][row[t] >= 0]] = qtf[starts[q] : starts[q + 1]][row[t] >= 0]
+            asks[which[row[t] >= 0], row[t][row[t] >= 0]] = qtf[starts[low] : starts[some[-1] + 1]][row[t] >= 0]
             scores = asks @ dense
             for total, q in zip(scores, some, strict=True):
                 t, times = at[starts[q] : starts[q + 1]], qtf[starts[q] : starts[q + 1]]
@@ -293,29 +371,30 @@ def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed:
     articles for each; a task turns its articles into postings, CHUNK of them at a time, adds up those that a query asks
     for and keeps the k best, so no pair of query and article is shuffled."""
     spark = articles.sparkSession
-    index = stash(forward_index(articles, title_weight), "forward")
+    index = stash(forward_index(articles, title_weight, packed=True), "forward")
     words = forward_index(queries.select(F.col("query_id").alias("article_id"), F.col("text").alias("title"), F.lit("").alias("body")), 1)
     asked = words.select(F.col("article_id").alias("query_id"), F.explode(F.arrays_zip("tokens", "tfs")).alias("w")).groupBy("query_id", F.col("w.tokens").alias("token")).agg(F.sum("w.tfs").alias("qtf"))
-    df = index.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n, mean, postings = index.agg(F.count("*"), F.avg("dl"), F.sum(F.size("tokens"))).first()
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", "qtf", idf.alias("idf"))).alias("w"))
-    weights = weights.select("query_id", F.col("w.token").alias("tokens"), F.col("w.qtf").alias("qtfs"), F.col("w.idf").alias("idfs"))
-    rows = index.filter("article_id is not null") if allowed is None else index.join(allowed, "article_id", "left_semi")
+    asked = asked.groupBy("query_id").agg(F.collect_list(F.struct("token", "qtf")).alias("w")).select("query_id", F.col("w.token").alias("tokens"), F.col("w.qtf").alias("qtfs"))
+    n, mean, postings = index.agg(F.count("*"), F.avg("dl"), F.sum(F.octet_length("tfs") / 4)).first()
     # Every task hands out its k best of each query, so there are no more tasks than keep all cores at work.
     cores = spark.sparkContext.defaultParallelism
-    rows = rows.select("article_id", "dl", "tokens", "tfs").coalesce(cores * max(1, -(-(postings or 0) // (TASK_CHUNKS * CHUNK * cores))))
+    tasks = cores * max(1, -(-int(postings or 0) // (TASK_CHUNKS * CHUNK * cores)))
+    rows = dealt(index, tasks)
+    rows = rows.filter("article_id is not null") if allowed is None else rows.join(allowed, "article_id", "left_semi").coalesce(tasks + 1)
+    rows = rows.select("article_id", "dl", "tokens", "tfs")
     of_query, of_article = (x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (articles, "article_id")))
     kind = f"query_id {of_query}, article_id {of_article}, score double, rank int"
 
     def run(block):
-        names, tokens, qtf, idfs = zip(*block, strict=True)
-        known, first, at = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True)
+        names, tokens, qtf = zip(*(block[i] for i in _neighbours([tokens for _, tokens, _ in block])), strict=True)
+        known, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        df = _found_in(index, known)
         starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        sent = spark.sparkContext.broadcast((list(names), starts, at, np.concatenate(qtf), known, np.concatenate(idfs)[first], mean or 1.0, k))  # WORD_TOKENS tokens
+        each = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        sent = spark.sparkContext.broadcast((list(itertools.chain(*names)), each, starts, at, np.concatenate(qtf), known, np.log((n - df + 0.5) / (df + 0.5) + 1), mean or 1.0, k))  # WORD_TOKENS tokens
 
         def packed(batches):
-            for found in _best_by_words(batches, list(range(len(sent.value[0]))), *sent.value[1:]):
+            for found in _best_by_words(_unpacked(batches), list(range(len(sent.value[1]) - 1)), *sent.value[2:]):
                 query = found.column("query_id").to_numpy()
                 cuts = [0, *(np.flatnonzero(np.diff(query // TOGETHER)) + 1).tolist(), len(query)]
                 lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in found.columns]
@@ -328,11 +407,16 @@ def bm25(queries: DataFrame, articles: DataFrame, k: int = CANDIDATES, allowed:
             firsts = np.flatnonzero(np.diff(query[order], prepend=-1))
             rank = np.arange(len(order)) - np.repeat(firsts, np.diff(firsts, append=len(order)))
             order, rank = order[rank < k], rank[rank < k]
-            return pa.table({"query_id": pa.array(sent.value[0]).take(pa.array(query[order])), "article_id": ids.take(pa.array(order)), "score": score[order], "rank": pa.array(rank + 1, pa.int32())})
+            # A row for each query of these words.
+            of, each = query[order], sent.value[1]
+            copies = np.diff(each)[of]
+            name = np.repeat(each[of] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
+            order, rank = np.repeat(order, copies), np.repeat(rank, copies)
+            return pa.table({"query_id": pa.array(sent.value[0]).take(pa.array(name)), "article_id": ids.take(pa.array(order)), "score": score[order], "rank": pa.array(rank + 1, pa.int32())})
 
         return rows.mapInArrow(packed, f"part long, query array<long>, article_id array<{of_article}>, score array<double>").groupBy("part").applyInArrow(merged, kind)
 
-    return _each_block(_word_blocks(weights), run, kind, spark)
+    return _each_block(_word_blocks(asked), run, kind, spark)
 
 
 def bm25_indexed(queries: DataFrame, posted: DataFrame, sizes: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
+import heapq
 import shutil
 import tempfile
 import uuid
@@ -34,6 +36,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def dealt(stashed: DataFrame, n: int) -> DataFrame:
+    """A stashed table in n partitions (and one) at most, of about the same size: whole files, the largest first, each to the
+    partition that has least. Splits by bytes would leave some without a row group and give others many."""
+    spark = stashed.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stashed.stash_path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    sizes = sorted(((f.getLen(), f.getPath().toString()) for f in files if f.getPath().getName().startswith("part-")), reverse=True)
+    groups = [(0, i, []) for i in range(min(n, len(sizes)))]
+    for size, path in sizes:
+        held, i, paths = heapq.heappop(groups)
+        heapq.heappush(groups, (held + size, i, [*paths, path]))
+    # Spark 4.1 makes one partition of a union of single ones; the first, least part has two, so that it is none of those.
+    parts = [spark.read.schema(stashed.schema).parquet(*paths).coalesce(1 + (i == 0)) for i, (_, _, paths) in enumerate(sorted(groups))]
+    return functools.reduce(DataFrame.union, parts) if parts else stashed
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder, in whatever store the path names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -234,6 +234,27 @@ def test_questions_of_the_same_words_are_scored_once(spark, monkeypatch):
     assert got == _bm25(queries, articles, 6) and len(got) == 60
 
 
+def test_many_vectors_take_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(150, 6)).round(2)
+    vectors[7], vectors[20] = 0, vectors[21]
+    queries = spark.createDataFrame([(f"q{k}", v.tolist()) for k, v in enumerate(vectors)] * 4, "query_id string, vector array<double>").withColumn("query_id", F.concat("query_id", F.lit("-"), F.monotonically_increasing_id()))
+    passes, put = [], retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, label: (passes.append(label), put(df, label))[1])
+    rows = retrieval.cosine(queries, spark.createDataFrame(list(enumerate(vectors.tolist())), "article_id long, embedding array<double>"), 5).collect()
+    assert passes == []
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(size > 0, size, 1)
+    want = {}
+    for k in np.flatnonzero(size):
+        scores = np.round(unit @ unit[k], 9)
+        want[f"q{k}"] = [(int(a), float(scores[a])) for a in np.lexsort((np.arange(150), -scores))[:5]]
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["article_id"], r["score"]))
+    assert len(got) == 4 * 149 and all(x == want[q.split("-")[0]] for q, x in got.items())
+
+
 def test_files_are_dealt_whole(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:

@@ -22,8 +22,8 @@ K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 CANDIDATES, RRF_K, RERANK_TOP, POOL, LAMBDA = 100, 60, 50, 30, 0.7
 HALF_LIFE, FRESH_HALF_LIFE, FLOOR = 30.0, 2.0, 0.5
 SNIPPET = 200
-#: Vectors that are compared in one pass; questions, and their tokens, that are.
-QUERY_BLOCK, WORD_QUERIES, WORD_TOKENS = 256, 32768, 1 << 21
+#: Vectors that are asked for in one matrix product, and in one pass; questions, and their tokens, that are in one pass.
+QUERY_BLOCK, VECTOR_QUERIES, WORD_QUERIES, WORD_TOKENS = 256, 8192, 32768, 1 << 21
 #: Postings that a task holds; questions that it scores at once, and those that share a matrix; part of the pairs of these
 #: questions and the articles from which a token is a row of the matrix; cells that it has at most.
 CHUNK, ABREAST, ALIKE, DENSE, CELLS = 1 << 22, 64, 256, 0.01, 1 << 23
@@ -187,9 +187,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(rows: DataFrame) -> Iterator[list]:
-    """The rows in blocks of QUERY_BLOCK; one partition at a time comes to the driver."""
+    """The rows in blocks of VECTOR_QUERIES; one partition at a time comes to the driver."""
     every = rows.toLocalIterator()
-    while block := list(itertools.islice(every, QUERY_BLOCK)):
+    while block := list(itertools.islice(every, VECTOR_QUERIES)):
         yield block
 
 
@@ -215,7 +215,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, least: float) -> list[np.
 
 def _ranked_batch(names: list, scores: np.ndarray, batch: pa.RecordBatch, k: int, least: float) -> pa.RecordBatch:
     scores = np.round(scores, 9)
-    rows = _best(scores, np.array(batch.column("article_id").to_pylist()), k, least)
+    rows = _best(scores, _plain_ids(batch.column("article_id")), k, least)
     at, which = np.concatenate(rows), np.repeat(np.arange(len(names)), [len(r) for r in rows])
     return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), batch.column("article_id").take(pa.array(at)), pa.array(scores[at, which])], names=["query_id", "article_id", "score"])
 
@@ -295,7 +295,7 @@ def _inverted(batches: Iterator[pa.RecordBatch], known: np.ndarray, idf: np.ndar
         hit = place.is_valid().to_numpy(zero_copy_only=False)
         token, doc = place.drop_null().to_numpy().astype(np.int64), doc[hit]
         tf = batch.column("tfs").flatten().to_numpy()[hit].astype(np.float64)
-        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("dl").to_numpy()[doc] / mean)) * idf[token]
+        gain = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * batch.column("dl").to_numpy() / mean))[doc]) * idf[token]
         parts.append((_plain_ids(batch.column("article_id")), token, doc + docs, gain))
         docs, held = docs + batch.num_rows, held + len(token)
         if held >= CHUNK or docs >= CHUNK >> 5:
@@ -454,7 +454,7 @@ def unit(v: Column) -> Column:
 
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
     """queries(query_id, vector), vectors(article_id, embedding): each query against all vectors, as matrix products of
-    blocks of QUERY_BLOCK queries, one pass over the vectors for each; a task keeps the k best of its batches. A zero or
+    QUERY_BLOCK queries, one pass over the vectors for VECTOR_QUERIES; a task keeps the k best of its batches. A zero or
     missing query vector finds nothing, a zero vector scores 0; vectors of another length than the queries' are an error."""
     spark = vectors.sparkSession
     rows = vectors.filter("embedding is not null")
@@ -466,18 +466,20 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, allowed:
         matrix = np.array([q["vector"] for q in block], np.float64)
         sizes = np.linalg.norm(matrix, axis=1)
         names = [q["query_id"] for q, size in zip(block, sizes, strict=True) if size]
-        sent = spark.sparkContext.broadcast((names, (matrix[sizes > 0] / sizes[sizes > 0, None]).T))  # QUERY_BLOCK queries
+        sent = spark.sparkContext.broadcast((names, matrix[sizes > 0] / sizes[sizes > 0, None]))  # VECTOR_QUERIES queries
 
         def score(batches):
             names, asked = sent.value
             for batch in batches:
                 flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(flat) != batch.num_rows * len(asked):
-                    raise ValueError(f"vectors are not all of {len(asked)} dimensions, as the queries are")
+                if len(flat) != batch.num_rows * asked.shape[1]:
+                    raise ValueError(f"vectors are not all of {asked.shape[1]} dimensions, as the queries are")
                 v = flat.reshape(batch.num_rows, -1)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
-                if names and batch.num_rows:
-                    yield _ranked_batch(names, (v / np.where(size > 0, size, 1.0)) @ asked, batch, k, -np.inf)
+                v /= np.where(size > 0, size, 1.0)
+                for low in range(0, len(names) if batch.num_rows else 0, QUERY_BLOCK):
+                    some = slice(low, low + QUERY_BLOCK)
+                    yield _ranked_batch(names[some], (asked[some] @ v.T).T, batch, k, -np.inf)
 
         return rows.select("article_id", "embedding").mapInArrow(score, kind)
 
